@@ -31,6 +31,19 @@ def p3_classes(spark: SparkSession, d: str) -> DataFrame:
     return class_links(df, "ord", "complete_function")
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    from millrace.llm.shared_spans import shared_chars
+
+    return shared_chars(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", length=200)
+
+
+def p10_spans(spark: SparkSession, d: str) -> DataFrame:
+    """The shared stretches themselves."""
+    from millrace.llm.shared_spans import shared_spans
+
+    return shared_spans(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", length=200)
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(v)}
 
