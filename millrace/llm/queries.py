@@ -31,6 +31,21 @@ def p3_classes(spark: SparkSession, d: str) -> DataFrame:
     return class_links(df, "ord", "complete_function")
 
 
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    from millrace.llm.leakage import leaked_items
+
+    return leaked_items(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_item"), "item_id", "text", window=13)
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).where("verbatim > 0").select("doc_id", "item_id")
+
+
+def p9_templates(spark: SparkSession, d: str) -> DataFrame:
+    """Items met with other numbers, names or units."""
+    return _leaks(spark, d)
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     from millrace.llm.shared_spans import shared_chars
 
