@@ -5,15 +5,15 @@ words ``[a-z0-9_]+`` of the lower-cased text.  Two texts are similar when the
 sets' intersection is at least ``similarity`` of their union.
 
 1. Records of equal token sets form one class.
-2. Classes are put into groups by the least scrambled token (similar sets
+2. The tokens of a class are put in a global order, rarest first.  Classes go
+   into groups by the least scrambled token of the first ones (similar sets
    mostly agree in it) and a band of set sizes.
-3. The token-group matrix is kept sparse: of each class only the tokens that
-   come first in a global order, rarest first, are stored with the class and
-   its group; the prefix is as long as a partner above the threshold can make
-   necessary, so no link is lost.
-4. For each class the overlap with each group's token union is bounded from
-   the tokens they share and from what remains behind them; only groups whose
-   bound reaches the overlap needed are opened.
+3. The token-group matrix is kept sparse: of each class only a prefix of the
+   order is stored with the class and its group, as long as a partner above
+   the threshold can make necessary, so no link is lost.
+4. The overlap of a class with a group's members is bounded from the first
+   token they share: that token and what lies behind it in either.  Only
+   groups whose bound reaches the overlap needed are opened.
 5. The members of opened groups are compared with the class by their whole
    token sets.
 
@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 from millrace.llm import vec
 from millrace.runtime import stage
 
-FREQUENT_SHARE = 0.0002  # a token in more texts than this is ordered by its count; bounds the order's table
+FREQUENT_SHARE = 0.00005  # a token in more texts than this is ordered by its count; bounds the order's table
+BROADCAST_IDS = 1_000_000  # ids up to which the texts to compare are picked by broadcast (8 MB); more are joined by shuffle
 COUNT_ROWS = 16384  # texts over which a task counts before it reports the tokens seen often
 _U = np.uint64
 
@@ -46,17 +47,15 @@ def _needed(similarity: Fraction, n: np.ndarray) -> np.ndarray:
 
 
 def _fingerprints(row: np.ndarray, h: np.ndarray, rows: int):
-    """Per row: two sums of scrambled tokens, the number of tokens, the least scrambled token."""
+    """Per row: two sums of scrambled tokens and the number of tokens."""
     n = np.bincount(row, minlength=rows).astype(np.int64)
     a, b = np.zeros(rows, _U), np.zeros(rows, _U)
-    least = np.zeros(rows, _U)
     has = np.nonzero(n)[0]
     if len(has):
         first = np.concatenate([[0], np.cumsum(n[has])[:-1]])
         a[has] = np.add.reduceat(vec.mix(h, 11), first)
         b[has] = np.add.reduceat(vec.mix(h, 13), first)
-        least[has] = np.minimum.reduceat(vec.mix(h, 17), first)
-    return vec.mix(a + n.astype(_U)), b, n, least
+    return vec.mix(a + n.astype(_U)), b, n
 
 
 def _describe(words: int, similarity: Fraction):
@@ -69,7 +68,7 @@ def _describe(words: int, similarity: Fraction):
 
         def report():
             t, c = np.unique(np.concatenate(seen), return_counts=True)
-            often = c >= max(2, math.ceil(FREQUENT_SHARE * texts))
+            often = c >= 2
             t, c = t[often].view(np.int64), c[often].astype(np.int64)
             z = np.zeros(len(t), np.int64)
             return pa.record_batch([pa.array(z.astype(np.int32) + 1), pa.array(z), pa.array(t), pa.array(z), pa.array(c)], schema=schema)
@@ -78,7 +77,7 @@ def _describe(words: int, similarity: Fraction):
             ids, text = batch.column(0), batch.column(1)
             for i, j in vec.chunks(text):
                 row, h = vec.code_shingles(text.slice(i, j - i), words)
-                a, b, n, _ = _fingerprints(row, h, j - i)
+                a, b, n = _fingerprints(row, h, j - i)
                 yield pa.record_batch([pa.array(np.zeros(j - i, np.int32)), ids.slice(i, j - i), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(n)], schema=schema)
                 seen.append(h)
                 texts += j - i
@@ -105,7 +104,7 @@ def _matrix(words: int, similarity: Fraction, order):
                 row, h = vec.code_shingles(text.slice(i, j - i), words)
                 if not len(h):
                     continue
-                a, _, n, least = _fingerprints(row, h, j - i)
+                a, _, n = _fingerprints(row, h, j - i)
                 fresh = np.zeros(j - i, dtype=bool)
                 for k, x in enumerate(a.tolist()):
                     if n[k] and x not in known:
@@ -125,6 +124,10 @@ def _matrix(words: int, similarity: Fraction, order):
                 pos = np.arange(len(row)) - first[row]
                 prefix = pos < (n - _needed(similarity, n) + 1)[row]
                 row, h, pos = row[prefix], h[prefix], pos[prefix]
+                least = np.zeros(j - i, _U)
+                if len(row):
+                    own, begin = np.unique(row, return_index=True)
+                    least[own] = np.minimum.reduceat(vec.mix(h, 17), begin)
                 band = np.floor(np.log(np.maximum(n, 1)) / math.log(1.15)).astype(_U)
                 grp = vec.mix(least + band * _U(0x9E3779B97F4A7C15), 19)
                 yield pa.record_batch(
@@ -170,7 +173,7 @@ def _sets(words: int):
             text = batch.column(0)
             for i, j in vec.chunks(text):
                 row, h = vec.code_shingles(text.slice(i, j - i), words)
-                a, _, _, _ = _fingerprints(row, h, j - i)
+                a, _, _ = _fingerprints(row, h, j - i)
                 off = (np.searchsorted(row, np.arange(j - i + 1)) * 8).astype(np.int32)
                 tokens = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(off), pa.py_buffer(h.tobytes())])
                 yield pa.record_batch([pa.array(a.view(np.int64)), tokens], schema=schema)
@@ -207,40 +210,30 @@ def similar_classes(df: DataFrame, id_col: str, text_col: str, *, words: int = 5
     members = texts.join(classes.select("fp", "fp2", "class_id", "copies"), ["fp", "fp2"]).select("id", "class_id", "copies")
 
     run, kind = _matrix(words, share, order)
+    # One exchange by token serves the counts, the matrix and the queries.
     cells = source.where(F.col("text").isNotNull()).mapInArrow(run, kind).repartition("token")
-    shared = cells.groupBy("token", "fp").agg(F.first("grp").alias("grp"), F.min("at").alias("at"))
     per_token = Window.partitionBy("token")
-    shared = shared.withColumn("k", F.count(F.lit(1)).over(per_token)).where("k > 1").drop("k")
-    cells = stage(shared.select("token", "fp", "grp", (F.col("at") / (1 << 32)).cast("int").alias("pos"), F.col("at").bitwiseAND((1 << 32) - 1).cast("int").alias("n")), "near-cells")
-
-    # A row of the matrix: a token, a group holding it, the sizes of the members and what they have behind it.
+    cells = (
+        cells.withColumn("some", F.min("fp").over(per_token) != F.max("fp").over(per_token)).where("some")
+        .groupBy("token", "fp").agg(F.first("grp").alias("grp"), F.min("at").alias("at"))
+        .select("token", "fp", "grp", F.shiftright("at", 32).cast("int").alias("pos"), F.col("at").bitwiseAND((1 << 32) - 1).cast("int").alias("n"))
+    )
+    # A row of the matrix: a token, a group holding it, the sizes of the members and the most that one has from the token on.
     matrix = cells.groupBy("token", "grp").agg(
-        F.max("n").alias("most"), F.min("n").alias("least"), F.count(F.lit(1)).alias("held"), F.min("fp").alias("one")
+        F.max("n").alias("most"), F.min("n").alias("least"), F.max(F.col("n") - F.col("pos")).alias("behind"), F.count(F.lit(1)).alias("held"), F.min("fp").alias("one")
     )
     t = float(share)
-    eps = 1e-9
-    bound = (
+    u, eps = t / (1 + t), 1e-9
+    # A similar member of size s shares t/(1+t)(n+s) tokens at least, all of them from the first shared one on.
+    need = u * (F.col("q.n") + F.greatest(F.col("least"), F.ceil(F.col("q.n") * t - eps))) - eps
+    opened = (
         cells.alias("q").join(matrix.alias("g"), "token")
-        .where((F.col("most") >= F.col("q.n") * t - eps) & (F.col("least") * t <= F.col("q.n") + eps) & ((F.col("held") > 1) | (F.col("one") != F.col("q.fp"))))
-        .groupBy("q.fp", "g.grp")
-        .agg(
-            F.count(F.lit(1)).alias("met"), F.max(F.col("q.pos")).alias("last"), F.first("q.n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"),
-            ((F.max("held") == 1) & (F.min("one") == F.max("one"))).alias("single"),
-        )
+        .where((F.col("q.grp") <= F.col("g.grp")) & ((F.col("held") > 1) | (F.col("one") != F.col("q.fp"))))
+        .where((F.col("most") >= F.col("q.n") * t - eps) & (F.col("least") * t <= F.col("q.n") + eps))
+        .where((F.col("q.n") - F.col("pos") >= need) & (F.col("behind") >= need))
+        .select(F.col("q.fp").alias("fp_a"), F.col("g.grp").alias("grp"), F.col("q.n").alias("na")).distinct()
     )
-    # A member of size s that is similar shares a = t/(1+t)(n+s) tokens at least.  Of the query's prefix all but n-a are
-    # among them, and the first a-ceil(ts)+1 shared ones lie in the member's own prefix: so many the union must show.
-    n, prefix = F.col("n"), F.col("n") - F.ceil(F.col("n") * t - eps) + 1
-    low, high = F.greatest("least", F.ceil(n * t - eps)), F.least("most", F.floor(n / t + eps))
-    u = t / (1 + t)
-    required = F.least(prefix - n + u * (n + low), u * (n - t * high))
-    # Where all that was met belongs to one class, what lies behind the last token met bounds the rest.
-    opened = bound.where(
-        (F.col("met") >= required - eps) & (~F.col("single") | (F.col("met") + n - 1 - F.col("last") >= u * (n + low) - eps))
-    ).select(F.col("fp").alias("fp_a"), "grp", n.alias("na"))
-
     group_of = cells.groupBy("fp").agg(F.first("grp").alias("grp"), F.first("n").alias("nb")).withColumnRenamed("fp", "fp_b")
-    # Each pair of classes meets from both sides; the smaller fingerprint keeps it.
     pairs = (
         opened.join(group_of, "grp")
         .where((F.col("fp_a") != F.col("fp_b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * t - eps))
@@ -248,9 +241,10 @@ def similar_classes(df: DataFrame, id_col: str, text_col: str, *, words: int = 5
     )
     pairs = stage(pairs, "near-pairs")
     asked = pairs.select(F.explode(F.array("fp_a", "fp_b")).alias("fp")).distinct()
-    ids = classes.join(asked, "fp").select(F.col("class_id").alias("id"))
+    ids = stage(classes.join(asked, "fp").select(F.col("class_id").alias("id")), "near-asked")
+    few = ids.count() <= BROADCAST_IDS
     run, kind = _sets(words)
-    sets = stage(source.join(ids, "id", "left_semi").select("text").mapInArrow(run, kind), "near-sets")
+    sets = stage(source.join(F.broadcast(ids) if few else ids, "id", "left_semi").select("text").mapInArrow(run, kind), "near-sets")
     run, kind = _compare(words, share)
     alike = (
         pairs.join(sets.select(F.col("fp").alias("fp_a"), F.col("tokens").alias("ta")), "fp_a")
