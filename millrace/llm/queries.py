@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.identity import host_name, repo_name, strip
 from millrace.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +17,26 @@ def _records(spark: SparkSession, d: str, *more: str) -> DataFrame:
     return table(spark, d, "function_record").select("ord", *[F.col(c).alias(c.rpartition(".")[2]) for c in more])
 
 
+def _splits(spark: SparkSession, d: str) -> DataFrame:
+    from millrace.llm.splits import group_splits
+
+    df = _records(spark, d, "api_host", "github_info.repo", "language")
+    return group_splits(df, "ord", host_name(F.col("api_host")), repo_name(F.col("repo")), F.lower(strip(F.col("language"))))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _splits(spark, d).where("group_host is not null").select("ord", "group_host")
+
+
+def p1_splits(spark: SparkSession, d: str) -> DataFrame:
+    return _splits(spark, d).select("ord", "split")
+
+
+def p1_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and groups that each split got."""
+    return _splits(spark, d).groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("group").alias("n_groups"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     from millrace.llm.near_duplicates import similar_pairs
 
@@ -31,6 +52,14 @@ def p3_classes(spark: SparkSession, d: str) -> DataFrame:
     return class_links(df, "ord", "complete_function")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    from millrace.llm.capping import over_cap
+
+    df = _records(spark, d, "api_host", "github_info.repo", "quality_metrics.code_quality_score")
+    caps = [(host_name(F.col("api_host")), 20), (repo_name(F.col("repo")), 5)]
+    return over_cap(df, "ord", F.col("code_quality_score"), caps)
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     from millrace.llm.leakage import leaked_items
 
