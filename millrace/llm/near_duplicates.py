@@ -38,6 +38,7 @@ from millrace.runtime import stage
 FREQUENT_SHARE = 0.00005  # a token in more texts than this is ordered by its count; bounds the order's table
 BROADCAST_IDS = 1_000_000  # ids up to which the texts to compare are picked by broadcast (8 MB); more are joined by shuffle
 COUNT_ROWS = 16384  # texts over which a task counts before it reports the tokens seen often
+BITS = 512
 _U = np.uint64
 
 
@@ -165,20 +166,44 @@ def _compare(words: int, similarity: Fraction):
 
 
 def _sets(words: int):
-    """(fp, tokens) of each text, the sorted tokens as bytes."""
-    schema = pa.schema([("fp", pa.int64()), ("tokens", pa.binary())])
+    """(fp, bits, tokens) of each text: the sorted tokens as bytes, and a bitmap of them."""
+    schema = pa.schema([("fp", pa.int64()), ("bits", pa.binary()), ("tokens", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column(0)
             for i, j in vec.chunks(text):
-                row, h = vec.code_shingles(text.slice(i, j - i), words)
-                a, _, _ = _fingerprints(row, h, j - i)
-                off = (np.searchsorted(row, np.arange(j - i + 1)) * 8).astype(np.int32)
-                tokens = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(off), pa.py_buffer(h.tobytes())])
-                yield pa.record_batch([pa.array(a.view(np.int64)), tokens], schema=schema)
+                rows = j - i
+                row, h = vec.code_shingles(text.slice(i, rows), words)
+                a, _, _ = _fingerprints(row, h, rows)
+                off = (np.searchsorted(row, np.arange(rows + 1)) * 8).astype(np.int32)
+                tokens = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(off), pa.py_buffer(h.tobytes())])
+                marks = np.zeros((rows, BITS), dtype=bool)
+                marks[row, (vec.mix(h, 31) % _U(BITS)).astype(np.int64)] = True
+                bits = np.packbits(marks, axis=1)
+                at = (np.arange(rows + 1) * (BITS // 8)).astype(np.int32)
+                yield pa.record_batch([pa.array(a.view(np.int64)), pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(at), pa.py_buffer(bits.tobytes())]), tokens], schema=schema)
+
+    return run, "fp bigint, bits binary, tokens binary"
+
+
+def _plausible(similarity: Fraction):
+    """The pairs whose bitmaps allow the similarity: tokens in one set only are at least the bits that differ."""
+    schema = pa.schema([("fp_a", pa.int64()), ("fp_b", pa.int64())])
 
-    return run, "fp bigint, tokens binary"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BITS // 8) for c in (2, 3))
+            apart = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+            size = np.asarray(batch.column(4), np.int64)
+            # shared <= (size - apart) / 2 and shared / (size - shared) >= similarity
+            p, q = similarity.numerator, similarity.denominator
+            ok = pa.array((size - apart) * (p + q) >= 2 * p * size)
+            yield pa.record_batch([batch.column(0).filter(ok), batch.column(1).filter(ok)], schema=schema)
+
+    return run, "fp_a bigint, fp_b bigint"
 
 
 def similar_classes(df: DataFrame, id_col: str, text_col: str, *, words: int = 5, similarity: str = "0.8") -> tuple[DataFrame, DataFrame]:
@@ -211,7 +236,11 @@ def similar_classes(df: DataFrame, id_col: str, text_col: str, *, words: int = 5
 
     run, kind = _matrix(words, share, order)
     # One exchange by token serves the counts, the matrix and the queries.
-    cells = source.where(F.col("text").isNotNull()).mapInArrow(run, kind).repartition("token")
+    # The filter is what the joins below would otherwise put under the exchange, each its own, so that it could not be shared.
+    whole = F.lit(True)
+    for c in ("token", "fp", "grp", "at"):
+        whole = whole & F.col(c).isNotNull()
+    cells = source.where(F.col("text").isNotNull()).mapInArrow(run, kind).where(whole).repartition("token")
     per_token = Window.partitionBy("token")
     cells = (
         cells.withColumn("some", F.min("fp").over(per_token) != F.max("fp").over(per_token)).where("some")
@@ -237,7 +266,7 @@ def similar_classes(df: DataFrame, id_col: str, text_col: str, *, words: int = 5
     pairs = (
         opened.join(group_of, "grp")
         .where((F.col("fp_a") != F.col("fp_b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * t - eps))
-        .select(F.least("fp_a", "fp_b").alias("fp_a"), F.greatest("fp_a", "fp_b").alias("fp_b")).distinct()
+        .select(F.least("fp_a", "fp_b").alias("fp_a"), F.greatest("fp_a", "fp_b").alias("fp_b"), (F.col("na") + F.col("nb")).alias("size")).distinct()
     )
     pairs = stage(pairs, "near-pairs")
     asked = pairs.select(F.explode(F.array("fp_a", "fp_b")).alias("fp")).distinct()
@@ -245,6 +274,13 @@ def similar_classes(df: DataFrame, id_col: str, text_col: str, *, words: int = 5
     few = ids.count() <= BROADCAST_IDS
     run, kind = _sets(words)
     sets = stage(source.join(F.broadcast(ids) if few else ids, "id", "left_semi").select("text").mapInArrow(run, kind), "near-sets")
+    run, kind = _plausible(share)
+    pairs = stage(
+        pairs.join(sets.select(F.col("fp").alias("fp_a"), F.col("bits").alias("ba")), "fp_a")
+        .join(sets.select(F.col("fp").alias("fp_b"), F.col("bits").alias("bb")), "fp_b")
+        .select("fp_a", "fp_b", "ba", "bb", "size").mapInArrow(run, kind),
+        "near-plausible",
+    )
     run, kind = _compare(words, share)
     alike = (
         pairs.join(sets.select(F.col("fp").alias("fp_a"), F.col("tokens").alias("ta")), "fp_a")
