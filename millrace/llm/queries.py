@@ -52,6 +52,19 @@ def p3_classes(spark: SparkSession, d: str) -> DataFrame:
     return class_links(df, "ord", "complete_function")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    from millrace.llm.credentials import credentials
+
+    return credentials(_records(spark, d, "code.complete_function"), "ord", "complete_function").select("ord", "secret").distinct()
+
+
+def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Every record's code with its credentials masked."""
+    from millrace.llm.credentials import redacted
+
+    return redacted(_records(spark, d, "code.complete_function"), "ord", "complete_function")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     from millrace.llm.capping import over_cap
 
