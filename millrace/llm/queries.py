@@ -37,6 +37,21 @@ def p1_sizes(spark: SparkSession, d: str) -> DataFrame:
     return _splits(spark, d).groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("group").alias("n_groups"))
 
 
+def _functions(spark: SparkSession, d: str) -> DataFrame:
+    from millrace.llm.documented_functions import documented
+
+    return documented(_records(spark, d, "code.complete_function"), "ord", "complete_function")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _functions(spark, d).select("ord", "func_name").distinct()
+
+
+def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs of code and description themselves."""
+    return _functions(spark, d)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     from millrace.llm.near_duplicates import similar_pairs
 
@@ -52,6 +67,18 @@ def p3_classes(spark: SparkSession, d: str) -> DataFrame:
     return class_links(df, "ord", "complete_function")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_kinds(spark, d).select("ord")
+
+
+def p4_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """With the evidence that told each record apart."""
+    from millrace.llm.not_handwritten import file_kinds
+
+    df = _records(spark, d, "code.complete_function", "github_info.file_path", "github_info.repo")
+    return file_kinds(df, "ord", F.col("complete_function"), F.col("file_path"), F.col("repo"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     from millrace.llm.credentials import credentials
 
