@@ -100,6 +100,34 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return over_cap(df, "ord", F.col("code_quality_score"), caps)
 
 
+def p6_kept(spark: SparkSession, d: str) -> DataFrame:
+    """The records that stay, with their host and repository."""
+    kept = _records(spark, d, "api_host", "github_info.repo").join(p6_found(spark, d), "ord", "left_anti")
+    return kept.select("ord", host_name(F.col("api_host")).alias("host"), repo_name(F.col("repo")).alias("repo"))
+
+
+def _copies(spark: SparkSession, d: str):
+    from millrace.llm.format_duplicates import copies
+
+    df = _records(spark, d, "function_name", "github_info.file_path", "code.complete_function")
+    return copies(df, "ord", "function_name", "file_path", "complete_function")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _copies(spark, d)[1].select(F.col("first_id").alias("first_ord"), F.col("id").alias("ord"))
+
+
+def p7_ledger(spark: SparkSession, d: str) -> DataFrame:
+    """The record kept of each group and its number of copies."""
+    return _copies(spark, d)[0].select(F.col("first_id").alias("ord"), "copies")
+
+
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    from millrace.llm.packing import pack
+
+    return pack(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", capacity=2048)
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     from millrace.llm.leakage import leaked_items
 
