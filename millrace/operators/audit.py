@@ -1,0 +1,42 @@
+"""Tests of what a release must not hold."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from millrace.functions.text import entropy
+
+# Shapes of tokens by kind.
+STRONG = {
+    "github_token": r"gh[pousr]_[A-Za-z0-9]{30,}", "aws_access_key": r"AKIA[0-9A-Z]{16}", "google_api_key": r"AIza[0-9A-Za-z_-]{35}", "slack_token": r"xox[abprs]-[0-9A-Za-z-]{10,}",
+    "openai_style_key": r"sk-[A-Za-z0-9]{20,}", "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----", "jwt": r"eyJ[A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]{8,}",
+    "huggingface_token": r"hf_[A-Za-z0-9]{30,}", "gitlab_pat": r"glpat-[A-Za-z0-9_-]{20,}",
+}
+
+
+def safe_literal(v: Column) -> Column:
+    """Whether a value is a placeholder: short, worded as one, or made of filling characters."""
+    return (F.length(v) < 6) | v.rlike(r"(?i)^(?:your|my|test|example|sample|dummy|changeme|placeholder|redacted|none|null|<.*>|\{.*\}|\$\{.*\})") | v.rlike(r"(?i)(?:your|example|placeholder|redacted)[_-]?") | v.rlike(r"^[xX*._-]+$")
+
+
+def sensitive(key: Column, value: Column) -> Column:
+    """Whether the value given to a name is a secret: by the name's class, else by length and entropy."""
+    v = F.regexp_replace(value, r"(?i)^(?:bearer|basic)\s+", "")
+    strong = key.rlike(r"(?i)rapidapi|authorization|cookie|session|password|passwd|token|secret")
+    return F.coalesce(~safe_literal(v) & (strong & (entropy(v) > 0) | (F.length(v) >= 8) & (entropy(v) >= 2.5)), F.lit(False))
+
+
+def findings_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(id, kind)`` of each kind of token that a text holds; values are never shown."""
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.coalesce(F.col(text_col).rlike(p), F.lit(False)).alias("hit")) for k, p in STRONG.items()])
+    return df.select(id_col, F.inline(F.filter(kinds, lambda x: x["hit"]))).select(id_col, "kind")
+
+
+def release_audit(path: Column) -> Column:
+    """Why a file does not belong in a release, or ``ok``."""
+    p = F.lower(F.translate(F.trim(F.coalesce(path, F.lit(""))), "\\", "/"))
+    return (
+        F.when(p.rlike(r"(^|/)([.]env|id_rsa|credentials|secrets?)([.][a-z]+)?$"), "forbidden_name").when(p.rlike(r"(^|/)(node_modules|venv|[.]git|__pycache__)/"), "forbidden_folder")
+        .when(p.rlike(r"[.](pem|key|p12|pyc|log|sqlite|db)$"), "forbidden_suffix").otherwise("ok")
+    )
