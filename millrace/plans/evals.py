@@ -172,7 +172,7 @@ def endpoint_rank(spark, d):
     return j.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("eid") != "").alias("named"), F.count_if((F.col("eid") != "") & F.startswith("gold", "eid")).alias("top1"))
 
 
-@query(FLAT + r", a AS (SELECT m.sample_id, m.model, m.called_at, lower(coalesce(m.raw_output,'')) AS ans, f.host, f.meth FROM model_output m JOIN (SELECT sample_id, min(lower(coalesce(api_host,''))) AS host, min(lower(coalesce(method,'get'))) AS meth FROM flat GROUP BY 1) f USING (sample_id)) SELECT sample_id, model, called_at, host <> '' AND contains(ans, host) AS host_ok, contains(ans, '.' || meth || '(') OR contains(ans,  || meth || ) OR contains(ans, chr(34) || meth || chr(34)) AS method_ok, contains(ans, '.json()') OR contains(ans, '.text') OR contains(ans, '.content') OR contains(ans, 'status_code') OR contains(ans, 'raise_for_status()') AS response_ok, regexp_matches(ans, '\btry\s*:') OR regexp_matches(ans, '\bexcept\b') AS error_ok FROM a")
+@query(FLAT + r", a AS (SELECT m.sample_id, m.model, m.called_at, lower(coalesce(m.raw_output,'')) AS ans, f.host, f.meth FROM model_output m JOIN (SELECT sample_id, min(lower(coalesce(api_host,''))) AS host, min(lower(coalesce(method,'get'))) AS meth FROM flat GROUP BY 1) f USING (sample_id)) SELECT sample_id, model, called_at, host <> '' AND contains(ans, host) AS host_ok, contains(ans, '.' || meth || '(') OR contains(ans, chr(39) || meth || chr(39)) OR contains(ans, chr(34) || meth || chr(34)) AS method_ok, contains(ans, '.json()') OR contains(ans, '.text') OR contains(ans, '.content') OR contains(ans, 'status_code') OR contains(ans, 'raise_for_status()') AS response_ok, regexp_matches(ans, '\btry\s*:') OR regexp_matches(ans, '\bexcept\b') AS error_ok FROM a")
 def answer_checks(spark, d):
     """Host, method, response and error handling in each answer."""
     g = flat(spark, d).groupBy("sample_id").agg(F.min(F.lower(F.coalesce("api_host", F.lit("")))).alias("host"), F.min(F.lower(F.coalesce("method", F.lit("get")))).alias("meth"))
