@@ -123,7 +123,7 @@ def _keys():
 
 def canonical_keys(df: DataFrame, id_col: str, name_col: str, path_col: str, code_col: str) -> DataFrame:
     """``(id, key, bucket)`` of the records whose code is not null; a null name or path counts as empty."""
-    source = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(name_col), F.col(path_col), F.col(code_col).alias("code")).where("code is not null")
+    source = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(name_col).alias("name"), F.col(path_col).alias("path"), F.col(code_col).alias("code")).where("code is not null")
     run, kind = _keys()
     return source.mapInArrow(run, kind).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int"))
 
