@@ -156,9 +156,32 @@ def p10_spans(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", length=200)
 
 
+_TRIM = r"regexp_replace(lower({0}), '^\\s+|\\s+$', '', 'g')".replace("\\\\", "\\")
+_HOST = f"nullif(regexp_replace(regexp_replace(regexp_replace({_TRIM.format('api_host')}, '^([a-z][a-z0-9+.-]*:)?//', ''), '[/?#].*$', ''), '(:[0-9]*)?[.]*(:[0-9]*)?$', ''), '')"
+_REPO = f"nullif(regexp_replace(regexp_replace(regexp_replace({_TRIM.format('github_info.repo')}, '^[a-z][a-z0-9+.-]*://[^/]*/+', ''), '^/+|/+$', '', 'g'), '([.]git)+$', ''), '')"
+_NAMED = f"WITH RECURSIVE r AS (SELECT ord, {_HOST} AS h, {_REPO} AS p, quality_metrics.code_quality_score AS s FROM function_record)"
+SQL = {
+    "p1_found": _NAMED + """, e AS (SELECT DISTINCT 'h ' || h AS a, 'r ' || p AS b FROM r WHERE h IS NOT NULL AND p IS NOT NULL), sym AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+ reach(node, root) AS (SELECT DISTINCT 'h ' || h, 'h ' || h FROM r WHERE h IS NOT NULL UNION SELECT sym.b, reach.root FROM reach JOIN sym ON sym.a = reach.node),
+ g AS (SELECT node, min(root) AS root FROM reach GROUP BY 1) SELECT r.ord, substr(g.root, 3) AS group_host FROM r JOIN g ON g.node = coalesce('h ' || r.h, 'r ' || r.p)""",
+    "p3_found": """WITH w AS (SELECT ord, regexp_extract_all(lower(code.complete_function), '[a-z0-9_]+') AS w FROM function_record),
+ s AS (SELECT DISTINCT ord, w[i] || ' ' || w[i+1] || ' ' || w[i+2] AS t FROM w, LATERAL (SELECT unnest(range(1, len(w) - 1)) AS i)), n AS (SELECT ord, count(*) AS n FROM s GROUP BY 1),
+ c AS (SELECT a.ord AS x, b.ord AS y, count(*) AS k FROM s a JOIN s b ON a.t = b.t AND a.ord < b.ord GROUP BY 1, 2)
+ SELECT c.x AS ord_a, c.y AS ord_b FROM c JOIN n p ON p.ord = c.x JOIN n q ON q.ord = c.y WHERE 10 * c.k >= 7 * (p.n + q.n - c.k)""",
+    "p6_found": _NAMED + """, k AS (SELECT ord, h, p, row_number() OVER (PARTITION BY h ORDER BY s DESC NULLS LAST, ord) AS i, row_number() OVER (PARTITION BY p ORDER BY s DESC NULLS LAST, ord) AS j FROM r)
+ SELECT ord FROM k WHERE (h IS NOT NULL AND i > 20) OR (p IS NOT NULL AND j > 5)""",
+    "p9_found": """WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents), i AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_item),
+ dw AS (SELECT DISTINCT doc_id, array_to_string(w[k:k+12], ' ') AS g FROM d, LATERAL (SELECT unnest(range(1, len(w) - 11)) AS k)), iw AS (SELECT DISTINCT item_id, array_to_string(w[k:k+12], ' ') AS g FROM i, LATERAL (SELECT unnest(range(1, len(w) - 11)) AS k))
+ SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (g)""".replace("\\\\", "\\"),
+    "p10_found": """WITH w AS (SELECT doc_id, k, md5(substr(text, k, 200)) AS g FROM documents, LATERAL (SELECT unnest(range(1, length(text) - 198)) AS k) WHERE length(text) >= 200),
+ s AS (SELECT g FROM w GROUP BY g HAVING min(doc_id) <> max(doc_id)), c AS (SELECT doc_id, k, lag(k) OVER (PARTITION BY doc_id ORDER BY k) AS prev FROM w WHERE g IN (SELECT g FROM s))
+ SELECT doc_id, sum(CASE WHEN prev IS NULL OR k - prev >= 200 THEN 200 ELSE k - prev END)::BIGINT AS shared_chars FROM c GROUP BY 1""",
+}
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
