@@ -136,7 +136,7 @@ def allocate(bundles: list[tuple[int, str, int]], shares: dict[str, float]) -> d
         x = key[1]
         for k, f in by.items():
             left[x][k] += f
-    room = {k: sum(left[x][k] for x in labels) for k in names}
+    room = dict(quota)
     out: dict = {}
     for s, x, n in sorted(bundles, key=lambda b: (-b[0], b[1])):
         take = dict.fromkeys(names, 0)
@@ -146,8 +146,12 @@ def allocate(bundles: list[tuple[int, str, int]], shares: dict[str, float]) -> d
         while sum(take.values()) > n:
             k = max(names, key=lambda k: take[k])
             take[k] -= 1
+        # What the label's flow left over fills the splits' remaining room, the roomiest first; then one by one at least cost.
+        for k in sorted(names, key=lambda k: take[k] * s - room[k]):
+            take[k] += max(0, min(n - sum(take.values()), int((room[k] - take[k] * s) // s)))
         for _ in range(n - sum(take.values())):
-            k = max(names, key=lambda k: (room[k] - take[k] * s) + 0.5 * (left[x][k] - take[k] * s))
+            over = {k: 4 * max(0.0, s - max(0.0, room[k] - take[k] * s)) + max(0.0, s - max(0.0, left[x][k] - take[k] * s)) for k in names}
+            k = min(names, key=lambda k: (over[k], take[k] * s - room[k]))
             take[k] += 1
         for k in names:
             left[x][k] -= take[k] * s
