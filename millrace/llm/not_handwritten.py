@@ -43,7 +43,7 @@ _COPIED = re.compile(
 )
 # Folders and files that nobody writes by hand, in the lower-cased path.
 _PATH = re.compile(
-    r"""(?x)(?:^|/)(?:_?vendor|vendored|third[_-]?party|node_modules|bower_components|jspm_packages|site-packages|dist-packages|\.?venv|virtualenv|\.tox|swagger_client|openapi_client|autogen|_?generated|__generated__|gen|codegen|gen-src|pods|carthage|\.bundle)/
+    r"""(?x)(?:^|/)(?:_?vendor|vendored|third[_-]?party|node[_-]modules|bower[_-]components|jspm[_-]packages|site[_-]packages|dist[_-]packages|\.?venv|virtualenv|\.tox|swagger[_-]client|openapi[_-]client|autogen|_?generated|__generated__|gen|codegen|gen-src|pods|carthage|\.bundle)/
     |(?:^|/)build/(?:lib|generated|out|classes)/|(?:^|/)external/[^/]+-v?\d[\w.]*/|(?:^|/)(?:dist|bundle)/[^/]+\.js$
     |_pb2(?:_grpc)?\.pyi?$|\.pb\.(?:go|js)$|[._-]min\.(?:js|css)$|\.(?:bundle|chunk)\.js$|\.g\.(?:py|js|dart|cs|ts)$|[._](?:generated|autogen|gen)\.\w+$|/(?:assets|static)/(?:.*/)?[^/]+[-.][0-9a-f]{8,}\.js$|^(?:assets|static)/(?:.*/)?[^/]+[-.][0-9a-f]{8,}\.js$"""
 )
