@@ -10,7 +10,7 @@ from millrace.functions import urls
 from millrace.functions.jsonvals import collected_names, comments_text, json_strings, param_names
 from millrace.operators.dedupe import first_wins
 from millrace.operators.select import top_per_group
-from millrace.plans.records import FLAT, flat
+from millrace.plans.records import FLAT, flat, heavy
 from millrace.plans.registry import query
 from millrace.runtime import table
 
@@ -162,7 +162,7 @@ _DOCUMENTED = f""", m AS (SELECT f.ord, e.pos, CASE WHEN coalesce(e.url,'') <> '
 def documented_endpoint(spark, d):
     """The endpoint that each record's code names best: by address, by route, by host, else the first; joined by API, so never all with all."""
     e = endpoints(spark, d).select("api_name", "pos", F.col("endpoint_id").alias("eid"), F.col("url").alias("e_url"), F.col("host").alias("e_host"), urls.route(F.col("route")).alias("e_route"))
-    j = flat(spark, d).select("ord", "api_name", "code").join(e, "api_name")
+    j = heavy(spark, d, "api_name", "code").join(e, "api_name")
     has = lambda c: F.coalesce(F.contains(F.col("code"), c), F.lit(False))
     step = F.when((F.coalesce("e_url", F.lit("")) != "") & has(F.col("e_url")), 1).when((F.length("e_route") > 1) & has(F.col("e_route")), 2)
     step = step.when((F.coalesce("e_host", F.lit("")) != "") & F.coalesce(F.contains(F.lower("code"), F.lower("e_host")), F.lit(False)), 3).otherwise(4)

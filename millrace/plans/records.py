@@ -11,7 +11,7 @@ from millrace.operators import quality as ql
 from millrace.operators.dedupe import duplicate_count, first_wins, greedy_near, numbered
 from millrace.operators.select import early_stop, hash_split, select_balanced, top_per_group, two_level_top
 from millrace.plans.registry import query
-from millrace.runtime import table
+from millrace.runtime import spread, table
 
 
 def records(spark: SparkSession, d: str) -> DataFrame:
@@ -35,6 +35,11 @@ def flat(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def heavy(spark: SparkSession, d: str, *cols: str) -> DataFrame:
+    """Some of the fields, over all cores, for work that costs more than moving them."""
+    return spread(flat(spark, d).select("ord", *cols), "ord")
+
+
 # The flat view in SQL.
 FLAT = """WITH flat AS (SELECT ord, sample_id, api_name, api_host, function_name, language, source_machine, comments_source, comments, github_info.repo AS repo,
  github_info.file_path AS path, github_info.stars AS stars, github_info.query_layer AS layer, code.complete_function AS src, code.has_comments AS has_comments,
@@ -56,7 +61,7 @@ def _key():
 @query(FLAT + f"SELECT min(ord) AS ord, count(*) AS copies FROM flat GROUP BY {_KEY}")
 def dedupe_first_wins(spark, d):
     """First record of each host, repository, path, function and normalised code."""
-    df = flat(spark, d)
+    df = heavy(spark, d, "api_host", "repo", "path", "function_name", "code")
     return df.groupBy(*[k.alias(f"k{i}") for i, k in enumerate(_key())]).agg(F.min("ord").alias("ord"), F.count(F.lit(1)).alias("copies")).select("ord", "copies")
 
 
@@ -68,7 +73,7 @@ def dedupe_exact_code(spark, d):
 
 @query(FLAT + f"SELECT count(*) AS total, count(DISTINCT k) AS kept, count(*) - count(DISTINCT k) AS duplicates FROM (SELECT concat_ws('|', {_KEY}) AS k FROM flat)")
 def dedupe_dup_count(spark, d):
-    df = flat(spark, d).select(F.concat_ws("|", *_key()).alias("k"))
+    df = heavy(spark, d, "api_host", "repo", "path", "function_name", "code").select(F.concat_ws("|", *_key()).alias("k"))
     return duplicate_count(df, [F.col("k")])
 
 
@@ -109,7 +114,7 @@ _AUTO = " OR ".join(f"contains(lower(x), '{t.lower()}')" for t in ql.AUTO_TOKENS
 
 @query(FLAT + f"SELECT ord FROM (SELECT ord, src AS x FROM flat UNION ALL SELECT ord, repo AS x FROM flat) WHERE {_AUTO} GROUP BY ord")
 def auto_generated(spark, d):
-    df = flat(spark, d)
+    df = heavy(spark, d, "code", "repo")
     return df.where(ql.auto_generated(F.col("code"), F.col("repo"))).select("ord")
 
 
@@ -129,7 +134,7 @@ def auto_generated_names(spark, d):
  len(list_filter(string_split(src, chr(10)), lambda x: starts_with(trim(x), '#') AND NOT starts_with(trim(x), '#!')))::INT AS comment_lines FROM flat"""
 )
 def code_checks(spark, d):
-    df = flat(spark, d)
+    df = heavy(spark, d, "code")
     return df.select("ord", *[v.alias(k) for k, v in ql.checks(F.col("code")).items()])
 
 
@@ -333,7 +338,7 @@ def validation(spark, d):
  FROM (SELECT trim(replace(replace(unnest(string_split(src, chr(10))), chr(9), ' '), chr(13), ' ')) AS l FROM flat)) GROUP BY 1"""
 )
 def line_classify(spark, d):
-    return flat(spark, d).select(F.explode(F.split("code", "\n")).alias("l")).groupBy(line_comment(F.col("l")).alias("line_kind")).agg(F.count(F.lit(1)).alias("n"))
+    return heavy(spark, d, "code").select(F.explode(F.split("code", "\n")).alias("l")).groupBy(line_comment(F.col("l")).alias("line_kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -351,19 +356,19 @@ def line_before(spark, d):
 @query()
 def code_facts_all(spark, d):
     """Facts from the syntax tree, each text parsed once."""
-    df = flat(spark, d).select("ord", code_facts(F.col("code")).alias("f"))
+    df = heavy(spark, d, "code").select("ord", code_facts(F.col("code")).alias("f"))
     return df.select("ord", "f.*")
 
 
 @query()
 def function_extract(spark, d):
-    df = flat(spark, d).select("ord", "code", F.array(F.coalesce("api_host", F.lit(""))).alias("hosts"))
+    df = heavy(spark, d, "code", "api_host").select("ord", "code", F.array(F.coalesce("api_host", F.lit(""))).alias("hosts"))
     return df.select("ord", F.inline(extract_functions(F.col("code"), F.col("hosts"))))
 
 
 @query()
 def annotate_code(spark, d):
-    df = flat(spark, d).select("ord", annotated(F.col("code")).alias("a"))
+    df = heavy(spark, d, "code").select("ord", annotated(F.col("code")).alias("a"))
     return df.select("ord", F.col("a.code").alias("annotated"), F.size("a.inserted").alias("inserted"))
 
 

@@ -44,6 +44,20 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+SPREAD_BYTES = 16 << 20
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """The rows over all cores by a unique key, where the scan would leave most of them idle.
+
+    A small file of one row group is one task, however costly the work on its
+    rows; a scan with ``SPREAD_BYTES`` for each core is taken as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, key) if size < cores * SPREAD_BYTES else df
+
+
 def _drop_written() -> None:
     for spark, path in _WRITTEN:
         try:
