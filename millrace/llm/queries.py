@@ -8,13 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.identity import host_name, repo_name, strip
-from millrace.runtime import table
+from millrace.runtime import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _records(spark: SparkSession, d: str, *more: str) -> DataFrame:
-    return table(spark, d, "function_record").select("ord", *[F.col(c).alias(c.rpartition(".")[2]) for c in more])
+    df = table(spark, d, "function_record").select("ord", *[F.col(c).alias(c.rpartition(".")[2]) for c in more])
+    return spread(df, "ord") if "code.complete_function" in more else df
+
+
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
 
 
 def _splits(spark: SparkSession, d: str) -> DataFrame:
@@ -125,13 +130,13 @@ def p7_ledger(spark: SparkSession, d: str) -> DataFrame:
 def p8_packed(spark: SparkSession, d: str) -> DataFrame:
     from millrace.llm.packing import pack
 
-    return pack(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", capacity=2048)
+    return pack(_documents(spark, d), "doc_id", "text", capacity=2048)
 
 
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     from millrace.llm.leakage import leaked_items
 
-    return leaked_items(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_item"), "item_id", "text", window=13)
+    return leaked_items(_documents(spark, d), "doc_id", "text", table(spark, d, "eval_item"), "item_id", "text", window=13)
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -146,14 +151,14 @@ def p9_templates(spark: SparkSession, d: str) -> DataFrame:
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     from millrace.llm.shared_spans import shared_chars
 
-    return shared_chars(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", length=200)
+    return shared_chars(_documents(spark, d), "doc_id", "text", length=200)
 
 
 def p10_spans(spark: SparkSession, d: str) -> DataFrame:
     """The shared stretches themselves."""
     from millrace.llm.shared_spans import shared_spans
 
-    return shared_spans(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", length=200)
+    return shared_spans(_documents(spark, d), "doc_id", "text", length=200)
 
 
 _TRIM = r"regexp_replace(lower({0}), '^\\s+|\\s+$', '', 'g')".replace("\\\\", "\\")

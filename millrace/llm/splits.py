@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections import defaultdict, deque
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from millrace.runtime import stage
@@ -33,20 +33,22 @@ def _stars(edges: DataFrame) -> DataFrame:
     return small.distinct()
 
 
-def _digest(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return tuple(r)
+def _settled(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges as written, and their number and hash sum, taken as they were written."""
+    seen = Observation()
+    h = F.xxhash64("u", "v")
+    out = stage(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(h.cast("decimal(38,0)")).alias("h")), "graph-edges")
+    got = seen.get
+    return out, (got["n"], got["h"])
 
 
 def components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
     """``(node, root)`` of every node of the edges ``(u, v)``; the root is the least node of its component."""
     both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     nodes = stage(both.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "graph-nodes")
-    now = stage(both.where("u <> v").distinct(), "graph-edges")
-    seen = _digest(now)
+    now, seen = _settled(both.where("u <> v").distinct())
     for _ in range(rounds):
-        now = stage(_stars(now), "graph-edges")
-        digest = _digest(now)
+        now, digest = _settled(_stars(now))
         if digest == seen:
             break
         seen = digest
