@@ -8,13 +8,17 @@ therefore never loses an intermediate result.
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
@@ -68,6 +72,27 @@ def _drop_written() -> None:
             return
 
 
+def ship(spark: SparkSession) -> None:
+    """Let the Python workers import this package, wherever the driver found it.
+
+    Local workers get its folder on their path; a cluster gets it as an archive.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(sc.applicationId)
+    root = Path(__file__).resolve().parent.parent
+    if sc.master.startswith("local[") or sc.master == "local":
+        sc.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [str(root), sc.environment.get("PYTHONPATH")]))
+        return
+    archive = Path(tempfile.mkdtemp(prefix="millrace-ship-")) / "millrace.zip"  # on the driver alone; Spark copies it to the executors
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted((root / "millrace").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    sc.addPyFile(str(archive))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the test tables, a file or a folder of files."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
