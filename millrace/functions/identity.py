@@ -22,7 +22,7 @@ _SPACE = r"[\s\x{FEFF}\x{200B}]*"
 _HOST = rf"(?sU)^{_SPACE}(?:(?:[a-z][a-z0-9+.\-]*:)?//)?(?:[^/?#\\]*@)?([^/?#\\@]*?)\.*(?::\d*)?\.*{_SPACE}(?:[/?#\\].*)?$"
 # A site before owner and name: with a scheme, as user@site:, or as a first of three parts that holds a dot.
 _SITE = r"(?:(?:git\+)?[a-z][a-z0-9+.\-]*://[^/]*/+|[^/@:]+@[^/:]+:/*|[^/]+\.[^/]+/(?=[^/]+/[^/]))?"
-_REPO = rf"(?sU)^{_SPACE}/*{_SITE}/*([^/?#]+?(?:/[^/?#]+?)?)(?:\.git)*{_SPACE}(?:/[^?#]*)?(?:[?#].*)?$"
+_REPO = rf"(?sU)^{_SPACE}/*{_SITE}/*([^/?#\s][^/?#]*?(?:/[^/?#]+?)?)(?:\.git)*(?:/[^?#]*)?(?:[?#].*)?{_SPACE}$"
 
 
 def host_name(c: Column) -> Column:

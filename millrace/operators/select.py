@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.runtime import stage
+from millrace.runtime import discard, stage
 
 
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -37,13 +37,14 @@ def select_balanced(df: DataFrame, id_col: str, rank: str, caps: list[tuple[str,
         x = now
         full, free = F.lit(False), F.lit(True)
         for i, (_, cap) in enumerate(caps):
-            before = Window.partitionBy(f"g{i}").orderBy("rk").rowsBetween(Window.unboundedPreceding, -1)
-            x = x.withColumn(f"t{i}", F.coalesce(F.sum((F.col("state") == 1).cast("int")).over(before), F.lit(0)))
-            x = x.withColumn(f"o{i}", F.coalesce(F.sum((F.col("state") == 0).cast("int")).over(before), F.lit(0)))
+            earlier = Window.partitionBy(f"g{i}").orderBy("rk").rowsBetween(Window.unboundedPreceding, -1)
+            x = x.withColumn(f"t{i}", F.coalesce(F.sum((F.col("state") == 1).cast("int")).over(earlier), F.lit(0)))
+            x = x.withColumn(f"o{i}", F.coalesce(F.sum((F.col("state") == 0).cast("int")).over(earlier), F.lit(0)))
             full = full | (F.col(f"t{i}") >= cap)
             free = free & (F.col(f"t{i}") + F.col(f"o{i}") < cap)
         state = F.when(F.col("state") != 0, F.col("state")).when(full, 2).when(free, 1).otherwise(0)
-        now = stage(x.withColumn("state", state).select(now.columns), "balance")
+        before, now = now, stage(x.withColumn("state", state).select(now.columns), "balance")
+        discard(before)
         if not now.where("state = 0").limit(1).count():
             break
     else:

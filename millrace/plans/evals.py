@@ -9,6 +9,7 @@ from millrace.functions import text as tx
 from millrace.operators.dedupe import last_wins
 from millrace.operators.metrics import bool_mean, pass_at_k as _pass_at_k, set_prf as _set_prf, wilson
 from millrace.operators.quality import ANSWER_TOKENS, any_token
+from millrace.operators.select import top_per_group
 from millrace.plans.records import FLAT, flat
 from millrace.plans.registry import query
 from millrace.runtime import table
@@ -158,9 +159,10 @@ def host_join(spark, d):
 @query("SELECT model, sample_id, called_at, elapsed_sec, row_number() OVER (PARTITION BY model ORDER BY elapsed_sec DESC NULLS LAST, sample_id, called_at)::INT AS place, round(elapsed_sec - lag(elapsed_sec) OVER (PARTITION BY model ORDER BY elapsed_sec DESC NULLS LAST, sample_id, called_at), 6) AS step FROM model_output QUALIFY row_number() OVER (PARTITION BY model ORDER BY elapsed_sec DESC NULLS LAST, sample_id, called_at) <= 10")
 def slowest_answers(spark, d):
     """Ten slowest answers of each model and their distance."""
-    w = Window.partitionBy("model").orderBy(F.col("elapsed_sec").desc_nulls_last(), "sample_id", "called_at")
-    m = table(spark, d, "model_output").select("model", "sample_id", "called_at", "elapsed_sec", F.row_number().over(w).alias("place"), F.round(F.col("elapsed_sec") - F.lag("elapsed_sec").over(w), 6).alias("step"))
-    return m.where("place <= 10")
+    order = [F.col("elapsed_sec").desc_nulls_last(), F.col("sample_id").asc(), F.col("called_at").asc()]
+    m = table(spark, d, "model_output").select("model", "sample_id", "called_at", "elapsed_sec")
+    top = top_per_group(m, ["model"], order, 10, "place")  # few rows a model before the second window
+    return top.withColumn("step", F.round(F.col("elapsed_sec") - F.lag("elapsed_sec").over(Window.partitionBy("model").orderBy("place")), 6))
 
 
 @query(FLAT + ", a AS (SELECT sample_id, model, called_at, regexp_extract(coalesce(raw_output,''), '(apiendpoint_[0-9a-fA-F-]+)', 1) AS eid FROM model_output), g AS (SELECT sample_id, min(coalesce(endpoint_id,'')) AS gold FROM flat GROUP BY 1) SELECT a.model, count(*) AS n, count(*) FILTER (a.eid <> '') AS named, count(*) FILTER (a.eid <> '' AND starts_with(g.gold, a.eid)) AS top1 FROM a JOIN g USING (sample_id) GROUP BY 1")

@@ -42,10 +42,23 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if not _WRITTEN:
-        atexit.register(_drop_written)
     _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a staged table that nothing will read any more."""
+    path = getattr(df, "staged_at", None)
+    if path:
+        _delete(df.sparkSession, path)
+        _WRITTEN[:] = [w for w in _WRITTEN if w[1] != path]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 SPREAD_BYTES = 16 << 20
@@ -62,12 +75,11 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if size < cores * SPREAD_BYTES else df
 
 
+@atexit.register
 def _drop_written() -> None:
     for spark, path in _WRITTEN:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the session may be gone; the folder is the cluster's to clean then
             return
 

@@ -68,9 +68,9 @@ def test_fence(spark):
 
 
 def test_hosts_and_repositories(spark):
-    for x, y in [("HTTP://A.b.Example/", "a.b.example"), ("a.example:443", "a.example"), (" a.example.", "a.example"), ("https://u:p@a.example:8/x?y", "a.example"), ("  ", None), ("", None), (None, None)]:
+    for x, y in [("HTTP://A.b.Example/", "a.b.example"), ("a.example:443", "a.example"), (" a.example.", "a.example"), ("https://u:p@a.example:8/x?y", "a.example"), ("  ", None), ("", None), ("https://", None), (":443", None), (None, None)]:
         assert one(spark, identity.host_name(F.lit(x).cast("string"))) == y
-    for x, y in [("https://site.example/Own/Name.git", "own/name"), ("git@site.example:Own/Name.git", "own/name"), (" Own/Name/ ", "own/name"), ("https://site.example/own/name/tree/main", "own/name"), ("own/na.me", "own/na.me"), ("", None), (None, None)]:
+    for x, y in [("https://site.example/Own/Name.git", "own/name"), ("git@site.example:Own/Name.git", "own/name"), (" Own/Name/ ", "own/name"), ("https://site.example/own/name/tree/main", "own/name"), ("own/na.me", "own/na.me"), ("", None), (" \t", None), ("/", None), (" own / name ", "own / name"), (None, None)]:
         assert one(spark, identity.repo_name(F.lit(x).cast("string"))) == y
 
 
