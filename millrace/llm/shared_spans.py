@@ -204,26 +204,23 @@ def shared_spans(df: DataFrame, id_col: str, text_col: str, *, length: int = 200
     k = k or max(8, length * 12 // 25)
     source = df.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
     run, kind = _anchors(k, length)
-    cells = source.where(F.char_length("text") >= length).mapInArrow(run, kind).repartition("h")
-    by_class, by_anchor = Window.partitionBy("h", "ctx"), Window.partitionBy("h")
-    cells = (
-        cells.withColumn("rn", F.row_number().over(by_class.orderBy("doc", "at")))
-        .withColumn("many", F.min("doc").over(by_class) != F.max("doc").over(by_class))
-        .withColumn("classes", F.sum((F.col("rn") == 1).cast("int")).over(by_anchor))
-        .withColumn("some", F.min("doc").over(by_anchor) != F.max("doc").over(by_anchor))
-        .withColumn("open", F.sum((~F.col("many")).cast("int")).over(by_anchor) > 0)
-        .where("some").drop("some")
-    )
-    cells = stage(cells, "span-anchors")
+    anchors = stage(source.where(F.char_length("text") >= length).mapInArrow(run, kind), "span-anchors")
+    # Aggregates combine before they shuffle, so an anchor in a third of all documents is a row per task, never one task's group.
+    common = anchors.groupBy("h").agg(F.min("doc").alias("d1"), F.max("doc").alias("d2")).where("d1 <> d2").select("h")
+    cells = stage(anchors.join(common, "h"), "span-cells")
+    classes = cells.groupBy("h", "ctx").agg(F.min("doc").alias("d1"), F.max("doc").alias("d2"), F.min(F.struct("doc", "at")).alias("one"))
+    classes = classes.select("h", "ctx", (F.col("d1") != F.col("d2")).alias("many"), F.col("one.doc").alias("doc"), F.col("one.at").alias("at"))
+    per_anchor = classes.groupBy("h").agg(F.count(F.lit(1)).alias("classes"), F.bool_or(~F.col("many")).alias("open"))
+    classes = stage(classes.join(per_anchor, "h"), "span-classes")
     pos, before, behind = F.shiftright("at", 20), F.shiftright("at", 10).bitwiseAND(1023), F.col("at").bitwiseAND(1023)
-    settled = cells.where("many").where(before + behind >= length).select("doc", (pos - before).alias("start"), (pos + behind).alias("stop"))
+    own = cells.join(classes.select("h", "ctx", "many"), ["h", "ctx"])
+    settled = own.where("many").where(before + behind >= length).select("doc", (pos - before).alias("start"), (pos + behind).alias("stop"))
 
-    mark = F.struct("h", "ctx", "at")
-    asked = cells.where("rn = 1 and classes > 1 and open").groupBy("doc").agg(F.collect_list(mark).alias("marks"))
+    reps = classes.where("classes > 1 and open")
+    asked = reps.groupBy("doc").agg(F.collect_list(F.struct("h", "ctx", "at")).alias("marks"))
     run, kind = _contexts()
     contexts = source.join(asked, "doc").select("doc", "text", "marks").mapInArrow(run, kind)
-    info = cells.where("rn = 1 and classes > 1 and open").select("h", "ctx", "many", "classes")
-    contexts = stage(contexts.join(info, ["h", "ctx"]), "span-contexts")
+    contexts = stage(contexts.join(reps.select("h", "ctx", "many", "classes"), ["h", "ctx"]), "span-contexts")
 
     run, kind = _extents(length)
     few = (
@@ -233,11 +230,11 @@ def shared_spans(df: DataFrame, id_col: str, text_col: str, *, length: int = 200
     run, kind = _windows(length)
     rows = contexts.where(F.col("classes") > group_bound)
     windows = rows.select("h", "ctx", "doc", "before", "behind").mapInArrow(run, kind)
-    common = windows.join(rows.select("h", "ctx", "many"), ["h", "ctx"]).groupBy("w").agg(F.min("doc").alias("d1"), F.max("doc").alias("d2"), F.max("many").alias("m")).where("d1 <> d2 or m")
-    lots = windows.join(common.select("w"), "w", "left_semi").groupBy("h", "ctx").agg(F.max("o").cast("int").alias("before"), (length - F.min("o")).cast("int").alias("behind"))
+    shared = windows.join(rows.select("h", "ctx", "many"), ["h", "ctx"]).groupBy("w").agg(F.min("doc").alias("d1"), F.max("doc").alias("d2"), F.max("many").alias("m")).where("d1 <> d2 or m")
+    lots = windows.join(shared.select("w"), "w", "left_semi").groupBy("h", "ctx").agg(F.max("o").cast("int").alias("before"), (length - F.min("o")).cast("int").alias("behind"))
     reach = few.unionByName(lots)
     unsettled = (
-        cells.where("not many").select("h", "ctx", "doc", "at").join(reach, ["h", "ctx"])
+        own.where("not many").select("h", "ctx", "doc", "at").join(reach, ["h", "ctx"])
         .select("doc", (pos - F.col("before")).alias("start"), (pos + F.col("behind")).alias("stop"))
     )
     spans = settled.unionByName(unsettled)
