@@ -16,10 +16,10 @@ from collections import defaultdict, deque
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from millrace.runtime import stage
+from millrace.runtime import discard, stage
 
 LARGE_SHARE = 0.01  # components above this share of the rows are nodes of their own; at most 1 / LARGE_SHARE exist
-BUCKETS = 1024  # hash ranges in which the members of a bundle are counted
+BUCKETS = 16384  # hash ranges in which the members of a bundle are counted
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -48,7 +48,9 @@ def components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
     nodes = stage(both.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "graph-nodes")
     now, seen = _settled(both.where("u <> v").distinct())
     for _ in range(rounds):
-        now, digest = _settled(_stars(now))
+        before = now
+        now, digest = _settled(_stars(before))
+        discard(before)
         if digest == seen:
             break
         seen = digest
