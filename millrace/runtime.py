@@ -71,7 +71,9 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     rows; a scan with ``SPREAD_BYTES`` for each core is taken as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    # The files' size: an estimate of the columns chosen takes every text for a short one.
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     return df.repartition(cores, key) if size < cores * SPREAD_BYTES else df
 
 
