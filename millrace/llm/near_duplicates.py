@@ -38,6 +38,7 @@ from millrace.runtime import stage
 FREQUENT_SHARE = 0.00005  # a token in more texts than this is ordered by its count; bounds the order's table
 BROADCAST_IDS = 1_000_000  # ids up to which the texts to compare are picked by broadcast (8 MB); more are joined by shuffle
 COUNT_ROWS = 16384  # texts over which a task counts before it reports the tokens seen often
+HOT_TEXTS = 2_000_000  # a token in more texts than this is dealt to several parts
 BITS = 512
 _U = np.uint64
 
@@ -91,9 +92,13 @@ def _describe(words: int, similarity: Fraction):
     return run, "kind int, id bigint, fp bigint, fp2 bigint, n bigint"
 
 
-def _matrix(words: int, similarity: Fraction, order):
-    """(token, fp, grp, pos, n) of each text's prefix; a task reports equal sets once as far as it remembers them."""
-    schema = pa.schema([(c, pa.int64()) for c in ("token", "fp", "grp", "at")])
+def _matrix(words: int, similarity: Fraction, order, hot: int, only_hot: bool):
+    """(token, fp, grp, at) of each text's prefix; a task reports equal sets once as far as it remembers them.
+
+    Tokens in more than ``hot`` texts are left out, or alone come out, with the
+    number of parts that their texts are dealt to and the text's part.
+    """
+    schema = pa.schema([(c, pa.int64()) for c in ("token", "fp", "grp", "at", *(("parts", "part") if only_hot else ()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, count = order.value
@@ -124,19 +129,23 @@ def _matrix(words: int, similarity: Fraction, order):
                 first = np.searchsorted(row, np.arange(j - i))
                 pos = np.arange(len(row)) - first[row]
                 prefix = pos < (n - _needed(similarity, n) + 1)[row]
-                row, h, pos = row[prefix], h[prefix], pos[prefix]
+                row, h, pos, rank = row[prefix], h[prefix], pos[prefix], rank[o][prefix]
                 least = np.zeros(j - i, _U)
                 if len(row):
                     own, begin = np.unique(row, return_index=True)
                     least[own] = np.minimum.reduceat(vec.mix(h, 17), begin)
                 band = np.floor(np.log(np.maximum(n, 1)) / math.log(1.15)).astype(_U)
                 grp = vec.mix(least + band * _U(0x9E3779B97F4A7C15), 19)
-                yield pa.record_batch(
-                    [pa.array(h.view(np.int64)), pa.array(a[row].view(np.int64)), pa.array(grp[row].view(np.int64)), pa.array((pos << 32) | n[row])],
-                    schema=schema,
-                )
+                keep = rank > hot if only_hot else rank <= hot
+                row, h, pos, rank = row[keep], h[keep], pos[keep], rank[keep]
+                own = a[row]
+                cols = [h.view(np.int64), own.view(np.int64), grp[row].view(np.int64), (pos << 32) | n[row]]
+                if only_hot:
+                    parts = 1 + rank // hot
+                    cols += [parts, (vec.mix(own, 37) % parts.astype(_U)).astype(np.int64)]
+                yield pa.record_batch([pa.array(c) for c in cols], schema=schema)
 
-    return run, "token bigint, fp bigint, grp bigint, at bigint"
+    return run, "token bigint, fp bigint, grp bigint, at bigint" + ", parts bigint, part bigint" * only_hot
 
 
 def _compare(words: int, similarity: Fraction):
@@ -206,7 +215,7 @@ def _plausible(similarity: Fraction):
     return run, "fp_a bigint, fp_b bigint"
 
 
-def similar_classes(df: DataFrame, id_col: str, text_col: str, *, words: int = 5, similarity: str = "0.8") -> tuple[DataFrame, DataFrame]:
+def similar_classes(df: DataFrame, id_col: str, text_col: str, *, words: int = 5, similarity: str = "0.8", hot: int = HOT_TEXTS) -> tuple[DataFrame, DataFrame]:
     """Membership ``(id, class_id, copies)`` and links ``(class_a, class_b, similarity)`` between classes.
 
     A class is a set of records of one token set, named by its least id.
@@ -234,35 +243,48 @@ def similar_classes(df: DataFrame, id_col: str, text_col: str, *, words: int = 5
     )
     members = texts.join(classes.select("fp", "fp2", "class_id", "copies"), ["fp", "fp2"]).select("id", "class_id", "copies")
 
-    run, kind = _matrix(words, share, order)
+    t = float(share)
+    u, eps = t / (1 + t), 1e-9
+    size = [F.shiftright("at", 32).cast("int").alias("pos"), F.col("at").bitwiseAND((1 << 32) - 1).cast("int").alias("n")]
+    # A row of the matrix: a token, a group holding it, the sizes of the members and the most that one has from the token on.
+    row = [F.max("n").alias("most"), F.min("n").alias("least"), F.max(F.col("n") - F.col("pos")).alias("behind"), F.count(F.lit(1)).alias("held"), F.min("fp").alias("one")]
+
+    def met(asking: DataFrame, matrix: DataFrame, keys: list[str]) -> DataFrame:
+        # A similar member of size s shares t/(1+t)(n+s) tokens at least, all of them from the first shared one on.
+        need = u * (F.col("q.n") + F.greatest(F.col("least"), F.ceil(F.col("q.n") * t - eps))) - eps
+        return (
+            asking.alias("q").join(matrix.alias("g"), keys)
+            .where((F.col("q.grp") <= F.col("g.grp")) & ((F.col("held") > 1) | (F.col("one") != F.col("q.fp"))))
+            .where((F.col("most") >= F.col("q.n") * t - eps) & (F.col("least") * t <= F.col("q.n") + eps))
+            .where((F.col("q.n") - F.col("pos") >= need) & (F.col("behind") >= need))
+            .select(F.col("q.fp").alias("fp_a"), F.col("g.grp").alias("grp"), F.col("q.n").alias("na"))
+        )
+
+    run, kind = _matrix(words, share, order, hot, False)
     # One exchange by token serves the counts, the matrix and the queries.
     # The filter is what the joins below would otherwise put under the exchange, each its own, so that it could not be shared.
     whole = F.lit(True)
     for c in ("token", "fp", "grp", "at"):
         whole = whole & F.col(c).isNotNull()
-    cells = source.where(F.col("text").isNotNull()).mapInArrow(run, kind).where(whole).repartition("token")
+    written = source.where(F.col("text").isNotNull())
+    cells = written.mapInArrow(run, kind).where(whole).repartition("token")
     per_token = Window.partitionBy("token")
     cells = (
         cells.withColumn("some", F.min("fp").over(per_token) != F.max("fp").over(per_token)).where("some")
-        .groupBy("token", "fp").agg(F.first("grp").alias("grp"), F.min("at").alias("at"))
-        .select("token", "fp", "grp", F.shiftright("at", 32).cast("int").alias("pos"), F.col("at").bitwiseAND((1 << 32) - 1).cast("int").alias("n"))
+        .groupBy("token", "fp").agg(F.first("grp").alias("grp"), F.min("at").alias("at")).select("token", "fp", "grp", *size)
     )
-    # A row of the matrix: a token, a group holding it, the sizes of the members and the most that one has from the token on.
-    matrix = cells.groupBy("token", "grp").agg(
-        F.max("n").alias("most"), F.min("n").alias("least"), F.max(F.col("n") - F.col("pos")).alias("behind"), F.count(F.lit(1)).alias("held"), F.min("fp").alias("one")
-    )
-    t = float(share)
-    u, eps = t / (1 + t), 1e-9
-    # A similar member of size s shares t/(1+t)(n+s) tokens at least, all of them from the first shared one on.
-    need = u * (F.col("q.n") + F.greatest(F.col("least"), F.ceil(F.col("q.n") * t - eps))) - eps
-    opened = (
-        cells.alias("q").join(matrix.alias("g"), "token")
-        .where((F.col("q.grp") <= F.col("g.grp")) & ((F.col("held") > 1) | (F.col("one") != F.col("q.fp"))))
-        .where((F.col("most") >= F.col("q.n") * t - eps) & (F.col("least") * t <= F.col("q.n") + eps))
-        .where((F.col("q.n") - F.col("pos") >= need) & (F.col("behind") >= need))
-        .select(F.col("q.fp").alias("fp_a"), F.col("g.grp").alias("grp"), F.col("q.n").alias("na")).distinct()
-    )
-    group_of = cells.groupBy("fp").agg(F.first("grp").alias("grp"), F.first("n").alias("nb")).withColumnRenamed("fp", "fp_b")
+    opened = met(cells, cells.groupBy("token", "grp").agg(*row), ["token"])
+    grouped = cells.select("fp", "grp", "n")
+    if len(count) and int(count.max()) > hot:
+        # Texts of a hot token are dealt to parts; each part has its own rows of the matrix, and a query asks all of them.
+        run, kind = _matrix(words, share, order, hot, True)
+        cells = written.mapInArrow(run, kind).groupBy("token", "part", "fp").agg(F.first("grp").alias("grp"), F.min("at").alias("at"), F.first("parts").alias("parts"))
+        cells = stage(cells.select("token", "part", "fp", "grp", "parts", *size), "near-hot")
+        asking = cells.drop("part").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+        opened = opened.unionByName(met(asking, cells.groupBy("token", "part", "grp").agg(*row), ["token", "part"]))
+        grouped = grouped.unionByName(cells.select("fp", "grp", "n"))
+    opened = opened.distinct()
+    group_of = grouped.groupBy("fp").agg(F.first("grp").alias("grp"), F.first("n").alias("nb")).withColumnRenamed("fp", "fp_b")
     pairs = (
         opened.join(group_of, "grp")
         .where((F.col("fp_a") != F.col("fp_b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * t - eps))
@@ -296,9 +318,9 @@ def similar_classes(df: DataFrame, id_col: str, text_col: str, *, words: int = 5
     return members, links
 
 
-def similar_pairs(df: DataFrame, id_col: str, text_col: str, *, words: int = 5, similarity: str = "0.8") -> DataFrame:
+def similar_pairs(df: DataFrame, id_col: str, text_col: str, *, words: int = 5, similarity: str = "0.8", hot: int = HOT_TEXTS) -> DataFrame:
     """All pairs ``(id_a, id_b)``, id_a < id_b, of similar records, copies expanded."""
-    members, links = similar_classes(df, id_col, text_col, words=words, similarity=similarity)
+    members, links = similar_classes(df, id_col, text_col, words=words, similarity=similarity, hot=hot)
     members = stage(members, "near-members")
     links = stage(links, "near-links")
     several = members.where("copies > 1")

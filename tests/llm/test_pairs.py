@@ -36,13 +36,12 @@ def corpus(seed, n=120):
     return out + [(10_000, None), (10_001, ""), (10_002, "   \n"), (10_003, "x" * 200_000 + " long word"), (10_004, "one two"), (10_005, "One, two!")]
 
 
-@pytest.mark.parametrize("n,share", [(3, "0.7"), (5, "0.8"), (2, "0.5")])
-def test_pairs_are_exact(spark, n, share):
+@pytest.mark.parametrize("n,share,hot", [(3, "0.7", 10), (5, "0.8", 2_000_000), (2, "0.5", 10)])
+def test_pairs_are_exact(spark, n, share, hot):
     rows = corpus(n)
     df = spark.createDataFrame(rows, "ord bigint, code string").withColumn("id", F.lit("clash")).withColumn("text", F.lit(1)).withColumn("fp", F.lit(2))
-    got = [(r.id_a, r.id_b) for r in similar_pairs(df, "ord", "code", words=n, similarity=share).collect()]
+    got = [(r.id_a, r.id_b) for r in similar_pairs(df, "ord", "code", words=n, similarity=share, hot=hot).collect()]
     sets = {i: shingles(t, n) for i, t in rows}
-    num, den = (int(x) for x in str(float(share)).split("."))
     p, q = int(float(share) * 10), 10
     want = {(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and len(sets[a] & sets[b]) * q >= p * len(sets[a] | sets[b])}
     assert len(got) == len(set(got)) and set(got) == want
