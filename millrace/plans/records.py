@@ -14,6 +14,10 @@ from millrace.plans.registry import query
 from millrace.runtime import spread, table
 
 
+# The record's fields that hold JSON text, of its API metadata.
+SIDES = ("params", "path_params", "header_params", "payload", "code_params")
+
+
 def records(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "function_record")
 

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from millrace.functions import text as tx
 from millrace.functions import urls
 from millrace.operators import prompts as pr
-from millrace.operators.audit import findings_of, release_audit
+from millrace.operators.audit import findings_of, record_findings, release_audit
 from millrace.plans.apis import END, _METHOD, _TRIM, _route_sql, endpoints
-from millrace.plans.records import FLAT, flat, heavy
+from millrace.plans.records import FLAT, SIDES, flat, heavy, records
 from millrace.plans.registry import query
-from millrace.runtime import table
+from millrace.runtime import spread, table
 
 
 def documents(spark, d):
@@ -58,10 +58,20 @@ def longest_per_source(spark, d):
 
 @query("SELECT kind, count(*) AS n FROM (SELECT doc_id, unnest(['github_token', 'aws_access_key', 'google_api_key', 'slack_token', 'openai_style_key', 'private_key', 'jwt', 'huggingface_token', 'gitlab_pat']) AS kind, unnest(['gh[pousr]_[A-Za-z0-9]{30,}', 'AKIA[0-9A-Z]{16}', 'AIza[0-9A-Za-z_-]{35}', 'xox[abprs]-[0-9A-Za-z-]{10,}', 'sk-[A-Za-z0-9]{20,}', '-----BEGIN [A-Z ]*PRIVATE KEY-----', 'eyJ[A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]{8,}', 'hf_[A-Za-z0-9]{30,}', 'glpat-[A-Za-z0-9_-]{20,}']) AS p, t FROM (SELECT ord AS doc_id, code.complete_function AS t FROM function_record)) WHERE regexp_matches(t, p) GROUP BY kind")
 def secret_findings(spark, d):
-    """Records by the kind of token that a release must not hold."""
+    """Records by the nine shapes of tokens that the SQL fixes, in the code alone; ``release_findings`` is the whole audit."""
     return findings_of(heavy(spark, d, "code"), "ord", "code").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query()
+def release_findings(spark, d):
+    """Records by the kind of what a release must not hold, in every string of a record."""
+    df = records(spark, d).select(
+        "ord", "sample_id", "api_name", "api_host", "function_name", "language", "source_machine", "github_info", "code", "api_metadata", "comments", "comments_source",
+    )
+    sides = ["comments", *(f"api_metadata.{c}" for c in SIDES)]
+    return record_findings(spread(df, "ord"), "ord", sides).groupBy("kind").agg(F.count_distinct("ord").alias("n"))
+
+
 @query("SELECT CASE WHEN regexp_matches(p, '(^|/)([.]env|id_rsa|credentials|secrets?)([.][a-z]+)?$') THEN 'forbidden_name' WHEN regexp_matches(p, '(^|/)(node_modules|venv|[.]git|__pycache__)/') THEN 'forbidden_folder' WHEN regexp_matches(p, '[.](pem|key|p12|pyc|log|sqlite|db)$') THEN 'forbidden_suffix' ELSE 'ok' END AS kind, count(*) AS n FROM (SELECT lower(replace(trim(coalesce(github_info.file_path,'')), chr(92), '/')) AS p FROM function_record) GROUP BY 1")
 def release_files(spark, d):
     return flat(spark, d).groupBy(release_audit(F.col("path")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))

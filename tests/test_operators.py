@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from millrace.operators import dedupe, metrics, select
+from millrace.operators import audit, dedupe, metrics, select
 
 
 def test_balanced_selection(spark):
@@ -100,3 +100,22 @@ def test_nearest_in_blocks(spark):
         for r in metrics.nearest(df, df, 4, block=block).orderBy("query_id", "rank").collect():
             got.setdefault(r.query_id, []).append(r.corpus_id)
         assert got == want
+
+
+def test_record_findings(spark):
+    body = "a1B2c3D4e5F6g7H8i9J0k"
+    tokens = {
+        "github_token": "ghp_" + body, "github_pat": "github_pat_" + body, "openai_style_key": "sk-proj-" + body, "slack_token": "xoxb-" + body, "aws_access_key": "ASIA" + "A1" * 8,
+        "google_api_key": "AIza" + "a1B_c" * 7, "huggingface_token": "hf_" + body, "jwt": "eyJ" + "a1" * 6 + "." + "b2" * 6 + "." + "c3" * 6, "private_key": "-----BEGIN RSA PRIVATE KEY-----",
+        "azure_storage_key": "aB" * 43 + "==", "gitlab_pat": "glpat-" + body, "google_oauth_secret": "GOCSPX-" + body, "stripe_key": "rk_live_" + body, "sendgrid_key": "SG." + body + "." + body,
+        "telegram_bot_token": "12345678:" + "aB" * 16, "email": "mail some.one@site.org now", "absolute_user_path": "open('/home/someone/x')", "authorization_literal": "Bearer " + body,
+        "unredacted_api_key": f'API_KEY = "{body}"', "query_appid": f"/x?appid={body}",
+    }
+    for kind, t in tokens.items():
+        assert audit.audit_text(t) == {kind}, kind
+    for t in ('token = "YOUR_TOKEN"', "Bearer ${TOKEN_VALUE}", 'key = "aaaaaaaa"', "ghp_short", "C:/Users/<REDACTED_USER>/x"):
+        assert audit.audit_text(t) == set(), t
+    rows = [(1, "clean", (f'[{{"name": "token", "deep": {{"secret": "{body}"}}}}]', "/home/someone"), {"X-RapidAPI-Key": body}), (2, None, (None, "https://h/home/x"), None), (3, tokens["sendgrid_key"], ("bare", ""), {})]
+    df = spark.createDataFrame(rows, "ord int, code string, meta struct<params: string, file_url: string>, headers map<string, string>")
+    got = {tuple(r) for r in audit.record_findings(df, "ord", ["meta.params"]).collect()}
+    assert got == {(1, "meta.params:[0].deep.secret", "sensitive_json_field"), (1, "headers.X-RapidAPI-Key", "sensitive_json_field"), (3, "code", "sendgrid_key")}
