@@ -29,52 +29,159 @@ def duplicate_count(df: DataFrame, keys: list[Column]) -> DataFrame:
     return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("kept"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))
 
 
-def _greedy(threshold: float):
+_GRAM_BITS, _GRAM = 1 << 15, 6
+
+
+def _grams(codes, k: int):
+    """A slot of ``_GRAM_BITS`` for each k-gram of a text's code points."""
+    import numpy as np
+
+    n = len(codes) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    h = np.full(n, k, np.uint64)
+    for i in range(k):
+        h = (h ^ codes[i : i + n]) * np.uint64(0x9E3779B97F4A7C15 + 2 * i)
+        h ^= h >> np.uint64(29)
+    return (h >> np.uint64(20)).astype(np.int64) & (_GRAM_BITS - 1)
+
+
+def _present(codes):
+    """Which slots a text's grams of up to ``_GRAM`` characters take."""
+    import numpy as np
+
+    out = np.zeros(_GRAM_BITS, np.uint8)
+    for k in range(1, _GRAM + 1):
+        out[_grams(codes, k)] = 1
+    return out
+
+
+def _needed(codes):
+    """``(left, right, weight)``: so many characters of the earlier text are matched only if the later one holds the left or the right gram.
+
+    ``SequenceMatcher`` starts a block at a character that is not popular (more
+    than one in a hundred of 200 or more), or where both texts begin, and
+    extends it over equal neighbours.  A matched character is therefore joined
+    to the next rare one on its left (or the text's start) or on its right, and
+    all between stands in the other text, too.
+    """
+    import numpy as np
+
+    n = len(codes)
+    _, inv, count = np.unique(codes, return_inverse=True, return_counts=True)
+    rare = np.ones(n, bool) if n < 200 else (count <= n // 100 + 1)[inv]
+    x = np.arange(n)
+    before = np.maximum.accumulate(np.where(rare, x, 0))
+    after = np.minimum.accumulate(np.where(rare, x, n)[::-1])[::-1]
+    to_left, to_right = np.minimum(x - before + 1, _GRAM), np.where(after < n, np.minimum(after - x + 1, _GRAM), 0)
+    left, right = np.empty(n, np.int64), np.empty(n, np.int64)
+    for k in range(1, _GRAM + 1):
+        g, i, j = _grams(codes, k), np.nonzero(to_left == k)[0], np.nonzero(to_right == k)[0]
+        left[i], right[j] = g[i - k + 1], g[j]
+    right[to_right == 0] = left[to_right == 0]
+    key, weight = np.unique(left * _GRAM_BITS + right, return_counts=True)
+    return key // _GRAM_BITS, key % _GRAM_BITS, weight.astype(np.float64)
+
+
+def _subsequence_exceeds(later: str, masks: dict[str, int], n: int, threshold: float) -> bool:
+    """Whether the longest common subsequence, a bound on what any blocks match, allows a ratio above the threshold."""
+    full, total = (1 << n) - 1, len(later) + n
+    s = full
+    for at in range(0, len(later), 256):
+        for ch in later[at : at + 256]:
+            m = masks.get(ch)
+            if m:
+                u = s & m
+                s = ((s + u) | (s - u)) & full
+        if 2.0 * (n - s.bit_count() + max(0, len(later) - at - 256)) / total <= threshold:
+            return False
+    return True
+
+
+def _similar(threshold: float):
     import difflib
 
+    import numpy as np
     import pyarrow as pa
 
-    def run(batches):
-        kept: list[str] = []
-        for batch in batches:
-            ids, texts = batch.column("id").to_pylist(), batch.column("text").to_pylist()
-            groups, out = batch.column("grp"), []
-            for i, t in zip(ids, texts):
-                t = t or ""
-                close = False
-                for k in kept:
-                    if t and k and 2 * min(len(t), len(k)) / (len(t) + len(k)) <= threshold:
-                        continue
-                    m = difflib.SequenceMatcher(None, k, t)
-                    if m.real_quick_ratio() > threshold and m.quick_ratio() > threshold and m.ratio() > threshold:
-                        close = True
-                        break
-                if not close:
-                    kept.append(t)
-                out.append(not close)
-            yield pa.RecordBatch.from_arrays([groups, batch.column("id"), pa.array(out, pa.bool_())], names=["grp", "id", "kept"])
+    def run(t: pa.Table) -> pa.Table:
+        rows = sorted(zip(t["n"].to_pylist(), t["id"].to_pylist(), t["block"].to_pylist(), t["text"].to_pylist()))
+        p, q = (t[c][0].as_py() for c in ("p", "q"))
+        size, ids, blocks = (np.array([r[i] for r in rows]) for i in range(3))
+        codes = [np.frombuffer(r[3].encode("utf-32-le"), np.uint32).astype(np.uint64) for r in rows]
+        held = np.array([_present(c) for c in codes]).T.copy()
+        later, earlier = [], []
+        for j in range(len(rows)):
+            b, n = rows[j][3], len(rows[j][3])
+            total = size + n
+            may = (ids > ids[j]) & ((blocks != blocks[j]) if p != q else True) & (total > 0) & (2.0 * np.minimum(size, n) / np.maximum(total, 1) > threshold)
+            if not n or not may.any():
+                continue
+            i, k = np.nonzero(may)[0][[0, -1]]
+            left, right, weight = _needed(codes[j])
+            most = weight @ (held[left, i : k + 1] | held[right, i : k + 1])
+            close = np.nonzero(may[i : k + 1] & (2.0 * most / total[i : k + 1] > threshold))[0] + i
+            if not len(close):
+                continue
+            masks: dict[str, int] = {}
+            for at, ch in enumerate(b):
+                masks[ch] = masks.get(ch, 0) | 1 << at
+            matcher = None
+            for x in close:
+                if _subsequence_exceeds(rows[x][3], masks, n, threshold):
+                    matcher = matcher or difflib.SequenceMatcher(None, "", b)
+                    matcher.set_seq1(rows[x][3])
+                    if matcher.ratio() > threshold:
+                        later.append(ids[x])
+                        earlier.append(ids[j])
+        return pa.table({"grp": pa.array([t["grp"][0].as_py()] * len(later), pa.string()), "later": pa.array(later, pa.int64()), "earlier": pa.array(earlier, pa.int64())})
 
     return run
 
 
-def greedy_near(df: DataFrame, group: str, id_col: str, text_col: str, *, threshold: float = 0.85) -> DataFrame:
-    """``(group, id, kept)``: a row stays unless its sequence ratio with an earlier kept row of its group exceeds the threshold.
+def _dropped(t):
+    """Later rows with an earlier one that stays, decided in order."""
+    import pyarrow as pa
 
-    The rule depends on order, so each group is walked by id, streamed batch
-    by batch; only the kept texts of one group are held.  Groups are bounded
-    by design (files of one source); for a whole collection use a similarity join.
+    near: dict[int, list[int]] = {}
+    for x, y in zip(t["later"].to_pylist(), t["earlier"].to_pylist()):
+        near.setdefault(x, []).append(y)
+    gone: set[int] = set()
+    for x in sorted(near):
+        if any(y not in gone for y in near[x]):
+            gone.add(x)
+    return pa.table({"grp": pa.array([t["grp"][0].as_py()] * len(gone), pa.string()), "first": pa.array(sorted(gone), pa.int64())})
+
+
+def greedy_near(df: DataFrame, group: str, id_col: str, text_col: str, *, threshold: float = 0.85, block: int = 1000) -> DataFrame:
+    """``(grp, id, kept)``: a row stays unless its sequence ratio with an earlier kept row of its group exceeds the threshold.
+
+    A null group counts as the empty one, a null text as empty.  Equal texts
+    are one class, as a text's ratio with itself is 1.  The ratio does not depend
+    on what stays: blocks of the texts by length are compared with each
+    other wherever lengths allow, so a large group is work for many tasks;
+    only its similar pairs are walked in order.  Bounds on the matched
+    characters spare most pairs the ratio, never one above the threshold.
     """
-    src = df.select(F.col(group).cast("string").alias("grp"), F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    run = _greedy(threshold)
-
-    def each(batches):
-        import pyarrow as pa
-
-        table = pa.Table.from_batches(list(batches)) if not isinstance(batches, pa.Table) else batches
-        table = table.sort_by("id").combine_chunks()
-        return pa.Table.from_batches(list(run(table.to_batches()))) if table.num_rows else pa.table({"grp": [], "id": [], "kept": []})
+    from millrace.runtime import stage
 
-    return src.groupBy("grp").applyInArrow(each, "grp string, id bigint, kept boolean")
+    src = df.select(F.coalesce(F.col(group).cast("string"), F.lit("")).alias("grp"), F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    same = src.groupBy("grp", "text").agg(F.min("id").alias("first"), F.collect_list("id").alias("ids")).withColumn("n", F.char_length("text"))
+    same = stage(same, "near-texts")
+    rank = F.row_number().over(Window.partitionBy("grp").orderBy("n", "first"))
+    placed = stage(same.select("grp", "first", "n").withColumn("block", F.floor((rank - 1) / block).cast("int")), "near-blocks")
+    sizes = placed.groupBy("grp", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count(F.lit(1)).alias("m"))
+    x = sizes.select("grp", F.col("block").alias("p"), F.col("hi"), F.col("m"))
+    y = sizes.select("grp", F.col("block").alias("q"), F.col("lo"))
+    reach = (F.col("p") == F.col("q")) & (F.col("m") > 1) | (F.col("p") < F.col("q")) & ((F.col("lo") <= F.col("hi")) | (F.col("hi") * 2.0 > (F.col("hi") + F.col("lo")) * (threshold - 1e-9)))
+    pairs = x.join(y, "grp").where(reach).select("grp", "p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("block"))
+    # Blocks first meet their pairs without the texts, which move once a pair.
+    todo = placed.join(pairs, ["grp", "block"]).select("grp", "first", "block", "p", "q")
+    todo = todo.join(same.select("grp", "first", "n", "text"), ["grp", "first"]).withColumnRenamed("first", "id")
+    near = todo.groupBy("grp", "p", "q").applyInArrow(_similar(threshold), "grp string, later bigint, earlier bigint")
+    gone = stage(near, "near-pairs").groupBy("grp").applyInArrow(_dropped, "grp string, first bigint").withColumn("gone", F.lit(True))
+    out = same.select("grp", "first", "ids").join(gone, ["grp", "first"], "left").select("grp", "first", "gone", F.explode("ids").alias("id"))
+    return out.select("grp", "id", ((F.col("id") == F.col("first")) & F.col("gone").isNull()).alias("kept"))
 
 
 def numbered(df: DataFrame, order: list[Column], prefix: str = "SCG-", width: int = 6) -> DataFrame:

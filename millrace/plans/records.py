@@ -378,6 +378,5 @@ def annotate_code(spark, d):
 
 @query()
 def near_dup_greedy(spark, d):
-    """Order-dependent near-duplicates within a repository."""
-    df = flat(spark, d).where("repo is not null and trim(repo) <> ''")
-    return greedy_near(df, "repo", "ord", "code", threshold=0.85)
+    """Order-dependent near-duplicates within an API, in any repository; records without an API's name are compared with each other."""
+    return greedy_near(flat(spark, d), "api_name", "ord", "code", threshold=0.85)

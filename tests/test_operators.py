@@ -1,5 +1,6 @@
 """Operators against plain walks over the same rows."""
 
+import difflib
 import random
 
 import numpy as np
@@ -119,3 +120,34 @@ def test_record_findings(spark):
     df = spark.createDataFrame(rows, "ord int, code string, meta struct<params: string, file_url: string>, headers map<string, string>")
     got = {tuple(r) for r in audit.record_findings(df, "ord", ["meta.params"]).collect()}
     assert got == {(1, "meta.params:[0].deep.secret", "sensitive_json_field"), (1, "headers.X-RapidAPI-Key", "sensitive_json_field"), (3, "code", "sendgrid_key")}
+
+
+def test_greedy_near_as_walked(spark):
+    rng = random.Random(7)
+    words = [f"{a}{b}_{c}" for a in ("get", "list", "put") for b in ("City", "rate", "x9") for c in ("id", "name", "é")]
+    base = [" ".join(rng.choice(words) + rng.choice(" =(.,;") for _ in range(n)) for n in (3, 12, 30, 60, 60)] + ["ab" * 150]
+    rows = [(None, 0, ""), (None, 1, None), ("", 2, "x"), ("", 3, "x")]
+    for i in range(4, 64):
+        t = list(rng.choice(base))
+        for _ in range(int(len(t) * rng.choice((0, 0.02, 0.08, 0.15)))):
+            t[rng.randrange(len(t))] = rng.choice("qzeta_(")
+        rows.append((rng.choice(("g", "g", "h")), i, "".join(t)))
+    kept, want = {}, set()
+    for g, i, t in rows:
+        seen, t = kept.setdefault(g or "", []), t or ""
+        if not any(difflib.SequenceMatcher(None, t, k).ratio() > 0.85 for k in seen):
+            seen.append(t)
+            want.add(i)
+    df = spark.createDataFrame(rows, "g string, i bigint, t string").repartition(3)
+    assert 10 < len(want) < 60
+    for block in (1000, 4):
+        got = dedupe.greedy_near(df, "g", "i", "t", block=block).collect()
+        assert sorted(r.id for r in got) == list(range(64)) and {r.id for r in got if r.kept} == want
+
+
+def test_near_duplicates_of_an_api_across_repositories(spark, monkeypatch):
+    from millrace.plans import records
+
+    rows = [(1, "weather", "a/one", "def f(): return 1"), (2, "weather", "b/two", "def f(): return 1"), (3, "other", "a/one", "def f(): return 1"), (4, "weather", None, "x = 5")]
+    monkeypatch.setattr(records, "flat", lambda s, d: s.createDataFrame(rows, "ord bigint, api_name string, repo string, code string"))
+    assert {r.id: r.kept for r in records.near_dup_greedy(spark, "").collect()} == {1: True, 2: False, 3: True, 4: True}
