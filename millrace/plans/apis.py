@@ -195,7 +195,8 @@ def json_key_names(spark, d):
 def documented_params(spark, d):
     """Names of documented parameters at any depth, of every record."""
     f = flat(spark, d)
-    return f.select("ord", param_names(F.col("params"), F.col("payload")).alias("flat_names"), collected_names(F.col("params"), F.col("payload")).alias("all_names"))
+    fields = [F.col(c) for c in ("params", "path_params", "header_params", "payload")]
+    return f.select("ord", param_names(*fields).alias("flat_names"), collected_names(*fields).alias("all_names"))
 
 
 @query()

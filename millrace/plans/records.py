@@ -32,7 +32,7 @@ def flat(spark: SparkSession, d: str) -> DataFrame:
         F.col("code.has_docstring").alias("has_docstring"), F.col("code.comment_lines").alias("n_comments"), F.col("api_metadata.url").alias("url"),
         F.col("api_metadata.route").alias("route"), F.col("api_metadata.method").alias("method"), F.col("api_metadata.endpoint_id").alias("endpoint_id"),
         F.col("api_metadata.endpoint_name").alias("endpoint_name"), F.col("api_metadata.doc_match_type").alias("match"), F.col("api_metadata.headers").alias("headers"),
-        F.col("api_metadata.params").alias("params"), F.col("api_metadata.payload").alias("payload"), F.col("api_metadata.code_params").alias("code_params"),
+        F.col("api_metadata.params").alias("params"), F.col("api_metadata.payload").alias("payload"), F.col("api_metadata.path_params").alias("path_params"), F.col("api_metadata.header_params").alias("header_params"), F.col("api_metadata.code_params").alias("code_params"),
         F.col("quality_metrics.code_quality_score").alias("score"), F.col(q + "is_syntactically_valid").alias("valid"), F.col(q + "has_api_call").alias("has_call"),
         F.col(q + "has_response_handling").alias("has_response"), F.col(q + "has_error_handling").alias("has_error"), F.col(q + "has_imports").alias("has_imports"),
         F.col(q + "has_database_call").alias("has_db"), F.col(q + "has_indentation_issue").alias("bad_indent"),

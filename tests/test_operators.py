@@ -151,3 +151,18 @@ def test_near_duplicates_of_an_api_across_repositories(spark, monkeypatch):
     rows = [(1, "weather", "a/one", "def f(): return 1"), (2, "weather", "b/two", "def f(): return 1"), (3, "other", "a/one", "def f(): return 1"), (4, "weather", None, "x = 5")]
     monkeypatch.setattr(records, "flat", lambda s, d: s.createDataFrame(rows, "ord bigint, api_name string, repo string, code string"))
     assert {r.id: r.kept for r in records.near_dup_greedy(spark, "").collect()} == {1: True, 2: False, 3: True, 4: True}
+
+
+SIDE_ROWS = [
+    (1, '{"a": 1}', '{"ticket": "string"}', '[{"name": "trace"}]', '{"body_id": {"deep": 2}}', None), (2, None, None, None, '{"only": ["x"]}', '"bare"'), (3, None, None, None, None, None),
+]
+SIDE_TYPE = "ord bigint, params string, path_params string, header_params string, payload string, code_params string"
+
+
+def test_documented_params_of_all_fields(spark, monkeypatch):
+    from millrace.plans import apis
+
+    monkeypatch.setattr(apis, "flat", lambda s, d: s.createDataFrame(SIDE_ROWS, SIDE_TYPE))
+    got = {r.ord: (r.flat_names, r.all_names) for r in apis.documented_params(spark, "").collect()}
+    assert got[1] == (["a", "body_id", "deep", "ticket", "trace"], ["a", "body_id", "deep", "ticket", "trace"])
+    assert got[2][0] == ["only", "x"] and got[3] == ([], [])
