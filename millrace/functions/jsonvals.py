@@ -87,8 +87,8 @@ def collected_names(*cols: Column) -> Column:
     return F.udf(collected, "array<string>", useArrow=True)(*cols)
 
 
-def walk(v: str | None, compat: bool = False) -> list[tuple[str, str, str]]:
-    """(location, key, text) of every string in a JSON text; ``compat`` leaves out strings that lie directly in lists."""
+def walk(v: str | None, compat: bool = False, name: str = "") -> list[tuple[str, str, str]]:
+    """(location, key, text) of every string in a JSON text, in the field ``name``; ``compat`` leaves out strings that lie directly in lists."""
     out: list[tuple[str, str, str]] = []
 
     def go(x: Any, where: str, key: str, listed: bool) -> None:
@@ -101,7 +101,7 @@ def walk(v: str | None, compat: bool = False) -> list[tuple[str, str, str]]:
         elif isinstance(x, str) and not (compat and listed):
             out.append((where, key, x))
 
-    go(load(v), "", "", False)
+    go(load(v), name, name, False)
     return out
 
 
@@ -109,6 +109,13 @@ def json_strings(c: Column, *, compat: bool = False) -> Column:
     return F.udf(lambda v: walk(v, compat), "array<struct<location: string, key: string, text: string>>", useArrow=True)(c)
 
 
+def side_strings(fields: dict[str, Column], *, compat: bool = False) -> Column:
+    """Strings of several JSON texts, each location with its field's name at the head."""
+    own = list(fields)
+    run = lambda *values: [x for n, v in zip(own, values) for x in walk(v, compat, n)]
+    return F.udf(run, "array<struct<location: string, key: string, text: string>>", useArrow=True)(*fields.values())
+
+
 def balanced(text: str | None, marker: str = "") -> list[str]:
     """JSON objects and lists that stand balanced in a text after each marker, outermost first, strings skipped."""
     out, s = [], text or ""

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as tx
 from millrace.functions import urls
-from millrace.functions.jsonvals import collected_names, comments_text, json_strings, param_names
+from millrace.functions.jsonvals import collected_names, comments_text, param_names, side_strings
 from millrace.operators.dedupe import first_wins
 from millrace.operators.select import top_per_group
-from millrace.plans.records import FLAT, flat, heavy
+from millrace.plans.records import FLAT, SIDES, flat, heavy
 from millrace.plans.registry import query
 from millrace.runtime import table
 
@@ -201,8 +201,8 @@ def documented_params(spark, d):
 
 @query()
 def json_walk(spark, d):
-    """Every string in the JSON side fields with its place."""
-    return flat(spark, d).where("params is not null").select("ord", F.inline(json_strings(F.col("params"))))
+    """Every string in the JSON side fields with its place, headed by the field's name."""
+    return flat(spark, d).select("ord", F.inline(side_strings({c: F.col(c) for c in SIDES})))
 
 
 @query()

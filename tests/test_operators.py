@@ -166,3 +166,11 @@ def test_documented_params_of_all_fields(spark, monkeypatch):
     got = {r.ord: (r.flat_names, r.all_names) for r in apis.documented_params(spark, "").collect()}
     assert got[1] == (["a", "body_id", "deep", "ticket", "trace"], ["a", "body_id", "deep", "ticket", "trace"])
     assert got[2][0] == ["only", "x"] and got[3] == ([], [])
+
+
+def test_json_walk_of_all_fields(spark, monkeypatch):
+    from millrace.plans import apis
+
+    monkeypatch.setattr(apis, "flat", lambda s, d: s.createDataFrame(SIDE_ROWS, SIDE_TYPE))
+    got = {tuple(r) for r in apis.json_walk(spark, "").collect()}
+    assert got == {(1, "path_params.ticket", "ticket", "string"), (1, "header_params[0].name", "name", "trace"), (2, "payload.only[0]", "only", "x"), (2, "code_params", "code_params", "bare")}
