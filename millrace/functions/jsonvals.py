@@ -87,6 +87,39 @@ def collected_names(*cols: Column) -> Column:
     return F.udf(collected, "array<string>", useArrow=True)(*cols)
 
 
+# Keys that tell of a parameter without being one, for coverage.
+COVERAGE_GENERIC = {
+    "name", "key", "type", "description", "required", "optional", "default", "example", "value", "values", "schema", "items", "properties", "format", "in", "param", "parameter", "parameters",
+    "payload", "body", "headers",
+}
+
+
+def filled(v: Any) -> bool:
+    """Whether a value says something; 0 and false do."""
+    return v is not None and (bool(v.strip()) if isinstance(v, str) else bool(v) if isinstance(v, (list, dict)) else True)
+
+
+def used(code: str | None, *values: str | None) -> bool | None:
+    """Whether a text holds a documented parameter's name; null where no value documents any."""
+    names: set[str] = set()
+    todo = [v for v in map(load, values) if filled(v)]
+    if not todo:
+        return None
+    while todo:
+        v = todo.pop()
+        if isinstance(v, dict):
+            given = [v[k] for k in NAME_KEYS if isinstance(v.get(k), str)]
+            names.update(x.strip() for x in (*given, *v) if 0 < len(x.strip()) <= 80 and x.strip().lower() not in COVERAGE_GENERIC)
+            todo.extend(v.values())
+        elif isinstance(v, list):
+            todo.extend(v)
+    return any(n in (code or "") for n in names)
+
+
+def param_used(code: Column, *cols: Column) -> Column:
+    return F.udf(used, "boolean", useArrow=True)(code, *cols)
+
+
 def walk(v: str | None, compat: bool = False, name: str = "") -> list[tuple[str, str, str]]:
     """(location, key, text) of every string in a JSON text, in the field ``name``; ``compat`` leaves out strings that lie directly in lists."""
     out: list[tuple[str, str, str]] = []

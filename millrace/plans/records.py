@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as tx
 from millrace.functions.code import annotated, code_facts, extract_functions, line_comment
+from millrace.functions.jsonvals import param_used
+from millrace.functions.urls import url_path
 from millrace.operators import quality as ql
 from millrace.operators.dedupe import duplicate_count, first_wins, greedy_near, numbered
 from millrace.operators.select import early_stop, hash_split, select_balanced, top_per_group, two_level_top
@@ -32,7 +34,7 @@ def flat(spark: SparkSession, d: str) -> DataFrame:
         F.col("code.has_docstring").alias("has_docstring"), F.col("code.comment_lines").alias("n_comments"), F.col("api_metadata.url").alias("url"),
         F.col("api_metadata.route").alias("route"), F.col("api_metadata.method").alias("method"), F.col("api_metadata.endpoint_id").alias("endpoint_id"),
         F.col("api_metadata.endpoint_name").alias("endpoint_name"), F.col("api_metadata.doc_match_type").alias("match"), F.col("api_metadata.headers").alias("headers"),
-        F.col("api_metadata.params").alias("params"), F.col("api_metadata.payload").alias("payload"), F.col("api_metadata.path_params").alias("path_params"), F.col("api_metadata.header_params").alias("header_params"), F.col("api_metadata.code_params").alias("code_params"),
+        F.col("api_metadata.params").alias("params"), F.col("api_metadata.payload").alias("payload"), F.col("api_metadata.path_params").alias("path_params"), F.col("api_metadata.header_params").alias("header_params"), F.col("api_metadata.params_source").alias("params_source"), F.col("api_metadata.code_params").alias("code_params"),
         F.col("quality_metrics.code_quality_score").alias("score"), F.col(q + "is_syntactically_valid").alias("valid"), F.col(q + "has_api_call").alias("has_call"),
         F.col(q + "has_response_handling").alias("has_response"), F.col(q + "has_error_handling").alias("has_error"), F.col(q + "has_imports").alias("has_imports"),
         F.col(q + "has_database_call").alias("has_db"), F.col(q + "has_indentation_issue").alias("bad_indent"),
@@ -303,6 +305,7 @@ def api_summary(spark, d):
  count(*) FILTER (coalesce(params,'') NOT IN ('', '[]', '{}', 'null')) AS with_params, round(100.0 * count(*) FILTER (match IN ('url','route')) / count(*), 2) AS share FROM flat"""
 )
 def coverage_report(spark, d):
+    """Coverage as the SQL fixes it: recorded matches, endpoint ids and the params text alone; ``documentation_coverage`` is the whole report."""
     hit = F.col("match").isin("url", "route")
     pair = F.concat(F.coalesce("api_name", F.lit("")), F.lit("|"), F.coalesce("endpoint_id", F.lit("")))
     return flat(spark, d).agg(
@@ -311,6 +314,34 @@ def coverage_report(spark, d):
     )
 
 
+@query()
+def documentation_coverage(spark, d):
+    """What the documentation covers: complete metadata, matched endpoints, documented parameters and whether the code names one.
+
+    ``with_params`` counts any of the four fields with content; ``param_documented``
+    takes params only where their source is the documentation, as does ``param_used``.
+    """
+    df = heavy(spark, d, "api_name", "api_host", "code", "url", "route", "method", "endpoint_id", "match", "headers", "params", "params_source", "path_params", "header_params", "payload")
+    some = lambda c: F.when(F.col(c) != "", F.col(c))
+    head = lambda k: F.try_element_at("headers", F.lit(k))
+    host = F.coalesce(some("api_host"), head("x-rapidapi-host"), head("X-RapidAPI-Host"), F.lit(""))
+    kind = ql.match_type(F.col("match"), F.col("code"), F.col("url"), F.coalesce(some("route"), url_path(F.col("url"))), host)
+    own = F.when(F.col("params_source").isin("documentation", "documented"), F.col("params"))
+    rest = [F.col(c) for c in ("path_params", "header_params", "payload")]
+    df = df.select(
+        kind.alias("kind"), F.struct(F.coalesce("api_name", F.lit("")), F.coalesce(some("endpoint_id"), some("url"), some("route"), F.lit(""))).alias("endpoint"),
+        (some("url").isNotNull() & some("method").isNotNull() & F.coalesce(F.size("headers") > 0, F.lit(False))).alias("complete"),
+        param_used(F.col("code"), F.col("params"), *rest).isNotNull().alias("with_params"), param_used(F.col("code"), own, *rest).alias("used"),
+    )
+    hit, n, documented = F.col("kind").isin("url", "route"), F.count(F.lit(1)), F.count("used")
+    return df.agg(
+        n.alias("n"), F.count_if("complete").alias("metadata_complete"), F.count_if(hit).alias("endpoint_matched"), F.count_if(F.col("kind") == "host_only").alias("host_only"),
+        F.count_if(F.col("kind") == "none").alias("no_match"), F.count_distinct(F.when(hit, F.col("endpoint"))).alias("endpoints"), F.count_if("with_params").alias("with_params"),
+        documented.alias("param_documented"), F.count_if("used").alias("param_used"), tx.percent(F.count_if("complete"), n).alias("complete_share"), tx.percent(F.count_if(hit), n).alias("matched_share"),
+        tx.percent(documented, n).alias("documented_share"), tx.percent(F.count_if("used"), documented).alias("used_share"),
+    )
+
+
 @query(FLAT + "SELECT sum(least(n, 5))::BIGINT AS budget FROM (SELECT repo, count(*) AS n FROM flat GROUP BY repo)")
 def candidate_budget(spark, d):
     return flat(spark, d).groupBy("repo").agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.least("n", F.lit(5))).alias("budget"))

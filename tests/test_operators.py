@@ -174,3 +174,19 @@ def test_json_walk_of_all_fields(spark, monkeypatch):
     monkeypatch.setattr(apis, "flat", lambda s, d: s.createDataFrame(SIDE_ROWS, SIDE_TYPE))
     got = {tuple(r) for r in apis.json_walk(spark, "").collect()}
     assert got == {(1, "path_params.ticket", "ticket", "string"), (1, "header_params[0].name", "name", "trace"), (2, "payload.only[0]", "only", "x"), (2, "code_params", "code_params", "bare")}
+
+
+def test_documentation_coverage(spark, monkeypatch):
+    from millrace.plans import records
+
+    names = "ord api_name api_host code url route method endpoint_id match params params_source path_params header_params payload".split()
+    rows = [
+        (1, "a", "h", "get(ticket)", "https://h/x", None, "GET", None, "url", '"q"', "observed", '{"ticket": 1}', None, None), (2, "a", "h", "none", "https://h/x", "/x", None, "", "route", None, None, None, None, '{"body_id": 1}'),
+        (3, "a", "h", "city", None, "/y", "GET", "", "route", '[{"name": "city", "type": "string"}]', "documented", None, "{}", ""), (4, None, "h", "string", None, None, None, None, "host_only", '["z"]', "observed", None, None, None),
+        (5, "a", None, "call('/deep')", "https://k/deep", None, "GET", "e", None, None, None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} {'bigint' if c == 'ord' else 'string'}" for c in names)).withColumn("headers", F.create_map(F.lit("k"), F.lit("v")))
+    monkeypatch.setattr(records, "heavy", lambda s, d, *c: df)
+    r = records.documentation_coverage(spark, "").first()
+    assert (r.n, r.metadata_complete, r.endpoint_matched, r.host_only, r.no_match, r.endpoints) == (5, 2, 4, 1, 0, 3)
+    assert (r.with_params, r.param_documented, r.param_used, r.used_share) == (4, 3, 2, 66.67)
