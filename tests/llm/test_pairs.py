@@ -117,18 +117,35 @@ def test_leaks(spark, bound):
     assert got == {(a, b) for a, t in docs for b, u in items if windows(t) & windows(u)}
 
 
-def test_reworded_leak(spark):
-    item = "A train of NorthLine travels 120 km in 3 hours. How long does the train of NorthLine need for 200 km when it waits at the station and then starts again with the same speed"
-    doc = item.replace("120", "75").replace("200", "310").replace("NorthLine", "northline")
-    loose = item.replace("120", "75").replace("200", "75")
-    d = spark.createDataFrame([(1, doc), (2, loose), (3, item), (4, "nothing of it")], "doc_id bigint, text string")
-    q = spark.createDataFrame([(7, item)], "item_id bigint, text string")
-    got = {r.doc_id: (r.verbatim > 0, r.reworded > 0) for r in leaked_items(d, "doc_id", "text", q, "item_id", "text").collect()}
-    assert got[1][1] and got[3][0] and 4 not in got
+@pytest.mark.parametrize("bound", [2_000_000, 0])
+def test_reworded_leak(spark, bound):
+    train = "A train of NorthLine travels 120 km in 3 hours. How long does the train of NorthLine need for 200 km when it waits at the station and then starts again with the same speed"
+    code = "Write for RouteFinder helper that lists open orders by date and returns newest"
+    shop = "On the way home Maria Lopez bought seven apples, then paid 4 dollars for the rest of the fruit in the shop"
+    same = "they counted 12 boxes and sold 12 boxes before the rain came down over the whole of the town"
+    docs = {
+        1: train.replace("120", "75").replace("200", "310").replace("NorthLine", "SouthLine"),
+        2: code.replace("RouteFinder", "PathFinder"),  # a name no item holds
+        3: shop.replace("Maria Lopez", "Erik").replace("4 dollars", "900 cents"),  # two words by one, another unit
+        4: same.replace("sold 12", "sold 15"),  # one value for two
+        5: same.replace("12", "80"), 6: train.lower(), 7: "nothing of it", 8: None, 9: "", 10: code.replace("lists", "drops"),
+    }
+    d = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string").withColumn("key", F.lit("clash"))
+    q = spark.createDataFrame([(21, train), (22, code), (23, shop), (24, same), (25, None)], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): (r.verbatim > 0, r.reworded > 0) for r in leaked_items(d, "doc_id", "text", q, "item_id", "text", bound=bound).collect()}
+    assert got == {(1, 21): (True, True), (2, 22): (False, True), (3, 23): (False, True), (5, 24): (False, True), (6, 21): (True, False)}
     assert leaked_items(d.limit(0), "doc_id", "text", q, "item_id", "text").count() == 0
     assert leaked_items(d, "doc_id", "text", q.limit(0), "item_id", "text").count() == 0
 
 
+def test_windows_of_placeholders_alone(spark):
+    numbers = lambda k: " ".join(str(k * 100 + i) for i in range(30))
+    d = spark.createDataFrame([(i, numbers(i)) for i in range(40)], "doc_id bigint, text string")
+    q = spark.createDataFrame([(3, numbers(3)), (99, numbers(99))], "item_id bigint, text string")
+    got = [tuple(r) for r in leaked_items(d, "doc_id", "text", q, "item_id", "text").collect()]
+    assert got == [(3, 3, 18, 0)]
+
+
 A = """def f(x):
     h = {"b": 1, "a": {"z": 2, "y": [1, 2]}}
     return requests.get(url, params=h, headers={"k": "v, w"}, timeout=3)
