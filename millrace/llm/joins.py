@@ -1,0 +1,23 @@
+"""Joins of rows, whose keys may be hot, with a table that holds each key once."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_KEYS = 200_000  # keys up to which their table goes to the workers; more are joined by shuffle
+SALTS = 16
+
+
+def join_hot(rows: DataFrame, keys: DataFrame, on: list[str], how: str = "inner", *, bound: int = BROADCAST_KEYS, salts: int = SALTS) -> DataFrame:
+    """``rows`` joined with ``keys`` (written, each key once) such that no hot key's rows meet in one task.
+
+    A table of at most ``bound`` keys is broadcast.  Beyond it the rows of a
+    key are dealt to ``salts`` parts by all their values and the table is
+    repeated for each part.  Both give the same rows.
+    """
+    if keys.count() <= bound:
+        return rows.join(F.broadcast(keys), on, how)
+    part = F.pmod(F.xxhash64(*rows.columns), F.lit(salts))
+    parts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
+    return rows.withColumn("__part", part).join(keys.withColumn("__part", parts), [*on, "__part"], how).drop("__part")

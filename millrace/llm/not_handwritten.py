@@ -3,8 +3,18 @@
 Three kinds of evidence: the content (header and footer notes of generators
 and copies, the layout of minified and templated code, literals that make up
 nearly the whole file), the path and repository (folders and file names that
-tools and package managers write), and Merkle hashes of folders, computed
-bottom-up, that recur in repositories of several owners.
+tools and package managers write), and Merkle hashes of directory trees.
+
+Every file is a leaf and every folder, the root too, a subtree.  A folder's
+hash is an order-free sum over the files below of a hash of content and path
+from that folder on, which equals for equal trees wherever they hang; all
+levels come from one pass, whatever the depth.  A subtree that recurs in
+repositories of several owners is vendored if its files times the owners reach
+a number (a few files may meet by chance, many do not), unless the repository
+as a whole recurs (the library's own repository, or forks).  A leaf that equals a file
+which its path or repository tells is as little hand-written as that one; a
+leaf shared without such a witness is no evidence, as people copy their own
+files, too.
 """
 
 from __future__ import annotations
@@ -18,11 +28,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.identity import repo_name, strip
+from millrace.llm.joins import join_hot
 from millrace.runtime import stage
 
-EDGE_LINES = 15  # notes of generators stand this near to the file's start or end
+LEAST_CHARS = 64  # letters and digits of a file that its hash can speak for
 
-# What generators and people who copy files write, as whole comment lines.
+# What generators write, as whole comment lines.
 _GENERATED = re.compile(
     r"""(?ix)^\W*(?:
       .*\bcode\ generated\ by\b.*|.*\bdo\s+not\s+(?:edit|modify|change|touch)\b.*
@@ -35,12 +46,15 @@ _GENERATED = re.compile(
     | .*\b(?:creado|generado|producido)\ (?:por|autom[áa]ticamente)\b.*|.*\bno\ (?:editar|modificar)\b.*
     )$"""
 )
-_COPIED = re.compile(
-    r"""(?ix)^\W*(?:
-      .*\bvendored\b.*|.*\bimported\ (?:unchanged|verbatim|as[- ]is|unmodified)\b.*|.*\bbundled\ (?:copy|version)\b.*|.*\blocal\ (?:mirror|copy)\ of\b.*
-    | .*\b(?:copied|taken|lifted)\ (?:unchanged|verbatim|unmodified|as[- ]is|from\ upstream)\b.*|.*\bthird[- ]party\ (?:module|code|library|package|source)\b.*|.*\bupstream\ (?:at|source|release|version)\b.*|.*\bsend\ patches\ upstream\b.*
-    )$"""
-)
+# Words of a note on a copy: that it was copied, and how or from where.
+_COPY_ACT = re.compile(r"(?i)\b(?:vendored|copied|taken|lifted|imported|synced|borrowed|embedded|bundled|included|mirror(?:ed)?|cop(?:y|ies)|snapshot)\b")
+_COPY_ORIGIN = re.compile(r"(?i)\b(?:unchanged|verbatim|unmodified|unaltered|as[- ]is|upstream|third[- ]party|(?:release|version)\ v?\d[\w.]*)(?!\w)")
+
+
+def _is_copy_note(line: str) -> bool:
+    return bool(_COPY_ACT.search(line) and _COPY_ORIGIN.search(line))
+
+
 # Folders and files that nobody writes by hand, in the lower-cased path.
 _PATH = re.compile(
     r"""(?x)(?:^|/)(?:_?vendor|vendored|third[_-]?party|node[_-]modules|bower[_-]components|jspm[_-]packages|site[_-]packages|dist[_-]packages|\.?venv|virtualenv|\.tox|swagger[_-]client|openapi[_-]client|autogen|_?generated|__generated__|gen|codegen|gen-src|pods|carthage|\.bundle)/
@@ -59,25 +73,23 @@ def content_kind(code: str) -> str:
     """"generated", "vendored", "minified", "data" or nothing, by the text alone."""
     text = code.replace("\r\n", "\n").replace("\r", "\n")
     lines = text.split("\n")
-    # Notes stand at the file's edge: comments before or after all code, or the text that opens the file.
-    for side in (lines, lines[::-1]):
-        near = 0
+    # Notes stand at the file's edge: the comment block before or after all code, or the text that opens the file.
+    for side in (lines, reversed(lines)):
         for line in side:
             if not line.strip():
                 continue
-            if not _COMMENT.match(line) or near >= EDGE_LINES:
+            if not _COMMENT.match(line):
                 break
-            near += 1
             if _GENERATED.match(line):
                 return "generated"
-            if _COPIED.match(line):
+            if _is_copy_note(line):
                 return "vendored"
     opening = _OPENING.match(text)
     if opening:
-        for line in opening[0].split("\n")[:EDGE_LINES]:
+        for line in opening[0].split("\n"):
             if _GENERATED.match(line):
                 return "generated"
-            if _COPIED.match(line):
+            if _is_copy_note(line):
                 return "vendored"
     size = len(text.strip())
     if not size:
@@ -103,21 +115,21 @@ def content_kind(code: str) -> str:
 
 
 def _kinds():
-    schema = pa.schema([("id", pa.int64()), ("repo", pa.string()), ("path", pa.string()), ("kind", pa.string()), ("file_hash", pa.int64())])
+    schema = pa.schema([("id", pa.int64()), ("repo", pa.string()), ("path", pa.string()), ("evidence", pa.list_(pa.string())), ("file_hash", pa.int64()), ("leaf", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds = []
+            told = []
             for repo, path, code in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3))):
-                kind = content_kind(code) if code else ""
-                if not kind and path and _PATH.search(path):
-                    kind = "path"
-                if not kind and repo and _REPO.search(repo):
-                    kind = "repository"
-                kinds.append(kind)
-            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), pa.array(kinds, pa.string()), batch.column(4)], schema=schema)
+                kinds = [content_kind(code)] if code else []
+                if path and _PATH.search(path):
+                    kinds.append("path")
+                if repo and _REPO.search(repo):
+                    kinds.append("repository")
+                told.append([k for k in kinds if k])
+            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), pa.array(told, pa.list_(pa.string())), batch.column(4), batch.column(5)], schema=schema)
 
-    return run, "id bigint, repo string, path string, kind string, file_hash bigint"
+    return run, "id bigint, repo string, path string, evidence array<string>, file_hash bigint, leaf boolean"
 
 
 def path_name(c: Column) -> Column:
@@ -127,54 +139,58 @@ def path_name(c: Column) -> Column:
 
 
 def folder_hashes(files: DataFrame) -> DataFrame:
-    """``(repo, folder, hash, hash2, files)`` of every folder below a repository's root, from ``(repo, path, file_hash)``.
+    """``(repo, folder, hash, hash2, files)`` of every folder, the root as the empty one, from one ``(repo, path, file_hash)`` per path.
 
-    A folder's hash is made of its children's names and hashes, whatever their
-    order, from the deepest folders up; two sums keep different folders apart.
+    Two sums keep different folders apart.  They combine before they shuffle,
+    so a repository with a third of all files is a row per folder and task.
     """
-    name = F.element_at(F.split("path", "/"), -1)
-    up = lambda p: F.regexp_replace(p, r"/?[^/]*$", "")
-    parts = files.select("repo", up(F.col("path")).alias("folder"), name.alias("name"), F.col("file_hash").alias("h"), F.lit(1).cast("bigint").alias("files")).where("folder <> ''")
-    parts = stage(parts.distinct().withColumn("depth", F.size(F.split("folder", "/"))), "tree-files")
-    depth = parts.agg(F.max("depth")).first()[0] or 0
-    done, above = None, None
-    child = [F.sum(F.xxhash64("name", "h").cast("decimal(38,0)")).alias("a"), F.sum(F.xxhash64("h", "name", F.lit(1)).cast("decimal(38,0)")).alias("b"), F.sum("files").alias("files")]
-    for d in range(depth, 0, -1):
-        here = parts.where(F.col("depth") == d)
-        if above is not None:
-            here = here.unionByName(above)
-        level = here.groupBy("repo", "folder").agg(*child).select("repo", "folder", F.xxhash64("a").alias("hash"), F.xxhash64("b", "files").alias("hash2"), "files")
-        level = stage(level, "tree-level")
-        done = level if done is None else done.unionByName(level)
-        above = level.where(F.instr("folder", "/") > 0).select(
-            "repo", up(F.col("folder")).alias("folder"), F.element_at(F.split("folder", "/"), -1).alias("name"), F.col("hash").alias("h"), "files", F.lit(d - 1).alias("depth")
-        )
-    if done is None:
-        return files.sparkSession.createDataFrame([], "repo string, folder string, hash bigint, hash2 bigint, files bigint")
-    return done
-
-
-def file_kinds(df: DataFrame, id_col: str, code: Column, path: Column, repo: Column, *, least_files: int = 2, least_owners: int = 3) -> DataFrame:
-    """``(id, kind)`` of the records that nobody in their repository wrote by hand.
-
-    A folder of ``least_files`` or more files that recurs with equal contents
-    in repositories of ``least_owners`` owners marks its files as vendored.
-    Contents are compared by letters and digits alone.  Null or empty code
-    counts by its path and repository only.
+    parts = F.split("path", "/")
+    # Every folder above the file, with the file's path from there.
+    above = F.transform(
+        F.sequence(F.lit(0), F.size(parts) - 1),
+        lambda i: F.struct(F.array_join(F.slice(parts, F.lit(1), i), "/").alias("folder"), F.array_join(F.slice(parts, i + 1, F.size(parts)), "/").alias("rest")),
+    )
+    rows = files.select("repo", "file_hash", F.inline(above))
+    total = lambda *c: F.sum(F.xxhash64(*c).cast("decimal(20,0)"))
+    sums = rows.groupBy("repo", "folder").agg(total("rest", "file_hash").alias("a"), total("file_hash", "rest", F.lit(1)).alias("b"), F.count(F.lit(1)).alias("files"))
+    return sums.select("repo", "folder", F.xxhash64("a").alias("hash"), F.xxhash64("b", "files").alias("hash2"), "files")
+
+
+def file_kinds(df: DataFrame, id_col: str, code: Column, path: Column, repo: Column, *, least_files: int = 2, least_owners: int = 2, least_copies: int = 6, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """``(id, kind, evidence)`` of the records that nobody in their repository wrote by hand.
+
+    ``evidence`` lists all that tells a record (content, "path", "repository",
+    "tree", "leaf"), ``kind`` the first.  A subtree counts from ``least_files``
+    files in repositories of ``least_owners`` owners on, if both numbers
+    multiplied reach ``least_copies``; a leaf from ``least_chars`` letters and
+    digits.  A path with several contents is one file of all of them.  Contents are compared by letters and
+    digits alone.  Null or empty code counts by its path and repository only.
     """
-    text = code
-    plain = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "")
-    source = df.select(F.col(id_col).cast("bigint").alias("id"), repo_name(repo).alias("repo"), path_name(path).alias("path"), text.alias("code"), F.xxhash64(plain).alias("file_hash"))
+    plain = F.regexp_replace(F.lower(code), r"[^\p{L}\p{N}]+", "")
+    source = df.select(
+        F.col(id_col).cast("bigint").alias("id"), repo_name(repo).alias("repo"), path_name(path).alias("path"), code.alias("code"), F.xxhash64(plain).alias("file_hash"),
+        F.coalesce(F.length(plain) >= least_chars, F.lit(False)).alias("leaf"),
+    )
     run, kind = _kinds()
     rows = stage(source.mapInArrow(run, kind), "kind-files")
-    files = rows.where("repo is not null and path is not null and path <> ''").select("repo", "path", "file_hash").distinct()
-    folders = stage(folder_hashes(files).where(F.col("files") >= least_files), "kind-folders")
     owner = F.substring_index("repo", "/", 1)
-    shared = folders.groupBy("hash", "hash2").agg(F.countDistinct(owner).alias("owners")).where(F.col("owners") >= least_owners)
-    marked = folders.join(shared, ["hash", "hash2"]).select("repo", "folder")
-    # Every folder above a file: the path's prefixes that end before a slash.
+    placed = rows.where("repo is not null and path is not null and path <> ''")
+    files = placed.select("repo", "path", "file_hash").distinct().groupBy("repo", "path").agg(F.xxhash64(F.sum(F.col("file_hash").cast("decimal(20,0)"))).alias("file_hash"))
+    folders = stage(folder_hashes(files).where(F.col("files") >= least_files), "kind-folders")
+    shared = folders.groupBy("hash", "hash2").agg(F.countDistinct(owner).alias("owners"), F.first("files").alias("n"))
+    shared = shared.where((F.col("owners") >= least_owners) & (F.col("owners") * F.col("n") >= least_copies)).select("hash", "hash2")
+    hits = stage(folders.join(shared, ["hash", "hash2"]).select("repo", "folder"), "kind-shared")
+    whole = hits.where("folder = ''").select("repo")
+    marked = stage(hits.where("folder <> ''").join(whole, "repo", "left_anti"), "kind-trees")
     above = F.expr("transform(sequence(1, size(split(path, '/')) - 1), i -> array_join(slice(split(path, '/'), 1, i), '/'))")
-    below = rows.where("repo is not null and path like '%/%'").select("id", "repo", F.explode(above).alias("folder"))
-    vendored = below.join(marked, ["repo", "folder"]).select("id").distinct().withColumn("tree", F.lit("vendored"))
-    plain_kind = rows.where("kind <> ''").select("id", "kind")
-    return plain_kind.join(vendored, "id", "full").select("id", F.coalesce("kind", "tree").alias("kind")).withColumnRenamed("id", id_col)
+    below = placed.where("path like '%/%'").select("id", "repo", F.explode(above).alias("folder"))
+    tree = join_hot(below, marked, ["repo", "folder"]).select("id", F.lit("tree").alias("more"))
+    # A leaf with a witness, in enough repositories that all but one of them must have copied it.
+    witness = F.array_contains("evidence", "path") | F.array_contains("evidence", "repository")
+    leaves = placed.where("leaf").groupBy("file_hash").agg(F.countDistinct(owner).alias("owners"), F.bool_or(witness).alias("told"))
+    leaves = stage(leaves.where(F.col("told") & (F.col("owners") > least_owners)).select("file_hash"), "kind-leaves")
+    leaf = join_hot(placed.where("leaf").select("id", "file_hash"), leaves, ["file_hash"]).select("id", F.lit("leaf").alias("more"))
+    more = tree.unionByName(leaf).groupBy("id").agg(F.sort_array(F.collect_set("more"), asc=False).alias("more"))
+    told = rows.where(F.size("evidence") > 0).select("id", "evidence").join(more, "id", "full")
+    every = F.concat(F.coalesce("evidence", F.array().cast("array<string>")), F.coalesce("more", F.array().cast("array<string>")))
+    return told.select(F.col("id").alias(id_col), every[0].alias("kind"), every.alias("evidence"))

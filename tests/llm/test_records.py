@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.identity import host_name, repo_name
 from millrace.llm import capping, credentials, documented_functions, not_handwritten, packing, splits
+from millrace.llm.joins import join_hot
 from millrace.llm.vec import code_shingles
 
 
@@ -223,7 +224,7 @@ HAND = "import requests\n\ndef get(x):\n    r = requests.get(x)\n    return r.js
     [
         (HAND, ""), ("# Code generated by x-gen v1. DO NOT EDIT.\n" + HAND, "generated"), ("# Diese Datei wurde automatisch erzeugt. Nicht bearbeiten!\n" + HAND, "generated"),
         ("# This page shows the report generated by the server.\n" + HAND, ""), ("# See the generator docs before editing x.\n" + HAND, ""), ("# vendor list client for x\n" + HAND, ""),
-        (HAND + "# @generated from x.yaml\n", "generated"), ("# Imported unchanged from project xkit, release 2\n" + HAND, "vendored"), ("# Copyright the x team, all rights kept.\n" + HAND, ""),
+        (HAND + "# @generated from x.yaml\n", "generated"), ("# Permission is granted to use it.\n" * 40 + "# Generated by protoc from x.proto\n" + HAND, "generated"), ('"""' + "Licence text.\n" * 30 + "Do not edit this file by hand.\n" + '"""\n' + HAND, "generated"), ("# A copy of version 2.1 of the kit, unmodified\n" + HAND, "vendored"), ("# Reads the mirror list of the shop\n" + HAND, ""), ("# Imported unchanged from project xkit, release 2\n" + HAND, "vendored"), ("# Copyright the x team, all rights kept.\n" + HAND, ""),
         ("!function(){" + "".join(f"function a{i}(g,z){{return g.s?d(z.t,{i}):{{f:g,n:!0}}}};" for i in range(30)) + "}()", "minified"), ("T = [" + ", ".join(str(i * 1.5) for i in range(300)) + "]\n", "data"),
         ("T = (\n" + "".join(f"    b'KOEH+TSsPZBgh5hRvrjaJETFDuvr6y8iPwXTYASWJmjCEW9tgkFoNIb8xRA{i}'\n" for i in range(9)) + ")\n", "data"), ("", ""),
         ("".join(f"def x_op_{i:03d}(var{i}):\n    return get('{i}')\n\n" for i in range(9)), "generated"), ("T = [1, 2, 3]\n" + HAND, ""),
@@ -233,21 +234,40 @@ def test_content_kinds(code, kind):
     assert not_handwritten.content_kind(code) == kind
 
 
-def test_shared_folders(spark):
+def test_shared_trees(spark):
     rows, n = [], 0
-    for owner in ("a", "b", "c", "d"):
-        for f in ("x.py", "sub/y.py"):
-            n += 1
-            rows.append((n, f"{owner}/app", f"{'lib' if owner != 'd' else 'deps/own'}/kit/{f}", f"def {f[-4]}(): return 1{f}"))
+
+    def put(repo, path, code):
+        nonlocal n
         n += 1
-        rows.append((n, f"{owner}/app", "main.py", f"def main(): return '{owner}'"))
-    rows += [(50, "a/app", "lib/kit/x.py", "def x(): return 1x.py"), (51, None, "vendor/z.py", HAND), (52, "q/r-generated-sdk", None, HAND), (53, "q/r", "vendors/z.py", HAND), (54, "q/r", "a\\Vendor\\z.py", None), (55, "q/r", "", "")]
-    df = spark.createDataFrame(rows, "ord bigint, repo string, path string, src string").withColumn("kind", F.lit("clash")).withColumn("code", F.lit(1))
-    got = {r.ord for r in not_handwritten.file_kinds(df, "ord", F.col("src"), F.col("path"), F.col("repo")).collect()}
-    assert got == {r[0] for r in rows if r[2] and "kit/" in r[2]} | {51, 52, 54}
+        rows.append((n, repo, path, code))
+        return n
+
+    kit = {f: f"def {f[-4]}(): return '{f} has a text of its own, long enough to be told by its hash alone {f}'" for f in ("x.py", "sub/y.py", "sub/deep/z.py")}
+    copied = {put(f"{o}/app", f"{at}/{f}", t) for o, at in (("a", "lib/kit"), ("b", "lib/kit"), ("c", "deps/own/k2")) for f, t in kit.items()}
+    own = {put("maker/kit", f, t) for f, t in kit.items()}  # the library's own repository
+    own |= {put(f"{o}/fork", f"src/{f}", HAND + f"# {f} of the fork") for o in ("d", "e") for f in ("p.py", "q.py")}  # forks as a whole
+    own |= {put(f"{o}/app", "main.py", f"def main(): return '{o}'") for o in "abc"}
+    own |= {put(f"{o}/one", "util/helpers.py", HAND * 3) for o in "ghij"}  # one file, shared without a witness
+    text = "def tidy(rows):\n    return [r.strip() for r in rows if r and not r.isspace() and r != 'the end of all rows']\n"
+    leaf = {put(r, p, text) for r, p in (("k/x", "vendor/tidy.py"), ("l/x", "src/tidy.py"), ("m/x", "tools/clean.py"))}
+    told = {put("a/app", "lib/kit/x.py", kit["x.py"]), put(None, "vendor/z.py", HAND), put("q/r-generated-sdk", None, HAND), put("q/r", "a\\Vendor\\z.py", None)}
+    own |= {put("q/r", "vendors/z.py", HAND), put("q/r", "", ""), put("q/deep", "/".join("d" * 400) + "/f.py", HAND + "# deep")}
+    df = spark.createDataFrame(rows, "ord bigint, repo string, path string, src string").withColumn("kind", F.lit("clash")).withColumn("code", F.lit(1)).withColumn("leaf", F.lit(0))
+    got = {r.ord: r.evidence for r in not_handwritten.file_kinds(df, "ord", F.col("src"), F.col("path"), F.col("repo")).collect()}
+    assert set(got) == copied | leaf | told
+    assert all(got[i] == ["tree"] for i in copied) and [got[i] for i in sorted(leaf)] == [["path", "leaf"], ["leaf"], ["leaf"]]
     assert not_handwritten.file_kinds(df.limit(0), "ord", F.col("src"), F.col("path"), F.col("repo")).count() == 0
 
 
+def test_join_with_hot_keys(spark):
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}", "x") for i in range(60)] + [(99, None, "x")], "id bigint, k string, other string")
+    keys = spark.createDataFrame([("hot", 1), ("k3", 2), ("none", 3)], "k string, v int")
+    for how in ("inner", "left"):
+        a, b = (sorted(map(tuple, join_hot(rows, keys, ["k"], how, bound=n).collect()), key=str) for n in (10, 0))
+        assert a == b and len(a) == (41 if how == "inner" else 61)
+
+
 def test_shingles_of_long_words():
     import pyarrow as pa
 
