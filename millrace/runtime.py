@@ -48,6 +48,13 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, deleted at the end like a staged table."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    return path
+
+
 def discard(df: DataFrame) -> None:
     """Delete a staged table that nothing will read any more."""
     path = getattr(df, "staged_at", None)
