@@ -3,19 +3,21 @@
 A keyword automaton decides which rules a text needs at all.  Rules are issuer
 formats (a fixed shape of token), assignments to a credential's name, and
 addresses and headers with a secret part.  Structure is checked: entropy,
-character classes, base64 and JSON of tokens, the body of private keys.  A
-match is replaced by a placeholder of the same length and the same alphabet
-class at every place, so the code keeps its text and form.
+character classes, base64 and JSON of tokens, the body of private keys, and the
+checksum of issuers that have one: a token with the right checksum counts
+whatever it looks like, one without goes by its structure.  A match is replaced
+by a placeholder of the same length over the same alphabet that depends on
+nothing else of the secret, so it can confirm no guess.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
-import hashlib
 import json
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -59,7 +61,7 @@ _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _NAME_BEFORE = re.compile(r"[A-Za-z0-9_.\-]+$")
 _NAME_CHARS = re.compile(r"[A-Za-z0-9_.\-]*")
 _QUOTED = re.compile(
-    r"""\\?["']?\]?\s*(?::\s*[A-Za-z]+\s*)?(?:=(?!=)|:(?!:)|=>|,)\s*(?:(?:str|bytes|String|quote|SecretStr)\(\s*)?(?:[bBrRuU]{0,2})(?P<q>\\?["'`])(?P<v>(?:(?!(?P=q))[^\r\n]){4,4000}?)(?P=q)"""
+    r"""\\?["']?\]?\s*(?::\s*[A-Za-z]+\s*)?(?:=(?!=)|:(?!:)|=>|,)\s*(?:(?:str|bytes|String|quote|SecretStr)\(\s*)?(?:[bBrRuU]{0,2})(?P<q>\\?["'`])(?P<v>(?:(?!(?P=q))[^\r\n]){4,}+)(?P=q)"""
 )
 _BARE = re.compile(r"\s*[:=]\s*(?P<v>[^\s\"'`,;<>(){}\[\]]{8,})(?=[ \t]*(?:$|[\r\n]|\s#))")
 _SPOKEN = re.compile(r"(?i)/\s*(?:pass(?:word|wd)?|pwd|pw)\s+(?P<v>\S{6,})")
@@ -102,7 +104,7 @@ def looks_random(v: str) -> bool:
 
 def looks_chosen(v: str) -> bool:
     """Whether a value may be a password: three classes of characters, or two that are no word with a number."""
-    if not 6 <= len(v) <= 64 or re.search(r"\s|://", v) or PLACEHOLDER.search(v) or len(set(v)) < 5:
+    if len(v) < 6 or re.search(r"\s|://", v) or PLACEHOLDER.search(v) or len(set(v)) < 5:
         return False
     if re.fullmatch(r"[a-z]+(?:[_\-. /:][a-z]+)*[0-9]?|[A-Z]+(?:[_-][A-Z]+)*[0-9]?|[0-9.,:/-]+|[A-Z][a-z]+(?:[A-Z][a-z]+)*", v):
         return False
@@ -110,8 +112,27 @@ def looks_chosen(v: str) -> bool:
     return n >= 3 or (n == 2 and bool(re.search(r"[0-9]", v)) and entropy(v) >= 2.5 and _turns(v) >= 2)
 
 
+# The marks that issuers begin their tokens with, and the digits of the checksum that some end with.
+_MARK = re.compile(r"(?:gh[a-z]_|github_pat_|glpat-|xox[a-z]-|[rsp]k_live_|sk-|SG\.|AIza|hf_|npm_|pypi-|AKIA|ASIA|ya29\.)")
+_BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
+
+def checksum_holds(v: str) -> bool:
+    """Whether a token of the kind ``ghp_`` or ``npm_`` ends with the CRC-32 of its thirty characters, six digits to base 62."""
+    m = re.fullmatch(r"(?:gh[pousr]|npm)_([0-9A-Za-z]{30})([0-9A-Za-z]{6})", v)
+    if not m:
+        return False
+    n, digits = zlib.crc32(m[1].encode()), ""
+    for _ in range(6):
+        n, d = divmod(n, 62)
+        digits = _BASE62[d] + digits
+    return digits == m[2]
+
+
 def _issued(v: str) -> bool:
-    body = re.sub(r"^(?:gh[a-z]_|github_pat_|glpat-|xox[a-z]-|[rsp]k_live_|sk-|SG\.|AIza|hf_|npm_|pypi-|AKIA|ASIA|ya29\.)", "", v)
+    if checksum_holds(v):
+        return True
+    body = _MARK.sub("", v, count=1) if _MARK.match(v) else v
     if PLACEHOLDER.search(body) or len(set(body)) < min(8, len(body) // 2) or entropy(body) < 2.8:
         return False
     if v.startswith("eyJ"):
@@ -154,7 +175,7 @@ def _automaton() -> tuple[ahocorasick.Automaton, list]:
             a.setdefault(w, set()).add(i)
     for w in KEYWORDS:
         a.setdefault(w, set()).add("name")
-    for w, rule in (("private key-----", "pem"), ("basic ", "scheme"), ("bearer ", "scheme"), ("://", "address"), ("hook", "hook")):
+    for w, rule in (("private key-----", "pem"), ("basic ", "scheme"), ("bearer ", "scheme"), ("://", "address"), ("hook", "hook"), *((f"{d}:", "bot") for d in range(10))):
         a.setdefault(w, set()).add(rule)
     auto = ahocorasick.Automaton()
     for w, what in a.items():
@@ -196,7 +217,7 @@ def _of_name(text: str, at: int, done: set, hits: list) -> None:
         return
     m = _DECODE.match(text, stop)
     if m:
-        if not PLACEHOLDER.search(m["v"]):
+        if not PLACEHOLDER.search(m["v"]) and len(set(m["v"])) >= 6:
             hits.append((*m.span("v"), "decode"))
         return
     before = text[max(0, left - 2) : left]
@@ -262,6 +283,10 @@ def find(text: str) -> list[tuple[int, int, str]]:
                 v = m["v"]
                 if looks_chosen(v) or looks_random(v):
                     hits.append((*m.span("v"), "address"))
+        elif w == "bot":
+            for m in _BOT.finditer(text):
+                if _issued(m.group()):
+                    hits.append((*m.span(), "bot"))
         elif w == "hook":
             for m in _HOOK.finditer(text):
                 if looks_random(m["v"]):
@@ -270,9 +295,6 @@ def find(text: str) -> list[tuple[int, int, str]]:
             for m in issuers[w].finditer(text):
                 if _issued(m.group()):
                     hits.append((*m.span(), ISSUERS[w][0][0]))
-    for m in _BOT.finditer(text):
-        if _issued(m.group()):
-            hits.append((*m.span(), "bot"))
     if not hits:
         return []
     public = [m.span() for m in _PUBLIC_PEM.finditer(text)]
@@ -286,33 +308,38 @@ def find(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def placeholder(value: str) -> str:
-    """A value of the same length whose every character is of the same class; it depends on the value, other characters stay.
+def _filler(value: str) -> str:
+    """One character for each class of the value's alphabet, to be repeated; of hexadecimal digits, these."""
+    letter = "a" if re.fullmatch(r"[0-9A-Fa-f\W_]+", value) and re.search(r"[0-9]", value) else "x"
+    out = letter * bool(re.search(r"[a-z]", value)) + letter.upper() * bool(re.search(r"[A-Z]", value)) + "0" * bool(re.search(r"[0-9]", value))
+    return out or "x"
 
-    The dashes, words and line breaks of a private key's marks stay as they are.
-    """
-    keep = [m.span() for m in re.finditer(r"-----(?:BEGIN|END)[A-Z0-9 ]+-----|\\[nrt]|0x", value)]
-    stream = hashlib.sha256(value.encode("utf-8", "surrogatepass")).digest()
-    out = []
-    for i, c in enumerate(value):
-        x = stream[i % 32] + i
-        if any(a <= i < b for a, b in keep):
-            out.append(c)
-        elif "0" <= c <= "9":
-            out.append("0")
-        elif "a" <= c <= "z":
-            out.append("xyz"[x % 3] if c not in "abcdef" else "abcdef"[x % 6])
-        elif "A" <= c <= "Z":
-            out.append("XYZ"[x % 3])
-        else:
-            out.append(c)
-    return "".join(out)
 
+def placeholder(value: str) -> str:
+    """A value of the same length that depends only on that length and on which of lower case, capitals and digits occur.
 
-def redact(text: str) -> str:
+    An issuer's public mark stays, as do the marks, line breaks and quotes of a
+    private key, whose lines become filling alone.
+    """
+    if value.startswith("-----BEGIN"):
+        stays = re.compile(r"-----(?:BEGIN|END)[A-Z0-9 ]+-----|\\[nrt]|[^0-9A-Za-z/=\\]|\\")
+        out, last = [], 0
+        for m in [*stays.finditer(value), None]:
+            end = m.start() if m else len(value)
+            out += ["x" * (end - last), m[0] if m else ""]
+            last = m.end() if m else end
+        return "".join(out)
+    mark = _MARK.match(value)
+    head = mark[0] if mark else ""
+    fill = _filler(value[len(head) :])
+    n = len(value) - len(head)
+    return head + (fill * (n // len(fill) + 1))[:n]
+
+
+def redact(text: str, hits: list[tuple[int, int, str]] | None = None) -> str:
     """The text with every credential replaced; every other character keeps its place."""
     out, last = [], 0
-    for a, b, _ in find(text):
+    for a, b, _ in find(text) if hits is None else hits:
         out += [text[last:a], placeholder(text[a:b])]
         last = b
     return "".join([*out, text[last:]])
@@ -339,8 +366,8 @@ def redacted(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            n = [len(find(t)) if t else 0 for t in texts]
-            yield pa.record_batch([batch.column(0), pa.array([redact(t) if k else t for t, k in zip(texts, n)], pa.string()), pa.array(n, pa.int32())], schema=schema)
+            hits = [find(t) if t else [] for t in texts]
+            yield pa.record_batch([batch.column(0), pa.array([redact(t, h) if h else t for t, h in zip(texts, hits)], pa.string()), pa.array(list(map(len, hits)), pa.int32())], schema=schema)
 
     out = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     return out.mapInArrow(run, "id bigint, text string, credentials int").withColumnRenamed("id", id_col).withColumnRenamed("text", text_col)

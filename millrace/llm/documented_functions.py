@@ -44,6 +44,8 @@ _JS = regex.compile(
     (?P<body>(?P<brace>\{(?:[^{}]++|(?&brace))*+\})|[^\n]*)""",
     regex.V1 | regex.X,
 )
+_STATEMENT_ENDS = re.compile(r"[ \t]*(?:\Z|[\n;\x01])")
+_ARROW = re.compile(r"\s*=>")
 # Tags and notes that say nothing by themselves.
 _TAGS = re.compile(
     r"(?i)[:@\\](?:param|parameter|arg|argument|key|keyword|type|raises?|throws|exception|var|ivar|property|prop|typedef|template|field)\b[ \t]*(?:\{[^}]*\})?[ \t]*[\w.*\[\]\-]*:?"
@@ -107,8 +109,8 @@ def _block_before(masked: str, at: int) -> int:
     return at
 
 
-def _python(text: str) -> Iterator[tuple[str, str, str]]:
-    masked, strings = _blank(text, _PY_LEX, ("#",))
+def _python(text: str, masked: str, strings: dict[int, int]) -> Iterator[tuple[str, str, int, int, int]]:
+    """(name, documentation, start, stop, place of the def) of each function."""
     for d in _PY_DEF.finditer(masked):
         begin = _block_before(masked, d.start())
         m = _PY.match(masked, begin) or _PY_LOOSE.match(masked, begin)
@@ -122,7 +124,7 @@ def _python(text: str) -> Iterator[tuple[str, str, str]]:
         first = re.compile(r"(?:[ \t\n]|\x01)*").match(masked, m.start("body")).end()
         stop = strings.get(first)
         doc = None
-        if stop is not None and first < m.end("body") and not re.match(r"[fFbB]", text[first]) and re.match(r"[ \t]*(?:$|[\n;\x01])", masked[stop : stop + 200]):
+        if stop is not None and first < m.end("body") and not re.match(r"[fFbB]", text[first]) and _STATEMENT_ENDS.match(masked, stop):
             line = masked.rfind("\n", 0, first) + 1
             deeper = line > m.start("body") and len(masked[line:first].expandtabs()) > len(m["indent"].expandtabs())
             if line <= m.start("body") or deeper:
@@ -130,7 +132,7 @@ def _python(text: str) -> Iterator[tuple[str, str, str]]:
         if doc is None and m["lead"]:
             a, b = m.span("lead")
             doc = "\n".join(re.sub(r"^[ \t]*#+[!:]?", "", x) for x in text[a:b].split("\n"))
-        yield m["name"], doc or "", text[m.start() : m.end()]
+        yield m["name"], doc or "", m.start(), m.end(), d.start()
 
 
 def _js_comment_before(text: str, masked: str, at: int) -> str:
@@ -158,8 +160,8 @@ def _js_comment_before(text: str, masked: str, at: int) -> str:
     return "\n".join(re.sub(r"^\s*(?://+|/\*+|\*+(?!/))|\*+/\s*$", "", x, flags=re.M) for x in reversed(lines))
 
 
-def _javascript(text: str) -> Iterator[tuple[str, str, str]]:
-    masked, _ = _blank(text, _JS_LEX, ("//", "/*"))
+def _javascript(text: str, masked: str) -> Iterator[tuple[str, str, int, int]]:
+    """(name, documentation, start, stop) of each function."""
     # A block comment is one run here, so its lines count as one line.
     for d in _JS_DEF.finditer(masked):
         if d["f"]:
@@ -169,21 +171,34 @@ def _javascript(text: str) -> Iterator[tuple[str, str, str]]:
         m = _JS.match(masked, d.start())
         if m is None or not (m["name"] or m["own"]):
             continue
-        if d["c"] and not m["own"] and "=>" not in masked[m.end("sig") : m.end("sig") + 8] and "function" not in masked[d.start() : m.start("sig")]:
+        if d["c"] and not m["own"] and not _ARROW.match(masked, m.end("sig")) and "function" not in masked[d.start() : m.start("sig")]:
             continue
-        yield d["f"] or d["c"], _js_comment_before(text, masked, d.start()), text[d.start() : m.end()]
+        yield d["f"] or d["c"], _js_comment_before(text, masked, d.start()), d.start(), m.end()
 
 
 def functions(code: str) -> Iterator[tuple[str, str, str]]:
-    """(name, documentation, code) of each function or method; the documentation may be empty."""
+    """(name, documentation, code) of each function or method; the documentation may be empty.
+
+    A text is read as Python where it has definitions of that form, else as
+    JavaScript.  Where code outside Python's definitions, strings and comments
+    defines JavaScript functions, those count, and definitions inside a
+    JavaScript string or comment do not.
+    """
     text = code.replace("\r\n", "\n").replace("\r", "\n")
+    own, scripts = [], []
+    script = "function" in text or "=>" in text
+    masked = ""
     if "def" in text:
-        own = list(_python(text))
-        if own:
-            yield from own
-            return
-    if "function" in text or "=>" in text:
-        yield from _javascript(text)
+        masked, strings = _blank(text, _PY_LEX, ("#",))
+        own = list(_python(text, masked, strings))
+    if script and (not own or _JS_DEF.search(masked)):
+        hidden, _ = _blank(text, _JS_LEX, ("//", "/*"))
+        spans = [(a, b) for _, _, a, b, _ in own]
+        scripts = [f for f in _javascript(text, hidden) if not own or masked[f[2]] not in "\x01\x02" and not any(a <= f[2] < b for a, b in spans)]
+        if own and scripts:
+            own = [f for f in own if not set(hidden[f[4] : f[4] + 1]) & {"\x01", "\x02"}]
+    for name, doc, a, b, *_ in own + scripts:
+        yield name, doc, text[a:b]
 
 
 def documented(df: DataFrame, id_col: str, code_col: str) -> DataFrame:

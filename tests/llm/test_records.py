@@ -200,8 +200,41 @@ def test_credentials(line, secret):
     assert [text[a:b] for a, b, _ in credentials.find(text)] == ([secret] if secret else [])
     masked = credentials.redact(text)
     assert len(masked) == len(text) and (not secret or secret not in masked)
-    for a, b in zip(text, masked):
-        assert (a.isdigit(), a.islower(), a.isupper(), a.isspace()) == (b.isdigit(), b.islower(), b.isupper(), b.isspace())
+    if secret:
+        at = text.index(secret)
+        own = masked[at : at + len(secret)]
+        assert masked == text[:at] + own + text[at + len(secret) :] and not credentials.find(masked)
+        kinds = lambda v: {f for f in (str.islower, str.isupper, str.isdigit) if any(map(f, v))}
+        assert kinds(own) == kinds(secret)
+
+
+def test_masks_tell_nothing():
+    rng = random.Random(2)
+    for alphabet in ("abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFXYZ0123456789#%", "0123456789abcdef", "aA0+/"):
+        made = {credentials.placeholder("".join(rng.choice(alphabet) for _ in range(40)) + alphabet[0] + alphabet[-1] + "7") for _ in range(50)}
+        assert len(made) == 1
+    key = lambda c: f"-----BEGIN PRIVATE KEY-----\n{c * 20}+{c * 3}==\n-----END PRIVATE KEY-----"
+    assert credentials.placeholder(key("aB")) == credentials.placeholder(key("9z"))
+
+
+def test_checksums():
+    import zlib
+
+    body, n, digits = "0123456789" * 3, zlib.crc32(("0123456789" * 3).encode()), ""
+    for _ in range(6):
+        n, d = divmod(n, 62)
+        digits = credentials._BASE62[d] + digits
+    assert credentials.checksum_holds(f"ghp_{body}{digits}") and not credentials.checksum_holds(f"ghp_{body[::-1]}{digits}")
+    assert credentials.find(f"x = 'ghp_{body}{digits}'") and not credentials.find("x = 'ghp_" + "0123456789" * 3 + "000000'")
+    assert credentials.find('password = "' + "aB3#" * 4 + "xY9!" * 30 + '"') and credentials.find("secret_key = '" + "aB3-Zq9Xk7Lm" * 900 + "'")
+
+
+def test_scripts_that_quote_python(spark):
+    js = "/** Sends all of the rows to it. */\nfunction sendAll(x) {\n  const t = `\ndef hidden(a):\n    '''Says something about hidden things.'''\n`;\n}\n"
+    py = 'def outer():\n    """Keeps a script for the page here."""\n    return """\n/** Says something about hidden things. */\nfunction hidden() {}\n"""\n'
+    names = lambda t: [n for n, d, _ in documented_functions.functions(t) if d]
+    assert names(js) == ["sendAll"] and names(py) == ["outer"]
+    assert names("def f():\n    '''Four words are here.'''" + " " * 400 + "+ x\n    return 1\n") == [] and names("def f():\n    '''Four words are here.'''" + " " * 400 + "\n    return 1\n") == ["f"]
 
 
 def test_private_keys_and_tables(spark):
