@@ -174,7 +174,41 @@ def test_copies_and_ledger(spark):
         ledger, found = fd.copies(df, "ord", "function_name", "path", "code", batches=batches)
         assert {(r.first_id, r.id) for r in found.collect()} == {(2, 5), (2, 9), (3, 4)}
         assert {(r.first_id, r.copies) for r in ledger.collect()} == {(2, 3), (1, 1), (3, 2), (7, 1)}
-    keys = fd.canonical_keys(df, "ord", "function_name", "path", "code")
-    twice = fd.update(fd.update(None, keys), keys)
-    assert {(r.first_id, r.copies) for r in twice.collect()} == {(2, 6), (1, 2), (3, 4), (7, 2)}
     assert fd.copies(df.limit(0), "ord", "function_name", "path", "code")[1].count() == 0
+
+
+def test_ledger_lasts(spark, tmp_path):
+    first = spark.createDataFrame([(5, b"a"), (7, b"a"), (8, b"b")], "id bigint, key binary")
+    second = spark.createDataFrame([(2, b"a"), (9, b"c")], "id bigint, key binary")
+    third = spark.createDataFrame([(1, b"c")], "id bigint, key binary")
+    folder = f"file://{tmp_path}/ledger"
+    ledger = fd.Ledger(spark, folder, buckets=8)
+    assert ledger.rows().count() == 0
+    ledger.add(first, "monday")
+    ledger.add(second, "tuesday")
+    # Another session opens the folder; a repeated batch changes nothing.
+    again = fd.Ledger(spark.newSession(), folder)
+    again.add(second, "tuesday")
+    again.add(third, "wednesday")
+    again.add(third.limit(0), "thursday")
+    again.clean()
+    want = {(b"a", 3, 2), (b"b", 1, 8), (b"c", 2, 1)}
+    last = fd.Ledger(spark, folder)
+    assert {(bytes(r.key), r.copies, r.first_id) for r in last.rows().collect()} == want
+    assert last.batches == ["monday", "tuesday", "wednesday", "thursday"]
+    # Only the buckets of a batch's keys are rewritten, and a writer who comes too late is refused.
+    touched = {r.bucket for r in last.rows().where("copies = 2").collect()}
+    before = dict(last._state["at"])
+    late = fd.Ledger(spark, folder)
+    last.add(third, "friday")
+    assert {b for b, f in last._state["at"].items() if before[b] != f} == {str(b) for b in touched}
+    with pytest.raises(RuntimeError):
+        late.add(first, "friday")
+    assert {r.copies for r in fd.Ledger(spark, folder).rows().collect()} == {3, 1}
+
+
+def test_calls_behind_long_names():
+    name = "client_" + "x" * 300
+    assert fd.canonical_code(f"{name}(b=1, a=2)") == fd.canonical_code(f"{name}(a=2, b=1)")
+    assert fd.canonical_code(f"def {name}(b=1, a=2):\n    pass") != fd.canonical_code(f"def {name}(a=2, b=1):\n    pass")
+    assert fd.canonical_code("x = defaults(b=1, a=2)") == fd.canonical_code("x = defaults(a=2, b=1)")
