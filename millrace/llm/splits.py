@@ -3,10 +3,11 @@
 Records that name the same host or repository, directly or through others,
 form one component.  Components come from the graph of hosts and repositories
 by alternating stars (large star, small star), a few shuffles of the distinct
-edges.  Components of equal size and main label form a bundle; a min-cost flow
-sends the bundles to the splits, paying for what exceeds a split's quota or
-its quota of a label; whole components are then dealt out, largest first, and
-members of a bundle are told apart by hash.
+edges.  Components of equal size and label profile (the share of each label in
+quarters) form a bundle.  The bundles are the nodes of a min-cost flow to the
+splits that pays for what exceeds a split's quota or its quota of a label.  The
+flow is rounded to whole components, largest first, each bundle making up for
+what the ones before it left over; members of a bundle are told apart by hash.
 """
 
 from __future__ import annotations
@@ -16,21 +17,29 @@ from collections import defaultdict, deque
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from millrace.llm.joins import join_hot
 from millrace.runtime import discard, stage
 
-LARGE_SHARE = 0.01  # components above this share of the rows are nodes of their own; at most 1 / LARGE_SHARE exist
+HUB = 1_000_000  # neighbours of a node that one task still takes
 BUCKETS = 16384  # hash ranges in which the members of a bundle are counted
 
 
-def _stars(edges: DataFrame) -> DataFrame:
-    """One large-star and one small-star step over edges (u, v), u > v."""
+def _least(edges: DataFrame) -> DataFrame:
+    """Least neighbour and number of neighbours of each ``u``; combines before it shuffles."""
+    return edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+
+
+def _stars(edges: DataFrame, hub: int) -> tuple[DataFrame, DataFrame]:
+    """One large-star and one small-star step over edges (u, v), u > v; edges of nodes with more than ``hub`` neighbours are not shuffled by them."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    big = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-    least = big.groupBy("u").agg(F.min("v").alias("m"))
-    to = big.join(least, "u")
+    least = _least(both)
+    own = least.select("u", F.least("u", "m").alias("m"))
+    big = join_hot(both.where("v > u"), own, ["u"], bound=None, hot=hub, counted=least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    big = stage(big.distinct(), "graph-large")
+    least = _least(big)
+    to = join_hot(big, least.select("u", "m"), ["u"], bound=None, hot=hub, counted=least)
     small = to.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return small.distinct()
+    return small.distinct(), big
 
 
 def _settled(edges: DataFrame) -> tuple[DataFrame, tuple]:
@@ -42,15 +51,21 @@ def _settled(edges: DataFrame) -> tuple[DataFrame, tuple]:
     return out, (got["n"], got["h"])
 
 
-def components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
-    """``(node, root)`` of every node of the edges ``(u, v)``; the root is the least node of its component."""
+def components(edges: DataFrame, *, rounds: int = 60, hub: int = HUB) -> DataFrame:
+    """``(node, root)`` of every node of the edges ``(u, v)``; the root is the least node of its component.
+
+    Rounds grow with the logarithm of the longest path, so ``rounds`` is far
+    beyond any graph's need; a graph that needs more raises an error.
+    """
     both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     nodes = stage(both.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "graph-nodes")
     now, seen = _settled(both.where("u <> v").distinct())
     for _ in range(rounds):
         before = now
-        now, digest = _settled(_stars(before))
+        after, big = _stars(before, hub)
+        now, digest = _settled(after)
         discard(before)
+        discard(big)
         if digest == seen:
             break
         seen = digest
@@ -60,107 +75,166 @@ def components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
 
 
 class _Flow:
-    """Successive shortest paths on a small network."""
+    """Min-cost flow with whole costs: shortest distances, then all flow along arcs that lie on shortest ways, until none is left."""
 
     def __init__(self):
-        self.to: list[list] = []
-        self.at: dict = defaultdict(list)
+        self.to: list[int] = []
+        self.room: list[int] = []
+        self.cost: list[int] = []
+        self.at: list[list[int]] = []
+        self.name: dict = {}
 
-    def arc(self, a, b, cap: int, cost: float) -> int:
-        self.at[a].append(len(self.to))
-        self.to.append([b, cap, cost, 0])
-        self.at[b].append(len(self.to))
-        self.to.append([a, 0, -cost, 0])
-        return len(self.to) - 2
+    def node(self, x) -> int:
+        if x not in self.name:
+            self.name[x] = len(self.at)
+            self.at.append([])
+        return self.name[x]
 
-    def run(self, s, t) -> None:
+    def arc(self, a, b, cap: int, cost: int) -> int:
+        e = len(self.to)
+        i, j = self.node(a), self.node(b)
+        self.to += [j, i]
+        self.room += [cap, 0]
+        self.cost += [cost, -cost]
+        self.at[i].append(e)
+        self.at[j].append(e + 1)
+        return e
+
+    def sent(self, e: int) -> int:
+        return self.room[e ^ 1]
+
+    def _distances(self, s: int) -> list[float]:
+        dist = [float("inf")] * len(self.at)
+        dist[s] = 0
+        queue, queued = deque([s]), {s}
+        while queue:
+            a = queue.popleft()
+            queued.discard(a)
+            for e in self.at[a]:
+                b = self.to[e]
+                if self.room[e] and dist[a] + self.cost[e] < dist[b]:
+                    dist[b] = dist[a] + self.cost[e]
+                    if b not in queued:
+                        queued.add(b)
+                        queue.append(b)
+        return dist
+
+    def run(self, source, sink) -> None:
+        s, t = self.node(source), self.node(sink)
         while True:
-            dist, via, queue, queued = {s: 0.0}, {}, deque([s]), {s}
-            while queue:
-                a = queue.popleft()
-                queued.discard(a)
-                for e in self.at[a]:
-                    b, cap, cost, used = self.to[e]
-                    if cap > used and dist[a] + cost < dist.get(b, float("inf")) - 1e-12:
-                        dist[b], via[b] = dist[a] + cost, e
-                        if b not in queued:
-                            queued.add(b)
-                            queue.append(b)
-            if t not in dist:
+            dist = self._distances(s)
+            if dist[t] == float("inf"):
                 return
-            path, b = [], t
-            while b != s:
-                path.append(via[b])
-                b = self.to[via[b] ^ 1][0]
-            push = min(self.to[e][1] - self.to[e][3] for e in path)
-            for e in path:
-                self.to[e][3] += push
-                self.to[e ^ 1][3] -= push
+            while self._blocking(s, t, dist):
+                pass
+
+    def _blocking(self, s: int, t: int, dist: list[float]) -> bool:
+        level = {s: 0}
+        queue = deque([s])
+        on = lambda a, e: self.room[e] and dist[self.to[e]] == dist[a] + self.cost[e]
+        while queue:
+            a = queue.popleft()
+            for e in self.at[a]:
+                if self.to[e] not in level and on(a, e):
+                    level[self.to[e]] = level[a] + 1
+                    queue.append(self.to[e])
+        if t not in level:
+            return False
+        turn = dict.fromkeys(level, 0)
+        way: list[int] = []
+        a = s
+        while True:
+            if a == t:
+                push = min(self.room[e] for e in way)
+                for e in way:
+                    self.room[e] -= push
+                    self.room[e ^ 1] += push
+                cut = next(i for i, e in enumerate(way) if not self.room[e])
+                a = self.to[way[cut] ^ 1]
+                del way[cut:]
+                continue
+            while turn[a] < len(self.at[a]):
+                e = self.at[a][turn[a]]
+                if level.get(self.to[e], -1) == level[a] + 1 and on(a, e):
+                    break
+                turn[a] += 1
+            else:
+                if a == s:
+                    return True
+                back = way.pop()
+                a = self.to[back ^ 1]
+                turn[a] += 1
+                continue
+            way.append(e)
+            a = self.to[e]
+
 
+OVER_SPLIT, OVER_LABEL = 4000, 1000  # costs of a row beyond a split's quota and beyond its quota of a label
 
-def allocate(bundles: list[tuple[int, str, int]], shares: dict[str, float]) -> dict[tuple[int, str], dict[str, int]]:
-    """How many components of each bundle (size, label, components) go to each split.
 
-    The flow is in rows; large components and, per label, all others together
-    are its sources, so the network stays small whatever the number of bundles.
+def allocate(bundles: list[tuple[int, object, int, dict[str, int]]], shares: dict[str, float]) -> dict[tuple[int, object], dict[str, int]]:
+    """How many components of each bundle (size, profile, components, rows by label) go to each split.
+
+    The flow is in rows: source, bundle and label, label and split, split, sink.
     """
-    total = sum(s * n for s, _, n in bundles)
-    labels = sorted({b[1] for b in bundles})
     names = list(shares)
-    quota = {k: total * v for k, v in shares.items()}
-    of_label = {x: sum(s * n for s, y, n in bundles if y == x) for x in labels}
+    total = sum(s * n for s, _, n, _ in bundles)
+    of_label: dict = defaultdict(int)
+    for _, _, _, rows in bundles:
+        for x, r in rows.items():
+            of_label[x] += r
+    quota = _whole(total, shares)
     flow = _Flow()
-    arcs: dict = defaultdict(dict)
-    rest: dict = defaultdict(int)
-    for s, x, n in bundles:
-        if s > total * LARGE_SHARE:
-            flow.arc("source", ("one", s, x), s * n, 0)
+    arcs: dict = {}
+    for s, p, n, rows in bundles:
+        for x, r in rows.items():
+            flow.arc("source", (s, p, x), r, 0)
             for k in names:
                 # A component larger than the quota deviates by what exceeds it, wherever it goes.
-                arcs[s, x][k] = flow.arc(("one", s, x), (x, k), s * n, max(0.0, s - quota[k]) / s)
-        else:
-            rest[x] += s * n
-    for x, rows in rest.items():
-        flow.arc("source", ("rest", x), rows, 0)
-        for k in names:
-            arcs["rest", x][k] = flow.arc(("rest", x), (x, k), rows, 0)
-    for x in labels:
+                arcs[s, p, x, k] = flow.arc((s, p, x), (x, k), r, int(OVER_SPLIT * max(0, s - quota[k]) / s))
+    for x, r in of_label.items():
+        own = _whole(r, shares)
         for k in names:
-            own = int(of_label[x] * shares[k])
-            flow.arc((x, k), k, own, 0)
-            flow.arc((x, k), k, total, 1)
+            flow.arc((x, k), k, own[k], 0)
+            flow.arc((x, k), k, r, OVER_LABEL)
     for k in names:
-        flow.arc(k, "sink", int(quota[k]), 0)
-        flow.arc(k, "sink", total, 4)
+        flow.arc(k, "sink", quota[k], 0)
+        flow.arc(k, "sink", total, OVER_SPLIT)
     flow.run("source", "sink")
-    sent = {key: {k: flow.to[e][3] for k, e in by.items()} for key, by in arcs.items()}
-    # Integral rounding, largest components first: each goes where most of the flow of its kind is still unmet.
-    left: dict = defaultdict(lambda: dict.fromkeys(names, 0.0))
-    for key, by in sent.items():
-        x = key[1]
-        for k, f in by.items():
-            left[x][k] += f
     room = dict(quota)
+    label_room = {x: _whole(r, shares) for x, r in of_label.items()}
+    owed = dict.fromkeys(names, 0)  # rows that the flow gave a split and rounding has not yet
     out: dict = {}
-    for s, x, n in sorted(bundles, key=lambda b: (-b[0], b[1])):
-        take = dict.fromkeys(names, 0)
-        want = {k: min(left[x][k], room[k]) for k in names}
-        for k in names:
-            take[k] = max(0, min(n, int(want[k] // s)))
+    for s, p, n, rows in sorted(bundles, key=lambda b: (-b[0], str(b[1]))):
+        want = {k: owed[k] + sum(flow.sent(arcs[s, p, x, k]) for x in rows) for k in names}
+        take = {k: min(n, max(0, want[k]) // s) for k in names}
         while sum(take.values()) > n:
-            k = max(names, key=lambda k: take[k])
-            take[k] -= 1
-        # What the label's flow left over fills the splits' remaining room, the roomiest first; then one by one at least cost.
-        for k in sorted(names, key=lambda k: take[k] * s - room[k]):
-            take[k] += max(0, min(n - sum(take.values()), int((room[k] - take[k] * s) // s)))
-        for _ in range(n - sum(take.values())):
-            over = {k: 4 * max(0.0, s - max(0.0, room[k] - take[k] * s)) + max(0.0, s - max(0.0, left[x][k] - take[k] * s)) for k in names}
-            k = min(names, key=lambda k: (over[k], take[k] * s - room[k]))
-            take[k] += 1
+            take[max((k for k in names if take[k]), key=lambda k: take[k] * s - want[k])] -= 1
+        each = {x: r / n for x, r in rows.items()}
+        left = n - sum(take.values())
+        while left:
+            k = min(names, key=lambda k: (
+                OVER_SPLIT * max(0, s - max(0, room[k] - take[k] * s)) + OVER_LABEL * sum(max(0, y - max(0, label_room[x][k] - take[k] * y)) for x, y in each.items()), take[k] * s - want[k],
+            ))
+            # As many at once as the split has room for.
+            more = max(1, min(left, (room[k] - take[k] * s) // s))
+            take[k] += more
+            left -= more
         for k in names:
-            left[x][k] -= take[k] * s
+            owed[k] = want[k] - take[k] * s
             room[k] -= take[k] * s
-        out[s, x] = take
+            for x, y in each.items():
+                label_room[x][k] -= take[k] * y
+        out[s, p] = take
+    return out
+
+
+def _whole(rows: int, shares: dict[str, float]) -> dict[str, int]:
+    """The rows dealt out by the shares in whole numbers, what is left over to the largest remainders."""
+    out = {k: int(rows * v) for k, v in shares.items()}
+    rest = sorted(shares, key=lambda k: -(rows * shares[k] - out[k]))
+    for k in rest[: rows - sum(out.values())]:
+        out[k] += 1
     return out
 
 
@@ -169,8 +243,7 @@ def group_splits(df: DataFrame, id_col: str, host: Column, repo: Column, label:
 
     ``host`` and ``repo`` are canonical names, null where absent.  The group is
     its least node, hosts before repositories, so ``group_host`` is the least
-    host or null.  The label with most rows of a group, the least among equals,
-    is its profile; a null label counts as the empty string.
+    host or null.  A null label counts as the empty string.  ``shares`` sum to 1.
     """
     shares = shares or {"train": 0.7, "validation": 0.1, "test": 0.2}
     spark = df.sparkSession
@@ -178,31 +251,45 @@ def group_splits(df: DataFrame, id_col: str, host: Column, repo: Column, label:
     rows = df.select(F.col(id_col).alias("id"), h.alias("h"), r.alias("r"), F.coalesce(label, F.lit("")).alias("label"))
     edges = rows.where("h is not null or r is not null").select(F.coalesce("h", "r").alias("u"), F.coalesce("r", "h").alias("v")).distinct()
     roots = stage(components(edges), "split-roots")
-    named = rows.select("id", "label", F.coalesce("h", "r").alias("node")).join(roots, "node", "left")
+    named = join_hot(rows.select("id", "label", F.coalesce("h", "r").alias("node")), roots, ["node"], "left")
     alone = F.concat(F.lit("~ "), F.col("id").cast("string"))
     named = stage(named.select("id", "label", F.coalesce("root", alone).alias("root")), "split-rows")
-    sizes = named.groupBy("root", "label").agg(F.count(F.lit(1)).alias("n"))
-    profile = sizes.groupBy("root").agg(F.sum("n").alias("size"), F.min(F.struct(-F.col("n"), F.col("label"))).alias("top")).select("root", "size", F.col("top.label").alias("label"))
+    discard(roots)
+    # A component's label profile: the labels with an eighth of its rows or more, in quarters; at most eight.
+    sizes = named.groupBy("root", "label").agg(F.count(F.lit(1)).alias("n")).withColumn("size", F.sum("n").over(Window.partitionBy("root")))
+    quarters = F.round(F.col("n") * 4 / F.col("size")).cast("int")
+    told = F.when(quarters >= 1, F.struct("label", quarters.alias("quarters"), "n"))
+    profile = sizes.groupBy("root", "size").agg(F.array_sort(F.collect_list(told)).alias("told"), F.sum(F.when(quarters < 1, F.col("n")).otherwise(0)).alias("rest"))
+    name = F.to_json(F.transform("told", lambda x: F.struct(x["label"].alias("l"), x["quarters"].alias("q"))))
+    rest = F.struct(F.lit("other labels").alias("label"), F.col("rest").alias("n"))
+    by_label = F.concat(F.transform("told", lambda x: F.struct(x["label"].alias("label"), x["n"].alias("n"))), F.array(rest))
     bucket = F.pmod(F.xxhash64("root"), F.lit(BUCKETS))
-    profile = stage(profile.withColumn("bucket", bucket), "split-groups")
-    # Bundles: the number of distinct sizes is at most the square root of twice the rows, for each label.
-    bundles = [(x["size"], x["label"], x["n"]) for x in profile.groupBy("size", "label").agg(F.count(F.lit(1)).alias("n")).toArrow().to_pylist()]
-    dealt = allocate(bundles, shares)
-    plan, at = [], {}
-    for (s, x), take in dealt.items():
+    profile = stage(profile.select("root", "size", name.alias("profile"), by_label.alias("labels"), bucket.alias("bucket")), "split-groups")
+    # Distinct sizes are at most the square root of twice the rows, profiles a fixed number for the labels there are.
+    told = profile.select("size", "profile", F.inline("labels")).groupBy("size", "profile", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"))
+    bundles: dict = {}
+    for x in told.toArrow().to_pylist():
+        bundle = bundles.setdefault((x["size"], x["profile"]), [0, {}])
+        bundle[0] = max(bundle[0], x["c"])
+        if x["n"]:
+            bundle[1][x["label"]] = bundle[1].get(x["label"], 0) + x["n"]
+    dealt = allocate([(s, p, n, by) for (s, p), (n, by) in sorted(bundles.items())], shares)
+    plan = []
+    for (s, p), take in dealt.items():
         start = 0
         for k in shares:
             if take[k]:
-                plan.append((s, x, k, start, start + take[k]))
+                plan.append((s, p, k, start, start + take[k]))
                 start += take[k]
-    plan_df = spark.createDataFrame(plan, "size bigint, label string, split string, first bigint, last bigint")
+    plan_df = spark.createDataFrame(plan, "size bigint, profile string, split string, first bigint, last bigint")
     # A component's place among its bundle's by hash: the components in lower hash ranges, and its rank in its own.
-    per = profile.groupBy("size", "label", "bucket").agg(F.count(F.lit(1)).alias("c"))
-    below = F.sum("c").over(Window.partitionBy("size", "label").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    per = per.select("size", "label", "bucket", F.coalesce(below, F.lit(0)).alias("below"))
-    rank = F.row_number().over(Window.partitionBy("size", "label", "bucket").orderBy(F.xxhash64("root"), "root")) - 1
-    placed = profile.withColumn("rank", rank).join(per, ["size", "label", "bucket"]).withColumn("place", F.col("rank") + F.col("below"))
-    placed = placed.join(plan_df, ["size", "label"]).where("place >= first and place < last").select("root", "split")
-    out = named.join(placed, "root")
+    keys = ["size", "profile"]
+    per = profile.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("c"))
+    below = F.sum("c").over(Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    per = per.select(*keys, "bucket", F.coalesce(below, F.lit(0)).alias("below"))
+    rank = F.row_number().over(Window.partitionBy(*keys, "bucket").orderBy(F.xxhash64("root"), "root")) - 1
+    placed = profile.select("root", *keys, "bucket").withColumn("rank", rank).join(per, [*keys, "bucket"]).withColumn("place", F.col("rank") + F.col("below"))
+    placed = stage(placed.join(plan_df, keys).where("place >= first and place < last").select("root", "split"), "split-dealt")
+    out = join_hot(named, placed, ["root"])
     host_of = F.when(F.col("root").startswith("h "), F.substr("root", F.lit(3)))
     return out.select(F.col("id").alias(id_col), F.col("root").alias("group"), host_of.alias("group_host"), "split")

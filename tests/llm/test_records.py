@@ -45,11 +45,33 @@ def test_components_and_splits(spark):
     assert splits.group_splits(df.limit(0), "ord", F.col("api_host"), F.col("repo"), F.col("language")).count() == 0
 
 
-def test_allocation_of_large_components():
-    got = splits.allocate([(600, "a", 1), (100, "a", 2), (1, "b", 200)], {"train": 0.7, "validation": 0.1, "test": 0.2})
-    rows = {k: sum(s * got[s, x][k] for s, x in got) for k in ("train", "validation", "test")}
+def test_allocation():
+    shares = {"train": 0.7, "validation": 0.1, "test": 0.2}
+    got = splits.allocate([(600, "a", 1, {"a": 600}), (100, "a", 2, {"a": 200}), (1, "b", 200, {"b": 200})], shares)
+    rows = {k: sum(s * got[s, x][k] for s, x in got) for k in shares}
     assert rows == {"train": 700, "validation": 100, "test": 200}
-    assert all(sum(t.values()) == n for (s, x), t in got.items() for n in [{(600, "a"): 1, (100, "a"): 2, (1, "b"): 200}[s, x]])
+    assert [sum(got[b].values()) for b in ((600, "a"), (100, "a"), (1, "b"))] == [1, 2, 200]
+    # Every bundle goes through the flow, mixed labels too, and small ones make up for what large ones leave.
+    rng = random.Random(3)
+    bundles = [(s, f"p{i}", n, {"x": s * n // 3, "y": s * n - s * n // 3}) for i, (s, n) in enumerate((rng.randint(1, 40), rng.randint(1, 30)) for _ in range(200))] + [(1, "one", 40, {"x": 40})]
+    got = splits.allocate(bundles, shares)
+    total = sum(b[0] * b[2] for b in bundles)
+    rows = {k: sum(s * got[s, x][k] for s, x in got) for k in shares}
+    assert all(abs(rows[k] - total * v) <= 1 for k, v in shares.items())
+    label = {k: sum(got[s, p][k] * by["x"] / n for s, p, n, by in bundles) for k in shares}
+    of_x = sum(by["x"] for *_, by in bundles)
+    assert all(abs(label[k] - of_x * v) <= 40 for k, v in shares.items())
+    # One component with nearly all rows goes where it exceeds the quota least.
+    assert splits.allocate([(990, "a", 1, {"a": 990}), (1, "a", 10, {"a": 10})], shares)[990, "a"] == {"train": 1, "validation": 0, "test": 0}
+    assert splits.allocate([], shares) == {}
+
+
+def test_components_with_hubs(spark):
+    edges = [(f"hub{i % 2}", f"n{i:03d}") for i in range(300)] + [(f"chain{i:02d}", f"chain{i + 1:02d}") for i in range(60)] + [("a", "a")]
+    df = spark.createDataFrame(edges, "u string, v string")
+    want = {r.node: r.root for r in splits.components(df).collect()}
+    assert want == {r.node: r.root for r in splits.components(df, hub=3).collect()}
+    assert set(want.values()) == {"hub0", "hub1", "chain00", "a"} and want["chain60"] == "chain00"
 
 
 def test_capping(spark):
@@ -298,7 +320,8 @@ def test_join_with_hot_keys(spark):
     keys = spark.createDataFrame([("hot", 1), ("k3", 2), ("none", 3)], "k string, v int")
     for how in ("inner", "left"):
         a, b = (sorted(map(tuple, join_hot(rows, keys, ["k"], how, bound=n).collect()), key=str) for n in (10, 0))
-        assert a == b and len(a) == (41 if how == "inner" else 61)
+        c = sorted(map(tuple, join_hot(rows, keys, ["k"], how, bound=None, hot=5).collect()), key=str)
+        assert a == b == c and len(a) == (41 if how == "inner" else 61)
 
 
 def test_shingles_of_long_words():
