@@ -9,13 +9,17 @@ sets' intersection is at least ``similarity`` of their union.
    into groups by the least scrambled token of the first ones (similar sets
    mostly agree in it) and a band of set sizes.
 3. The token-group matrix is kept sparse: of each class only a prefix of the
-   order is stored with the class and its group, as long as a partner above
-   the threshold can make necessary, so no link is lost.
-4. The overlap of a class with a group's members is bounded from the first
-   token they share: that token and what lies behind it in either.  Only
-   groups whose bound reaches the overlap needed are opened.
-5. The members of opened groups are compared with the class by their whole
-   token sets.
+   order goes into its group's token union, as long as a partner above the
+   threshold can make necessary, so no link is lost.  With so short a prefix
+   the tokens behind it are one fewer than the overlap needed, so one token met
+   in the union is what lets a group qualify; adding up more of them would
+   refuse nothing.
+4. What does refuse groups is the place of the first token met: the overlap is
+   at most that token and what lies behind it in either.  Only groups whose
+   bound reaches the overlap needed are opened.
+5. Members of opened groups are met in blocks of bounded size, and a pair comes
+   out only if bitmaps of both sets allow the similarity; then the whole token
+   sets are compared.
 
 The order comes from counts over all texts; which tokens it calls frequent
 changes the work, never the result.
@@ -23,7 +27,9 @@ changes the work, never the result.
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -33,14 +39,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import vec
-from millrace.runtime import stage
+from millrace.llm.joins import join_hot
+from millrace.llm.splits import components
+from millrace.runtime import discard, stage
 
 FREQUENT_SHARE = 0.00005  # a token in more texts than this is ordered by its count; bounds the order's table
 BROADCAST_IDS = 1_000_000  # ids up to which the texts to compare are picked by broadcast (8 MB); more are joined by shuffle
 COUNT_ROWS = 16384  # texts over which a task counts before it reports the tokens seen often
 HOT_TEXTS = 2_000_000  # a token in more texts than this is dealt to several parts
-BITS = 512
+WORDS = 8  # 64-bit words of a set's bitmap
+BLOCK = 4096  # askers and members of a group that meet in one block; larger groups are dealt to several
+TOKENS_PER_TASK = 1 << 20  # rows of the matrix that a task takes
 _U = np.uint64
+_BITS = ", ".join(f"b{i} bigint" for i in range(WORDS))
 
 
 def _needed(similarity: Fraction, n: np.ndarray) -> np.ndarray:
@@ -60,9 +71,16 @@ def _fingerprints(row: np.ndarray, h: np.ndarray, rows: int):
     return vec.mix(a + n.astype(_U)), b, n
 
 
-def _describe(words: int, similarity: Fraction):
-    """kind 0: (id, fp, fp2, n) of a text; kind 1: a token and in how many texts of some thousands it was."""
-    schema = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("fp", pa.int64()), ("fp2", pa.int64()), ("n", pa.int64())])
+def _bitmaps(row: np.ndarray, h: np.ndarray, rows: int) -> list[np.ndarray]:
+    """Each row's tokens as marks in a bitmap, in columns of 64 bits."""
+    marks = np.zeros((rows, WORDS * 64), dtype=bool)
+    marks[row, (vec.mix(h, 31) % _U(WORDS * 64)).astype(np.int64)] = True
+    return list(np.packbits(marks, axis=1).view(np.int64).reshape(rows, WORDS).T)
+
+
+def _describe(words: int):
+    """kind 0: (id, fp, fp2, n, bitmap) of a text; kind 1: a token and in how many texts of some thousands it was."""
+    schema = pa.schema([("kind", pa.int32()), *((c, pa.int64()) for c in ("id", "fp", "fp2", "n", *(f"b{i}" for i in range(WORDS))))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: list[np.ndarray] = []
@@ -73,14 +91,15 @@ def _describe(words: int, similarity: Fraction):
             often = c >= 2
             t, c = t[often].view(np.int64), c[often].astype(np.int64)
             z = np.zeros(len(t), np.int64)
-            return pa.record_batch([pa.array(z.astype(np.int32) + 1), pa.array(z), pa.array(t), pa.array(z), pa.array(c)], schema=schema)
+            return pa.record_batch([pa.array(x) for x in (z.astype(np.int32) + 1, z, t, z, c, *[z] * WORDS)], schema=schema)
 
         for batch in batches:
             ids, text = batch.column(0), batch.column(1)
             for i, j in vec.chunks(text):
                 row, h = vec.code_shingles(text.slice(i, j - i), words)
                 a, b, n = _fingerprints(row, h, j - i)
-                yield pa.record_batch([pa.array(np.zeros(j - i, np.int32)), ids.slice(i, j - i), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(n)], schema=schema)
+                cols = [pa.array(np.ascontiguousarray(x)) for x in (a.view(np.int64), b.view(np.int64), n, *_bitmaps(row, h, j - i))]
+                yield pa.record_batch([pa.array(np.zeros(j - i, np.int32)), ids.slice(i, j - i), *cols], schema=schema)
                 seen.append(h)
                 texts += j - i
                 if texts >= COUNT_ROWS:
@@ -89,7 +108,7 @@ def _describe(words: int, similarity: Fraction):
         if seen:
             yield report()
 
-    return run, "kind int, id bigint, fp bigint, fp2 bigint, n bigint"
+    return run, f"kind int, id bigint, fp bigint, fp2 bigint, n bigint, {_BITS}"
 
 
 def _matrix(words: int, similarity: Fraction, order, hot: int, only_hot: bool):
@@ -175,8 +194,8 @@ def _compare(words: int, similarity: Fraction):
 
 
 def _sets(words: int):
-    """(fp, bits, tokens) of each text: the sorted tokens as bytes, and a bitmap of them."""
-    schema = pa.schema([("fp", pa.int64()), ("bits", pa.binary()), ("tokens", pa.binary())])
+    """(fp, tokens) of each text: the sorted tokens as bytes."""
+    schema = pa.schema([("fp", pa.int64()), ("tokens", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,35 +206,28 @@ def _sets(words: int):
                 a, _, _ = _fingerprints(row, h, rows)
                 off = (np.searchsorted(row, np.arange(rows + 1)) * 8).astype(np.int32)
                 tokens = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(off), pa.py_buffer(h.tobytes())])
-                marks = np.zeros((rows, BITS), dtype=bool)
-                marks[row, (vec.mix(h, 31) % _U(BITS)).astype(np.int64)] = True
-                bits = np.packbits(marks, axis=1)
-                at = (np.arange(rows + 1) * (BITS // 8)).astype(np.int32)
-                yield pa.record_batch([pa.array(a.view(np.int64)), pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(at), pa.py_buffer(bits.tobytes())]), tokens], schema=schema)
+                yield pa.record_batch([pa.array(a.view(np.int64)), tokens], schema=schema)
 
-    return run, "fp bigint, bits binary, tokens binary"
+    return run, "fp bigint, tokens binary"
 
 
-def _plausible(similarity: Fraction):
-    """The pairs whose bitmaps allow the similarity: tokens in one set only are at least the bits that differ."""
-    schema = pa.schema([("fp_a", pa.int64()), ("fp_b", pa.int64())])
+def _blocks(opened: DataFrame, members: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with their place among the blocks of a group: each asker with all parts of the members, each member with all parts of the askers."""
+    parts = lambda df, name: F.broadcast(  # noqa: E731  (at most rows / block groups have more than a block)
+        df.groupBy("grp").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > block).select("grp", F.ceil(F.col("c") / block).alias(name))
+    )
+    ask, hold = parts(opened, "asks"), parts(members, "holds")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BITS // 8) for c in (2, 3))
-            apart = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
-            size = np.asarray(batch.column(4), np.int64)
-            # shared <= (size - apart) / 2 and shared / (size - shared) >= similarity
-            p, q = similarity.numerator, similarity.denominator
-            ok = pa.array((size - apart) * (p + q) >= 2 * p * size)
-            yield pa.record_batch([batch.column(0).filter(ok), batch.column(1).filter(ok)], schema=schema)
+    def dealt(df: DataFrame, own: str, other: str, key: str, mine: str, theirs: str) -> DataFrame:
+        df = df.join(ask, "grp", "left").join(hold, "grp", "left")
+        place = F.pmod(F.xxhash64(key), F.coalesce(own, F.lit(1)))
+        every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(other, F.lit(1)) - 1))
+        return df.withColumn(mine, place).withColumn(theirs, every).drop("asks", "holds")
 
-    return run, "fp_a bigint, fp_b bigint"
+    return dealt(opened, "asks", "holds", "fp_a", "ask", "hold"), dealt(members, "holds", "asks", "fp_b", "hold", "ask")
 
 
-def similar_classes(df: DataFrame, id_col: str, text_col: str, *, words: int = 5, similarity: str = "0.8", hot: int = HOT_TEXTS) -> tuple[DataFrame, DataFrame]:
+def similar_classes(df: DataFrame, id_col: str, text_col: str, *, words: int = 5, similarity: str = "0.8", hot: int = HOT_TEXTS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Membership ``(id, class_id, copies)`` and links ``(class_a, class_b, similarity)`` between classes.
 
     A class is a set of records of one token set, named by its least id.
@@ -225,7 +237,7 @@ def similar_classes(df: DataFrame, id_col: str, text_col: str, *, words: int = 5
     spark = df.sparkSession
     share = Fraction(similarity)
     source = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    run, kind = _describe(words, share)
+    run, kind = _describe(words)
     seen = stage(source.mapInArrow(run, kind), "near-texts")
     texts = seen.where("kind = 0 and n > 0")
     total = texts.count()
@@ -239,7 +251,8 @@ def similar_classes(df: DataFrame, id_col: str, text_col: str, *, words: int = 5
     order = spark.sparkContext.broadcast((token[o], count[o]))
 
     classes = stage(
-        texts.groupBy("fp", "fp2").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n")), "near-classes"
+        texts.groupBy("fp", "fp2").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first(F.struct(*(f"b{i}" for i in range(WORDS)))).alias("bits")),
+        "near-classes",
     )
     members = texts.join(classes.select("fp", "fp2", "class_id", "copies"), ["fp", "fp2"]).select("id", "class_id", "copies")
 
@@ -257,7 +270,7 @@ def similar_classes(df: DataFrame, id_col: str, text_col: str, *, words: int = 5
             .where((F.col("q.grp") <= F.col("g.grp")) & ((F.col("held") > 1) | (F.col("one") != F.col("q.fp"))))
             .where((F.col("most") >= F.col("q.n") * t - eps) & (F.col("least") * t <= F.col("q.n") + eps))
             .where((F.col("q.n") - F.col("pos") >= need) & (F.col("behind") >= need))
-            .select(F.col("q.fp").alias("fp_a"), F.col("g.grp").alias("grp"), F.col("q.n").alias("na"))
+            .select(F.col("q.fp").alias("fp_a"), F.col("g.grp").alias("grp"), (F.col("q.grp") == F.col("g.grp")).alias("own"))
         )
 
     run, kind = _matrix(words, share, order, hot, False)
@@ -267,7 +280,10 @@ def similar_classes(df: DataFrame, id_col: str, text_col: str, *, words: int = 5
     for c in ("token", "fp", "grp", "at"):
         whole = whole & F.col(c).isNotNull()
     written = source.where(F.col("text").isNotNull())
-    cells = written.mapInArrow(run, kind).where(whole).repartition("token")
+    # As many tasks as the prefixes' tokens ask for, whatever the session's default.
+    prefix = classes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * t) + 1)).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(prefix / TOKENS_PER_TASK))
+    cells = written.mapInArrow(run, kind).where(whole).repartition(tasks, "token")
     per_token = Window.partitionBy("token")
     cells = (
         cells.withColumn("some", F.min("fp").over(per_token) != F.max("fp").over(per_token)).where("some")
@@ -283,26 +299,31 @@ def similar_classes(df: DataFrame, id_col: str, text_col: str, *, words: int = 5
         asking = cells.drop("part").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
         opened = opened.unionByName(met(asking, cells.groupBy("token", "part", "grp").agg(*row), ["token", "part"]))
         grouped = grouped.unionByName(cells.select("fp", "grp", "n"))
-    opened = opened.distinct()
-    group_of = grouped.groupBy("fp").agg(F.first("grp").alias("grp"), F.first("n").alias("nb")).withColumnRenamed("fp", "fp_b")
+    told = classes.select("fp", "n", "bits")
+    # Both in one table, as they come from the same exchange; a class's own group has no ``own``.
+    group_of = grouped.groupBy("fp").agg(F.first("grp").alias("grp")).select(F.col("fp").alias("fp_a"), "grp", F.lit(None).cast("boolean").alias("own"))
+    both = stage(opened.distinct().unionByName(group_of), "near-opened")
+    opened = both.where("own is not null")
+    members_of = both.where("own is null").select(F.col("fp_a").alias("fp_b"), "grp")
+    askers, held = _blocks(opened, members_of, block)
+    askers = askers.join(told.select(F.col("fp").alias("fp_a"), F.col("n").alias("na"), F.col("bits").alias("ba")), "fp_a")
+    held = held.join(told.select(F.col("fp").alias("fp_b"), F.col("n").alias("nb"), F.col("bits").alias("bb")), "fp_b")
+    # Tokens in one set only are at least the bits that differ: shared <= (size - apart) / 2, shared / (size - shared) >= similarity.
+    apart = functools.reduce(operator.add, (F.bit_count(F.col(f"ba.b{i}").bitwiseXOR(F.col(f"bb.b{i}"))) for i in range(WORDS)))
+    size, up, down = F.col("na") + F.col("nb"), F.lit(share.numerator), F.lit(share.numerator + share.denominator)
     pairs = (
-        opened.join(group_of, "grp")
-        .where((F.col("fp_a") != F.col("fp_b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * t - eps))
-        .select(F.least("fp_a", "fp_b").alias("fp_a"), F.greatest("fp_a", "fp_b").alias("fp_b"), (F.col("na") + F.col("nb")).alias("size")).distinct()
+        askers.join(held, ["grp", "ask", "hold"])
+        .where((F.col("fp_a") != F.col("fp_b")) & (~F.col("own") | (F.col("fp_a") < F.col("fp_b"))) & (F.least("na", "nb") >= F.greatest("na", "nb") * t - eps))
+        .where((size - apart) * down >= 2 * up * size)
+        .select(F.least("fp_a", "fp_b").alias("fp_a"), F.greatest("fp_a", "fp_b").alias("fp_b")).distinct()
     )
     pairs = stage(pairs, "near-pairs")
+    discard(both)
     asked = pairs.select(F.explode(F.array("fp_a", "fp_b")).alias("fp")).distinct()
     ids = stage(classes.join(asked, "fp").select(F.col("class_id").alias("id")), "near-asked")
     few = ids.count() <= BROADCAST_IDS
     run, kind = _sets(words)
     sets = stage(source.join(F.broadcast(ids) if few else ids, "id", "left_semi").select("text").mapInArrow(run, kind), "near-sets")
-    run, kind = _plausible(share)
-    pairs = stage(
-        pairs.join(sets.select(F.col("fp").alias("fp_a"), F.col("bits").alias("ba")), "fp_a")
-        .join(sets.select(F.col("fp").alias("fp_b"), F.col("bits").alias("bb")), "fp_b")
-        .select("fp_a", "fp_b", "ba", "bb", "size").mapInArrow(run, kind),
-        "near-plausible",
-    )
     run, kind = _compare(words, share)
     alike = (
         pairs.join(sets.select(F.col("fp").alias("fp_a"), F.col("tokens").alias("ta")), "fp_a")
@@ -318,9 +339,14 @@ def similar_classes(df: DataFrame, id_col: str, text_col: str, *, words: int = 5
     return members, links
 
 
-def similar_pairs(df: DataFrame, id_col: str, text_col: str, *, words: int = 5, similarity: str = "0.8", hot: int = HOT_TEXTS) -> DataFrame:
-    """All pairs ``(id_a, id_b)``, id_a < id_b, of similar records, copies expanded."""
-    members, links = similar_classes(df, id_col, text_col, words=words, similarity=similarity, hot=hot)
+def similar_pairs(df: DataFrame, id_col: str, text_col: str, *, words: int = 5, similarity: str = "0.8", **kw) -> DataFrame:
+    """All pairs ``(id_a, id_b)``, id_a < id_b, of similar records, copies expanded.
+
+    The result grows with the square of the copies of one text; where that is
+    not wanted, ``class_links`` and ``similar_groups`` say the same in a row
+    per record.
+    """
+    members, links = similar_classes(df, id_col, text_col, words=words, similarity=similarity, **kw)
     members = stage(members, "near-members")
     links = stage(links, "near-links")
     several = members.where("copies > 1")
@@ -340,3 +366,15 @@ def class_links(df: DataFrame, id_col: str, text_col: str, *, words: int = 5, si
     out = members.join(degree, "class_id", "left").select("id", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
     all_ids = df.select(F.col(id_col).cast("bigint").alias("id"))
     return all_ids.join(out, "id", "left").select(F.col("id").alias(id_col), "class_id", F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def similar_groups(df: DataFrame, id_col: str, text_col: str, *, words: int = 5, similarity: str = "0.8", **kw) -> DataFrame:
+    """``(id, group_id, members)`` of every record: records linked directly or through others, named by the least id; records without words are alone."""
+    members, links = similar_classes(df, id_col, text_col, words=words, similarity=similarity, **kw)
+    members = stage(members, "near-members")
+    root = stage(components(links.select(F.col("class_a").alias("u"), F.col("class_b").alias("v"))).select(F.col("node").alias("class_id"), "root"), "near-roots")
+    grouped = stage(join_hot(members.select("id", "class_id"), root, ["class_id"], "left").select("id", F.coalesce("root", "class_id").alias("group_id")), "near-groups")
+    several = stage(grouped.groupBy("group_id").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "near-sizes")
+    out = join_hot(grouped, several, ["group_id"], "left")
+    alone = df.select(F.col(id_col).cast("bigint").alias("id")).join(grouped.select("id"), "id", "left_anti").select("id", F.col("id").alias("group_id"), F.lit(1).cast("bigint").alias("members"))
+    return out.select("id", "group_id", F.coalesce("members", F.lit(1)).alias("members")).unionByName(alone).withColumnRenamed("id", id_col)

@@ -72,6 +72,13 @@ def p3_classes(spark: SparkSession, d: str) -> DataFrame:
     return class_links(df, "ord", "complete_function")
 
 
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Group of each record: linked by pairs of p3_found, directly or through others."""
+    from millrace.llm.near_duplicates import similar_groups
+
+    return similar_groups(_records(spark, d, "code.complete_function"), "ord", "complete_function", words=3, similarity="0.7")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_kinds(spark, d).select("ord")
 
@@ -165,14 +172,17 @@ _TRIM = r"regexp_replace(lower({0}), '^\\s+|\\s+$', '', 'g')".replace("\\\\", "\
 _HOST = f"nullif(regexp_replace(regexp_replace(regexp_replace({_TRIM.format('api_host')}, '^([a-z][a-z0-9+.-]*:)?//', ''), '[/?#].*$', ''), '(:[0-9]*)?[.]*(:[0-9]*)?$', ''), '')"
 _REPO = f"nullif(regexp_replace(regexp_replace(regexp_replace({_TRIM.format('github_info.repo')}, '^[a-z][a-z0-9+.-]*://[^/]*/+', ''), '^/+|/+$', '', 'g'), '([.]git)+$', ''), '')"
 _NAMED = f"WITH RECURSIVE r AS (SELECT ord, {_HOST} AS h, {_REPO} AS p, quality_metrics.code_quality_score AS s FROM function_record)"
+_PAIRS = """w AS (SELECT ord, regexp_extract_all(lower(code.complete_function), '[a-z0-9_]+') AS w FROM function_record),
+ s AS (SELECT DISTINCT ord, w[i] || ' ' || w[i+1] || ' ' || w[i+2] AS t FROM w, LATERAL (SELECT unnest(range(1, len(w) - 1)) AS i)), n AS (SELECT ord, count(*) AS n FROM s GROUP BY 1),
+ c AS (SELECT a.ord AS x, b.ord AS y, count(*) AS k FROM s a JOIN s b ON a.t = b.t AND a.ord < b.ord GROUP BY 1, 2),
+ pairs AS (SELECT c.x AS ord_a, c.y AS ord_b FROM c JOIN n p ON p.ord = c.x JOIN n q ON q.ord = c.y WHERE 10 * c.k >= 7 * (p.n + q.n - c.k))"""
 SQL = {
     "p1_found": _NAMED + """, e AS (SELECT DISTINCT 'h ' || h AS a, 'r ' || p AS b FROM r WHERE h IS NOT NULL AND p IS NOT NULL), sym AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
  reach(node, root) AS (SELECT DISTINCT 'h ' || h, 'h ' || h FROM r WHERE h IS NOT NULL UNION SELECT sym.b, reach.root FROM reach JOIN sym ON sym.a = reach.node),
  g AS (SELECT node, min(root) AS root FROM reach GROUP BY 1) SELECT r.ord, substr(g.root, 3) AS group_host FROM r JOIN g ON g.node = coalesce('h ' || r.h, 'r ' || r.p)""",
-    "p3_found": """WITH w AS (SELECT ord, regexp_extract_all(lower(code.complete_function), '[a-z0-9_]+') AS w FROM function_record),
- s AS (SELECT DISTINCT ord, w[i] || ' ' || w[i+1] || ' ' || w[i+2] AS t FROM w, LATERAL (SELECT unnest(range(1, len(w) - 1)) AS i)), n AS (SELECT ord, count(*) AS n FROM s GROUP BY 1),
- c AS (SELECT a.ord AS x, b.ord AS y, count(*) AS k FROM s a JOIN s b ON a.t = b.t AND a.ord < b.ord GROUP BY 1, 2)
- SELECT c.x AS ord_a, c.y AS ord_b FROM c JOIN n p ON p.ord = c.x JOIN n q ON q.ord = c.y WHERE 10 * c.k >= 7 * (p.n + q.n - c.k)""",
+    "p3_found": "WITH " + _PAIRS + " SELECT ord_a, ord_b FROM pairs",
+    "p3_groups": "WITH RECURSIVE " + _PAIRS + """, sym AS (SELECT ord_a AS a, ord_b AS b FROM pairs UNION ALL SELECT ord_b, ord_a FROM pairs), reach(node, root) AS (SELECT ord, ord FROM function_record UNION SELECT sym.b, reach.root FROM reach JOIN sym ON sym.a = reach.node AND sym.b > reach.root),
+ g AS (SELECT node AS ord, min(root) AS group_id FROM reach GROUP BY 1) SELECT ord, group_id, count(*) OVER (PARTITION BY group_id) AS members FROM g""",
     "p6_found": _NAMED + """, k AS (SELECT ord, h, p, row_number() OVER (PARTITION BY h ORDER BY s DESC NULLS LAST, ord) AS i, row_number() OVER (PARTITION BY p ORDER BY s DESC NULLS LAST, ord) AS j FROM r)
  SELECT ord FROM k WHERE (h IS NOT NULL AND i > 20) OR (p IS NOT NULL AND j > 5)""",
     "p9_found": """WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents), i AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_item),

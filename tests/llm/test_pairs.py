@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import format_duplicates as fd
 from millrace.llm.leakage import leaked_items
-from millrace.llm.near_duplicates import class_links, similar_pairs
+from millrace.llm.near_duplicates import class_links, similar_groups, similar_pairs
 from millrace.llm.shared_spans import shared_chars, shared_spans
 
 
@@ -36,11 +36,11 @@ def corpus(seed, n=120):
     return out + [(10_000, None), (10_001, ""), (10_002, "   \n"), (10_003, "x" * 200_000 + " long word"), (10_004, "one two"), (10_005, "One, two!")]
 
 
-@pytest.mark.parametrize("n,share,hot", [(3, "0.7", 10), (5, "0.8", 2_000_000), (2, "0.5", 10)])
-def test_pairs_are_exact(spark, n, share, hot):
+@pytest.mark.parametrize("n,share,hot,block", [(3, "0.7", 10, 4), (5, "0.8", 2_000_000, 4096), (2, "0.5", 10, 4096)])
+def test_pairs_are_exact(spark, n, share, hot, block):
     rows = corpus(n)
     df = spark.createDataFrame(rows, "ord bigint, code string").withColumn("id", F.lit("clash")).withColumn("text", F.lit(1)).withColumn("fp", F.lit(2))
-    got = [(r.id_a, r.id_b) for r in similar_pairs(df, "ord", "code", words=n, similarity=share, hot=hot).collect()]
+    got = [(r.id_a, r.id_b) for r in similar_pairs(df, "ord", "code", words=n, similarity=share, hot=hot, block=block).collect()]
     sets = {i: shingles(t, n) for i, t in rows}
     p, q = int(float(share) * 10), 10
     want = {(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and len(sets[a] & sets[b]) * q >= p * len(sets[a] | sets[b])}
@@ -52,6 +52,9 @@ def test_classes_and_links(spark):
     got = {r.i: (r.class_id, r.copies, r.links) for r in class_links(df, "i", "t").collect()}
     assert got == {1: (1, 2, 1), 2: (1, 2, 1), 3: (3, 1, 1), 4: (None, 1, 0), 5: (5, 1, 0)}
     assert class_links(df.limit(0), "i", "t").count() == 0
+    df = df.union(spark.createDataFrame([(6, "a b c d e f g h i j k l m"), (7, "")], df.schema))
+    assert {r.i: (r.group_id, r.members) for r in similar_groups(df, "i", "t").collect()} == {1: (1, 4), 2: (1, 4), 3: (1, 4), 6: (1, 4), 4: (4, 1), 5: (5, 1), 7: (7, 1)}
+    assert similar_groups(df.limit(0), "i", "t").count() == 0
     assert similar_pairs(df.where("i > 3"), "i", "t").count() == 0
 
 
