@@ -12,7 +12,15 @@ from pyspark.sql import functions as F
 # Headers that are no parameters, and keys that hold a parameter's name or its description.
 HEADERS = {"x-rapidapi-host", "x-rapidapi-key", "x-rapidapi-proxy-secret", "content-type", "accept", "authorization", "user-agent"}
 NAME_KEYS = ("name", "key", "param", "parameter", "field")
-GENERIC = {"name", "key", "param", "parameter", "field", "type", "value", "required", "default", "description", "schema", "items", "properties", "example", "enum", "format", "in", "location"}
+BARE_NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.\-]*")
+# Keys that tell of a parameter without being one.
+COVERAGE_GENERIC = {
+    "name", "key", "type", "description", "required", "optional", "default", "example", "value", "values", "schema", "items", "properties", "format", "in", "param", "parameter", "parameters",
+    "payload", "body", "headers",
+}
+# Parts of the name of a code fragment that holds parameters.
+FRAGMENTS = ("query", "params", "payload", "data", "json", "body")
+KEY_IN_TEXT = re.compile(r"[\"']([A-Za-z_][A-Za-z0-9_.\-]*)[\"']\s*:")
 
 
 def load(v: str | None) -> Any:
@@ -26,24 +34,32 @@ def load(v: str | None) -> Any:
 
 
 def _flat(v: Any, out: list[str]) -> None:
+    """Keys of objects at any depth; of a list the objects' names and schemas and the plain names; a text that is a name."""
     if isinstance(v, dict):
-        for k, x in v.items():
-            out.append(str(k))
+        out.extend(map(str, v))
+        for x in v.values():
             if isinstance(x, (dict, list)):
                 _flat(x, out)
     elif isinstance(v, list):
         for x in v:
             if isinstance(x, dict):
-                named = [x[k] for k in NAME_KEYS if isinstance(x.get(k), str) and x[k].strip()]
-                out.extend(named)
-                if isinstance(x.get("schema"), (dict, list)):
-                    _flat(x["schema"], out)
-                if not named:
-                    _flat(x, out)
-            else:
+                out.extend(str(x[k]) for k in NAME_KEYS if x.get(k) is not None)
+                _flat(x.get("schema"), out)
+            elif isinstance(x, str):
                 _flat(x, out)
-    elif isinstance(v, str):
-        out.extend(x for x in re.split(r"[,;\s]+", v) if re.fullmatch(r"[A-Za-z_][\w.\-\[\]]*", x))
+    elif isinstance(v, str) and BARE_NAME.fullmatch(v.strip()):
+        out.append(v)
+
+
+def _parameters(found: list[str]) -> list[str]:
+    return sorted({x.strip() for x in found if x.strip() and x.strip().lower() not in HEADERS})
+
+
+def names_in(v: Any) -> list[str]:
+    """Sorted parameter names in a value, without headers."""
+    out: list[str] = []
+    _flat(v, out)
+    return _parameters(out)
 
 
 def names(*values: str | None) -> list[str]:
@@ -51,49 +67,63 @@ def names(*values: str | None) -> list[str]:
     out: list[str] = []
     for v in values:
         _flat(load(v), out)
-    return sorted({x.strip() for x in out if x and x.strip().lower() not in HEADERS})
+    return _parameters(out)
+
+
+def observed(code_params: str | None) -> list[str]:
+    """Sorted names that stand as keys in the fragments of code which hold parameters."""
+    v = load(code_params)
+    if not isinstance(v, dict):
+        return []
+    texts = [str(x) for k, x in v.items() if x is not None and any(f in str(k).lower() for f in FRAGMENTS)]
+    return _parameters([k for t in texts for k in KEY_IN_TEXT.findall(t)])
+
+
+def observed_names(c: Column) -> Column:
+    return F.udf(observed, "array<string>", useArrow=True)(c)
+
+
+def top_names(*values: str | None) -> list[str]:
+    """Sorted names at the top of JSON texts alone: keys of an object, names or texts of a list."""
+    out: set[str] = set()
+    for v in map(load, values):
+        if isinstance(v, dict):
+            out.update(map(str, v))
+        elif isinstance(v, list):
+            out.update(str(x["name"]) for x in v if isinstance(x, dict) and x.get("name"))
+            out.update(x for x in v if isinstance(x, str))
+    return sorted(x for x in out if x)
+
+
+def dense_names(*cols: Column) -> Column:
+    return F.udf(top_names, "array<string>", useArrow=True)(*cols)
 
 
 def param_names(*cols: Column) -> Column:
     return F.udf(names, "array<string>", useArrow=True)(*cols)
 
 
-def _collect(v: Any, out: list[str]) -> None:
+def _collect(v: Any, out: set[str]) -> None:
     if isinstance(v, dict):
-        for k in NAME_KEYS:
-            if isinstance(v.get(k), str):
-                out.append(v[k])
-        for k, x in v.items():
-            if k.lower() not in GENERIC:
-                out.append(k)
-            if isinstance(x, (dict, list)):
-                _collect(x, out)
-    elif isinstance(v, list):
-        for x in v:
-            _collect(x, out)
-    elif isinstance(v, str):
-        out.append(v)
+        told = [v[k] for k in NAME_KEYS if isinstance(v.get(k), str)]
+        out.update(x.strip() for x in (*told, *v) if 0 < len(x.strip()) <= 80 and x.strip().lower() not in COVERAGE_GENERIC)
+        v = list(v.values())
+    for x in v if isinstance(v, list) else ():
+        _collect(x, out)
 
 
 def collected(*values: str | None) -> list[str]:
     """Sorted names of documented parameters at any depth; keys that only describe are left out, and names above 80 characters."""
-    out: list[str] = []
+    out: set[str] = set()
     for v in values:
         _collect(load(v), out)
-    return sorted({x.strip() for x in out if x.strip() and len(x.strip()) <= 80 and not re.search(r"\s", x.strip())})
+    return sorted(out)
 
 
 def collected_names(*cols: Column) -> Column:
     return F.udf(collected, "array<string>", useArrow=True)(*cols)
 
 
-# Keys that tell of a parameter without being one, for coverage.
-COVERAGE_GENERIC = {
-    "name", "key", "type", "description", "required", "optional", "default", "example", "value", "values", "schema", "items", "properties", "format", "in", "param", "parameter", "parameters",
-    "payload", "body", "headers",
-}
-
-
 def filled(v: Any) -> bool:
     """Whether a value says something; 0 and false do."""
     return v is not None and (bool(v.strip()) if isinstance(v, str) else bool(v) if isinstance(v, (list, dict)) else True)
@@ -101,19 +131,13 @@ def filled(v: Any) -> bool:
 
 def used(code: str | None, *values: str | None) -> bool | None:
     """Whether a text holds a documented parameter's name; null where no value documents any."""
-    names: set[str] = set()
-    todo = [v for v in map(load, values) if filled(v)]
-    if not todo:
+    found: set[str] = set()
+    told = [v for v in map(load, values) if filled(v)]
+    if not told:
         return None
-    while todo:
-        v = todo.pop()
-        if isinstance(v, dict):
-            given = [v[k] for k in NAME_KEYS if isinstance(v.get(k), str)]
-            names.update(x.strip() for x in (*given, *v) if 0 < len(x.strip()) <= 80 and x.strip().lower() not in COVERAGE_GENERIC)
-            todo.extend(v.values())
-        elif isinstance(v, list):
-            todo.extend(v)
-    return any(n in (code or "") for n in names)
+    for v in told:
+        _collect(v, found)
+    return any(n in (code or "") for n in found)
 
 
 def param_used(code: Column, *cols: Column) -> Column:

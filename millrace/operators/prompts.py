@@ -31,14 +31,39 @@ def ground_truth(df: DataFrame) -> DataFrame:
     )
 
 
+def _headers(host: Column) -> Column:
+    return F.concat(F.lit("\nHeaders: x-rapidapi-host is "), host, F.lit(", x-rapidapi-key is given by the caller"))
+
+
 def context_docs(df: DataFrame) -> DataFrame:
+    """What each level tells but for the parameters, which ``codegen_prompts`` has."""
     g = contexts(ground_truth(df))
     i = F.substr("context", F.lit(2)).cast("int")
     from2 = F.concat(F.lit("\nEndpoint: "), "method", F.lit(" "), "route", F.lit("\nURL: "), "url", F.lit("\nName: "), "endpoint_name")
-    docs = F.concat(F.when(i >= 1, F.concat(F.lit("Host: "), "host")).otherwise(""), F.when(i >= 2, from2).otherwise(""), F.when(i >= 4, "\nDependency: requests").otherwise(""))
+    docs = F.concat(F.when(i >= 1, F.concat(F.lit("Host: "), "host")).otherwise(""), F.when(i >= 2, from2).otherwise(""), F.when(i >= 3, _headers(F.col("host"))).otherwise(""), F.when(i >= 4, "\nDependency: requests").otherwise(""))
     return g.select("ord", "context", docs.alias("docs"))
 
 
+def codegen_prompts(df: DataFrame) -> DataFrame:
+    """``(ord, context, prompt)``: the task, what the level tells of host, endpoint, headers, parameters and dependency, and the rules of an answer.
+
+    ``df`` has the ground truth, ``api_name``, ``function_name``, ``hint``,
+    ``gold`` (parameter names) and ``source`` (where they come from).
+    """
+    line = lambda name, c: F.concat(F.lit(f"{name}: "), c)
+    name = F.when(F.col("function_name") != "", F.col("function_name")).otherwise("call_service")
+    listed = F.when(F.size("gold") > 0, F.array_join("gold", ", ")).otherwise("none known")
+    level = F.substr("context", F.lit(2)).cast("int")
+    told = [
+        (0, F.lit("Write one Python function that calls the API. Answer with code alone, without fences or explanation.")), (0, line("Function", name)), (0, line("API", F.col("api_name"))),
+        (0, line("Task", F.when(F.col("hint") != "", F.col("hint")).otherwise(tx.words(name)))), (1, line("Host", F.col("host"))), (2, line("URL", F.col("url"))), (2, line("Route", F.col("route"))),
+        (2, line("Method", F.col("method"))), (2, line("Name", F.when(F.col("endpoint_name") != "", F.col("endpoint_name")).otherwise("unknown"))), (3, F.substr(_headers(F.col("host")), F.lit(2))),
+        (3, F.concat(F.lit("Parameters ("), "source", F.lit("): "), listed)), (4, F.lit("Dependency: requests or another direct HTTP client")),
+        (0, F.lit("Do not call the API now. Build the request and return the parsed or raw response. Take the key from an argument or the environment. Send the host as a header where it is known.")),
+    ]
+    return contexts(df).select("ord", "context", F.concat_ws("\n", *[F.when(level >= least, text) for least, text in told]).alias("prompt"))
+
+
 def endpoint_prompts(df: DataFrame, ends: DataFrame, *, most: int = 10) -> DataFrame:
     """``(ord, label, endpoint_id, is_target, line)``: target and distractors of each record whose API documents others, joined by API."""
     e = ends.select("api_name", F.col("endpoint_id").alias("cid"), urls.method(F.col("method")).alias("cmethod"), urls.route(F.col("route")).alias("croute"), F.left(F.coalesce("description", F.lit("")), F.lit(800)).alias("about"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import text
+from millrace.functions.urls import url_path
 
 # Tokens that the checks look for.
 CALL_TOKENS = ("requests.", "urllib.", "httpx.", "http.client")
@@ -90,9 +91,16 @@ def adaptive_threshold(df: DataFrame, passes: str, score: str, target: int, high
     return df.where(F.col(passes) & (F.col(score) >= F.when(count < target, low).otherwise(high)))
 
 
-def match_type(existing: Column, code: Column, url: Column, route: Column, host: Column) -> Column:
-    """How code names a documented endpoint; a known existing value stays."""
+def match_type(existing: Column, code: Column, url: Column, route: Column, host: Column, headers: Column | None = None) -> Column:
+    """How code names a documented endpoint; a known existing value stays.
+
+    A missing route is the address's path, a missing host the one in the headers.
+    """
     has = lambda x: (F.coalesce(x, F.lit("")) != "") & F.coalesce(F.contains(code, x), F.lit(False))
+    filled = lambda x: F.when(x != "", x)
+    route = F.coalesce(filled(route), url_path(url))
+    if headers is not None:
+        host = F.coalesce(filled(host), filled(F.try_element_at(headers, F.lit("x-rapidapi-host"))), F.try_element_at(headers, F.lit("X-RapidAPI-Host")))
     return (
         F.when(existing.isin("url", "route", "host_only", "none"), existing).when(has(url), "url")
         .when(has(route) & (route != "/"), "route").when(has(host), "host_only").otherwise("none")

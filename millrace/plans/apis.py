@@ -154,20 +154,43 @@ def documented_apis(spark, d):
     return n.join(flat(spark, d).select("api_name").where("api_name is not null"), "api_name", "left_semi").agg(F.count(F.lit(1)).alias("apis"), F.sum("n").alias("endpoints"))
 
 
-_DOCUMENTED = f""", m AS (SELECT f.ord, e.pos, CASE WHEN coalesce(e.url,'') <> '' AND contains(f.src, e.url) THEN 1 WHEN length({_route_sql('e.route')}) > 1 AND contains(f.src, {_route_sql('e.route')}) THEN 2
- WHEN coalesce(e.host,'') <> '' AND contains(lower(f.src), lower(e.host)) THEN 3 ELSE 4 END AS pass, e.endpoint_id AS eid FROM flat f JOIN ends e ON f.api_name = e.api_name)"""
-
-
-@query(FLAT + END.replace("WITH x", ", x", 1) + _DOCUMENTED + " SELECT ord, min(pass)::INT AS pass, arg_min(eid, pass * 1000000 + pos * 1000) AS endpoint_id FROM (SELECT ord, pass, pos, min(eid) AS eid FROM m GROUP BY 1, 2, 3) GROUP BY ord")
+_END_ROUTE = f"CASE WHEN {_route_sql('e.route')} <> '' THEN {_route_sql('e.route')} ELSE {_PATH.format('e.url')} END"
+_DOCUMENTED = f""", known AS (SELECT api_name, list(DISTINCT host) FILTER (coalesce(host,'') <> '') AS hosts FROM (SELECT api_name, host FROM ends UNION SELECT api_name, rapidapi_host FROM api_document) GROUP BY 1),
+ v AS (SELECT e.api_name, e.pos, e.endpoint_id, coalesce(e.host,'') AS host, {_TRIM.format('e.url')} AS u, {_END_ROUTE} AS r FROM ends e),
+ m AS (SELECT f.ord, v.pos, v.endpoint_id AS eid, CASE WHEN v.api_name IS NULL THEN 5 WHEN v.u <> '' AND (contains(f.src, v.u) OR (ends_with(v.u, '/') AND rtrim(v.u, '/') <> '' AND contains(f.src, rtrim(v.u, '/')))) THEN 1
+ WHEN rtrim(v.r, '/') <> '' AND (contains(f.src, v.r) OR (ends_with(v.r, '/') AND contains(f.src, rtrim(v.r, '/')))) THEN 2 WHEN v.host <> '' AND contains(f.src, v.host) THEN 3
+ WHEN len(list_filter(known.hosts, lambda h: contains(f.src, h))) > 0 THEN 4 ELSE 5 END AS pass FROM flat f LEFT JOIN v ON f.api_name = v.api_name LEFT JOIN known ON f.api_name = known.api_name)"""
+
+
+def _chosen(code, ends, hosts):
+    """(how, endpoint) of the endpoint that a text names best, from the endpoints of its API in order; decided within the row."""
+    has = lambda x: (x != "") & F.coalesce(F.contains(code, x), F.lit(False))
+    bare = lambda x: F.regexp_replace(x, "/+$", "")
+    steps = [
+        ("url", lambda e: has(e["u"]) | (e["u"].endswith("/") & has(bare(e["u"])))), ("route", lambda e: (bare(e["r"]) != "") & (has(e["r"]) | (e["r"].endswith("/") & has(bare(e["r"]))))),
+        ("host_only", lambda e: has(e["host"])),
+    ]
+    one = lambda how, e: F.struct(F.lit(how).alias("how"), e["eid"].alias("eid"))
+    options = [F.when(F.exists(ends, test), one(how, F.get(F.filter(ends, test), F.lit(0)))) for how, test in steps]
+    first = F.get(ends, F.lit(0))
+    return F.coalesce(*options, F.when(F.exists(hosts, has), one("host_only", first)), F.struct(F.lit("none").alias("how"), first["eid"].alias("eid")))
+
+
+@query(FLAT + END.replace("WITH x", ", x", 1) + _DOCUMENTED + " SELECT ord, CASE min(pass) WHEN 1 THEN 'url' WHEN 2 THEN 'route' WHEN 3 THEN 'host_only' WHEN 4 THEN 'host_only' ELSE 'none' END AS how, arg_min(eid, (pass, pos, eid)) AS endpoint_id FROM m GROUP BY ord")
 def documented_endpoint(spark, d):
-    """The endpoint that each record's code names best: by address, by route, by host, else the first; joined by API, so never all with all."""
-    e = endpoints(spark, d).select("api_name", "pos", F.col("endpoint_id").alias("eid"), F.col("url").alias("e_url"), F.col("host").alias("e_host"), urls.route(F.col("route")).alias("e_route"))
-    j = heavy(spark, d, "api_name", "code").join(e, "api_name")
-    has = lambda c: F.coalesce(F.contains(F.col("code"), c), F.lit(False))
-    step = F.when((F.coalesce("e_url", F.lit("")) != "") & has(F.col("e_url")), 1).when((F.length("e_route") > 1) & has(F.col("e_route")), 2)
-    step = step.when((F.coalesce("e_host", F.lit("")) != "") & F.coalesce(F.contains(F.lower("code"), F.lower("e_host")), F.lit(False)), 3).otherwise(4)
-    best = j.select("ord", F.struct(step.alias("pass"), "pos", "eid").alias("b")).groupBy("ord").agg(F.min("b").alias("b"))
-    return best.select("ord", F.col("b.pass").alias("pass"), F.col("b.eid").alias("endpoint_id"))
+    """The endpoint that each record's code names best: by address, by route, by host, else the first; records of undocumented APIs have none.
+
+    An API's endpoints are one array, joined once, so a text moves once at most.
+    """
+    e = endpoints(spark, d)
+    route = urls.route(F.col("route"))
+    own = F.struct("pos", F.col("endpoint_id").alias("eid"), tx.text(F.col("url")).alias("u"), F.when(route != "", route).otherwise(urls.url_path(F.col("url"))).alias("r"), F.coalesce("host", F.lit("")).alias("host"))
+    named = table(spark, d, "api_document").select("api_name", F.col("rapidapi_host").alias("host")).unionByName(e.select("api_name", "host"))
+    hosts = named.where("host <> ''").groupBy("api_name").agg(F.collect_set("host").alias("hosts"))
+    doc = e.groupBy("api_name").agg(F.array_sort(F.collect_list(own)).alias("ends")).join(hosts, "api_name", "left")
+    c = _chosen(F.col("code"), F.col("ends"), F.coalesce("hosts", F.array().cast("array<string>")))
+    j = heavy(spark, d, "api_name", "code").join(doc, "api_name", "left").withColumn("c", F.when(F.col("ends").isNotNull(), c))
+    return j.select("ord", F.coalesce("c.how", F.lit("none")).alias("how"), F.col("c.eid").alias("endpoint_id"))
 
 
 @query(FLAT + END.replace("WITH x", ", x", 1) + ", doc AS (SELECT api_name, count(*) AS n FROM ends GROUP BY 1), own AS (SELECT api_name, count(DISTINCT coalesce(endpoint_id,'')) AS n FROM flat GROUP BY 1) SELECT f.ord, coalesce(doc.n, own.n) AS candidates, doc.n IS NOT NULL AS documented FROM flat f LEFT JOIN doc ON f.api_name = doc.api_name LEFT JOIN own ON f.api_name = own.api_name")
@@ -196,7 +219,8 @@ def documented_params(spark, d):
     """Names of documented parameters at any depth, of every record."""
     f = flat(spark, d)
     fields = [F.col(c) for c in ("params", "path_params", "header_params", "payload")]
-    return f.select("ord", param_names(*fields).alias("flat_names"), collected_names(*fields).alias("all_names"))
+    told = [F.when(F.col("params_source") == "documentation", F.col("params")), *fields[1:]]
+    return f.select("ord", param_names(*fields).alias("flat_names"), collected_names(*told).alias("all_names"))
 
 
 @query()

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from millrace.functions import text as tx
 from millrace.operators.dedupe import last_wins
 from millrace.operators.metrics import bool_mean, pass_at_k as _pass_at_k, set_prf as _set_prf, wilson
-from millrace.operators.quality import ANSWER_TOKENS, any_token
 from millrace.operators.select import top_per_group
 from millrace.plans.records import FLAT, flat
 from millrace.plans.registry import query
@@ -117,11 +116,11 @@ def code_fence(spark, d):
     return table(spark, d, "model_output").select("sample_id", "model", "called_at", tx.fence(F.col("raw_output")).alias("fenced"))
 
 
-@query(r"SELECT sample_id, model, called_at, regexp_extract(coalesce(raw_output,''), '(apiendpoint_[0-9a-fA-F-]+)', 1) AS endpoint_id, len(regexp_extract_all(coalesce(raw_output,''), '(?i)\b(GET|POST|PUT|DELETE|PATCH)\b', 1))::INT AS methods FROM model_output")
+@query(r"SELECT sample_id, model, called_at, regexp_extract(coalesce(raw_output,''), '(apiendpoint_[A-Za-z0-9_\-]+)', 1) AS endpoint_id, len(regexp_extract_all(coalesce(raw_output,''), '(?i)\b(GET|POST|PUT|DELETE|PATCH)\b', 1))::INT AS methods FROM model_output")
 def endpoint_answer(spark, d):
     """Endpoint ids and methods that an answer names, when it is no JSON."""
     r = F.coalesce("raw_output", F.lit(""))
-    return table(spark, d, "model_output").select("sample_id", "model", "called_at", F.regexp_extract(r, r"(apiendpoint_[0-9a-fA-F-]+)", 1).alias("endpoint_id"), F.size(F.regexp_extract_all(r, F.lit(r"(?i)\b(GET|POST|PUT|DELETE|PATCH)\b"), F.lit(1))).alias("methods"))
+    return table(spark, d, "model_output").select("sample_id", "model", "called_at", F.regexp_extract(r, r"(apiendpoint_[A-Za-z0-9_\-]+)", 1).alias("endpoint_id"), F.size(F.regexp_extract_all(r, F.lit(r"(?i)\b(GET|POST|PUT|DELETE|PATCH)\b"), F.lit(1))).alias("methods"))
 
 
 @query("SELECT DISTINCT sample_id FROM function_record f WHERE NOT EXISTS (SELECT 1 FROM model_output m WHERE m.sample_id = f.sample_id AND m.ok)")
@@ -163,23 +162,3 @@ def slowest_answers(spark, d):
     m = table(spark, d, "model_output").select("model", "sample_id", "called_at", "elapsed_sec")
     top = top_per_group(m, ["model"], order, 10, "place")  # few rows a model before the second window
     return top.withColumn("step", F.round(F.col("elapsed_sec") - F.lag("elapsed_sec").over(Window.partitionBy("model").orderBy("place")), 6))
-
-
-@query(FLAT + ", a AS (SELECT sample_id, model, called_at, regexp_extract(coalesce(raw_output,''), '(apiendpoint_[0-9a-fA-F-]+)', 1) AS eid FROM model_output), g AS (SELECT sample_id, min(coalesce(endpoint_id,'')) AS gold FROM flat GROUP BY 1) SELECT a.model, count(*) AS n, count(*) FILTER (a.eid <> '') AS named, count(*) FILTER (a.eid <> '' AND starts_with(g.gold, a.eid)) AS top1 FROM a JOIN g USING (sample_id) GROUP BY 1")
-def endpoint_rank(spark, d):
-    """Answers whose endpoint is the record's."""
-    a = table(spark, d, "model_output").select("sample_id", "model", F.regexp_extract(F.coalesce("raw_output", F.lit("")), r"(apiendpoint_[0-9a-fA-F-]+)", 1).alias("eid"))
-    g = flat(spark, d).groupBy("sample_id").agg(F.min(F.coalesce("endpoint_id", F.lit(""))).alias("gold"))
-    j = a.join(g, "sample_id")
-    return j.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("eid") != "").alias("named"), F.count_if((F.col("eid") != "") & F.startswith("gold", "eid")).alias("top1"))
-
-
-@query(FLAT + r", a AS (SELECT m.sample_id, m.model, m.called_at, lower(coalesce(m.raw_output,'')) AS ans, f.host, f.meth FROM model_output m JOIN (SELECT sample_id, min(lower(coalesce(api_host,''))) AS host, min(lower(coalesce(method,'get'))) AS meth FROM flat GROUP BY 1) f USING (sample_id)) SELECT sample_id, model, called_at, host <> '' AND contains(ans, host) AS host_ok, contains(ans, '.' || meth || '(') OR contains(ans, chr(39) || meth || chr(39)) OR contains(ans, chr(34) || meth || chr(34)) AS method_ok, contains(ans, '.json()') OR contains(ans, '.text') OR contains(ans, '.content') OR contains(ans, 'status_code') OR contains(ans, 'raise_for_status()') AS response_ok, regexp_matches(ans, '\btry\s*:') OR regexp_matches(ans, '\bexcept\b') AS error_ok FROM a")
-def answer_checks(spark, d):
-    """Host, method, response and error handling in each answer."""
-    g = flat(spark, d).groupBy("sample_id").agg(F.min(F.lower(F.coalesce("api_host", F.lit("")))).alias("host"), F.min(F.lower(F.coalesce("method", F.lit("get")))).alias("meth"))
-    a = table(spark, d, "model_output").select("sample_id", "model", "called_at", F.lower(F.coalesce("raw_output", F.lit(""))).alias("ans")).join(g, "sample_id")
-    has = lambda *x: F.contains(F.col("ans"), F.concat(*x))
-    m = has(F.lit("."), F.col("meth"), F.lit("(")) | has(F.lit("'"), F.col("meth"), F.lit("'")) | has(F.lit('"'), F.col("meth"), F.lit('"'))
-    return a.select("sample_id", "model", "called_at", ((F.col("host") != "") & has(F.col("host"))).alias("host_ok"), m.alias("method_ok"), any_token(F.col("ans"), ANSWER_TOKENS).alias("response_ok"),
-                    (F.col("ans").rlike(r"\btry\s*:") | F.col("ans").rlike(r"\bexcept\b")).alias("error_ok"))

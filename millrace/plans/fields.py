@@ -51,7 +51,7 @@ def ground_truth(spark, d):
     return pr.ground_truth(flat(spark, d)).select("ord", "host", "url", "method", "route", "endpoint_id", "match")
 
 
-@query("WITH k AS (SELECT DISTINCT lower(unnest(regexp_extract_all(coalesce(code.complete_function,''), '(?m)^\\s*[\"'']([a-z][a-z0-9_]*)[\"'']\\s*:', 1))) AS name FROM function_record) SELECT name, CASE " + " ".join(f"WHEN contains(name, '{a}') THEN '{b}'" for a, b in fl.SAFE_VALUES) + " ELSE 'test' END AS value FROM k")
+@query("WITH k AS (SELECT DISTINCT lower(unnest(regexp_extract_all(coalesce(code.complete_function,''), '(?m)^\\s*[\"'']([a-z][a-z0-9_]*)[\"'']\\s*:', 1))) AS name FROM function_record) SELECT name, CASE " + " ".join(f"WHEN name = '{a}' THEN '{b}'" for a, b in fl.SAFE_NAMES.items()) + " " + " ".join(f"WHEN contains(name, '{a}') THEN '{b}'" for a, b in fl.SAFE_VALUES) + " ELSE 'test' END AS value FROM k")
 def safe_values(spark, d):
     """A value to try each parameter of the code with."""
     k = heavy(spark, d, "code").select(F.explode(F.regexp_extract_all(F.coalesce("code", F.lit("")), F.lit(r"(?m)^\s*[\"']([a-z][a-z0-9_]*)[\"']\s*:"), F.lit(1))).alias("name")).distinct()

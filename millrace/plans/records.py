@@ -50,7 +50,7 @@ def heavy(spark: SparkSession, d: str, *cols: str) -> DataFrame:
 FLAT = """WITH flat AS (SELECT ord, sample_id, api_name, api_host, function_name, language, source_machine, comments_source, comments, github_info.repo AS repo,
  github_info.file_path AS path, github_info.stars AS stars, github_info.query_layer AS layer, code.complete_function AS src, code.has_comments AS has_comments,
  code.has_docstring AS has_docstring, code.comment_lines AS n_comments, api_metadata.url AS url, api_metadata.route AS route, api_metadata.method AS method,
- api_metadata.endpoint_id AS endpoint_id, api_metadata.endpoint_name AS endpoint_name, api_metadata.doc_match_type AS match, api_metadata.params AS params, api_metadata.code_params AS code_params,
+ api_metadata.endpoint_id AS endpoint_id, api_metadata.endpoint_name AS endpoint_name, api_metadata.doc_match_type AS match, api_metadata.headers AS headers, api_metadata.params AS params, api_metadata.code_params AS code_params,
  quality_metrics.code_quality_score AS score, quality_metrics.completeness_checks.is_syntactically_valid AS valid, quality_metrics.completeness_checks.has_api_call AS has_call,
  quality_metrics.completeness_checks.has_response_handling AS has_response, quality_metrics.completeness_checks.has_error_handling AS has_error,
  quality_metrics.completeness_checks.has_imports AS has_imports, quality_metrics.completeness_checks.has_database_call AS has_db,
@@ -162,13 +162,15 @@ def quality_score(spark, d):
     return df.select("ord", F.round(s, 2).alias("computed"))
 
 
-_MATCH = """CASE WHEN match IN ('url','route','host_only','none') THEN match WHEN coalesce(url,'') <> '' AND contains(src, url) THEN 'url'
- WHEN coalesce(route,'') NOT IN ('', '/') AND contains(src, route) THEN 'route' WHEN coalesce(api_host,'') <> '' AND contains(src, api_host) THEN 'host_only' ELSE 'none' END"""
+_OWN_ROUTE = "coalesce(nullif(route,''), regexp_extract(coalesce(url,''), '(?i)^[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)', 1))"
+_OWN_HOST = "coalesce(nullif(api_host,''), nullif(headers['x-rapidapi-host'],''), headers['X-RapidAPI-Host'], '')"
+_MATCH = f"""CASE WHEN match IN ('url','route','host_only','none') THEN match WHEN coalesce(url,'') <> '' AND contains(src, url) THEN 'url'
+ WHEN {_OWN_ROUTE} NOT IN ('', '/') AND contains(src, {_OWN_ROUTE}) THEN 'route' WHEN {_OWN_HOST} <> '' AND contains(src, {_OWN_HOST}) THEN 'host_only' ELSE 'none' END"""
 
 
 def _matched(spark, d):
     df = flat(spark, d)
-    return df.withColumn("kind", ql.match_type(F.col("match"), F.col("code"), F.col("url"), F.col("route"), F.col("api_host")))
+    return df.withColumn("kind", ql.match_type(F.col("match"), F.col("code"), F.col("url"), F.col("route"), F.col("api_host"), F.col("headers")))
 
 
 @query(FLAT + f"SELECT ord, {_MATCH} AS kind FROM flat")
@@ -205,10 +207,17 @@ def two_level_topk(spark, d):
 
 @query()
 def select_balanced_caps(spark, d):
-    """Greedy selection under a cap per host and one per repository, with back-fill; compared with a sequential walk in the tests."""
-    df = flat(spark, d).select("ord", F.coalesce("api_host", F.lit("")).alias("api_host"), F.coalesce("repo", F.lit("")).alias("repo"), F.coalesce("score", F.lit(0.0)).alias("score"))
-    df = df.withColumn("rk", F.struct((-F.col("score")).alias("s"), F.col("ord").alias("o")))
-    return select_balanced(df, "ord", "rk", [("api_host", 30), ("repo", 120)], 12_000)
+    """Greedy selection, best first, under a cap per API and one per repository, with back-fill by new keys; compared with a sequential walk in the tests."""
+    df, _ = _ranked(spark, d)
+    zero, no = (lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double")), (lambda c: F.coalesce(F.col(c), F.lit(False)).cast("double"))
+    place = F.when(F.col("kind") == "url", 3.0).when(F.col("kind") == "route", 2.0).when(F.col("kind") == "host_only", 1.0).otherwise(0.0)
+    order = [place, zero("score"), no("has_comments"), no("has_docstring"), zero("n_comments"), zero("stars")]
+    key = F.concat_ws("\x01", *[F.coalesce(c, F.lit("")) for c in ("api_host", "repo", "path", "function_name")], tx.code_hash(F.col("code")))
+    df = df.select(
+        "ord", F.coalesce("api_name", F.lit("")).alias("api_name"), F.coalesce("repo", F.lit("")).alias("repo"), key.alias("key"),
+        F.struct(*[(-c).alias(f"s{i}") for i, c in enumerate(order)], F.col("ord").alias("o")).alias("rk"),
+    )
+    return select_balanced(df, "ord", "rk", [("api_name", 30), ("repo", 120)], 12_000, key="key")
 
 
 @query(FLAT + ", n AS (SELECT layer, api_name, count(*) AS gain FROM flat WHERE layer IS NOT NULL AND api_name IS NOT NULL GROUP BY 1, 2), b AS (SELECT *, coalesce(sum(gain) OVER (PARTITION BY api_name ORDER BY layer ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM n) SELECT api_name, layer, gain, before FROM b WHERE before < 5")

@@ -37,10 +37,10 @@ def clean_text(spark, d):
     return documents(spark, d).select("doc_id", tx.clean(F.col("text")).alias("cleaned"))
 
 
-@query("SELECT source, lang, round(entropy, 6) AS entropy FROM (SELECT source, lang, -sum(p * log2(p)) AS entropy FROM (SELECT source, lang, ch, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY source, lang) AS p FROM (SELECT DISTINCT source, lang, generate_subscripts(string_split(source, ''), 1) AS i, unnest(string_split(source, '')) AS ch FROM documents WHERE source IS NOT NULL AND source <> '' AND lang IS NOT NULL) GROUP BY source, lang, ch) GROUP BY 1, 2)")
+@query("WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents WHERE text <> ''), n AS (SELECT doc_id, ch, count(*) AS n FROM c WHERE ch <> '' GROUP BY 1, 2), t AS (SELECT doc_id, sum(n) AS t FROM n GROUP BY 1) SELECT doc_id, round(-sum(n / t * log2(n / t)), 6) AS entropy FROM n JOIN t USING (doc_id) GROUP BY doc_id")
 def char_entropy(spark, d):
-    """Bits a character of the sources' names."""
-    return documents(spark, d).where("source is not null and source <> '' and lang is not null").select("source", "lang").distinct().select("source", "lang", F.round(tx.entropy(F.col("source")), 6).alias("entropy"))
+    """Bits a character of every text that is not empty."""
+    return documents(spark, d).where("text <> ''").select("doc_id", F.round(tx.entropy(F.col("text")), 6).alias("entropy"))
 
 
 @query(r"SELECT doc_id, len(regexp_extract_all(t, '[^\r\n]+'))::INT AS filled, len(regexp_extract_all(t, '(?m)^[ \t]*[*-] '))::INT AS bullets, len(regexp_extract_all(t, '```'))::INT AS fences, len(list_distinct(regexp_extract_all(lower(t), '[a-z]+')))::INT AS distinct_words FROM (SELECT doc_id, coalesce(text,'') AS t FROM documents)")
@@ -86,7 +86,7 @@ def context_cross(spark, d):
 
 @query(
     FLAT + f""", g AS (SELECT ord, {_TRIM.format('api_host')} AS host, {_TRIM.format('url')} AS url, {_METHOD} AS method, {_route_sql('route')} AS route, {_TRIM.format('endpoint_name')} AS ename FROM flat), c AS (SELECT g.*, x.i AS i FROM g, (SELECT unnest([0,1,2,3,4]) AS i) x)
- SELECT ord, 'C' || i AS context, CASE WHEN i = 0 THEN '' ELSE 'Host: ' || host END || CASE WHEN i >= 2 THEN chr(10) || 'Endpoint: ' || method || ' ' || route || chr(10) || 'URL: ' || url || chr(10) || 'Name: ' || ename ELSE '' END || CASE WHEN i >= 4 THEN chr(10) || 'Dependency: requests' ELSE '' END AS docs FROM c"""
+ SELECT ord, 'C' || i AS context, CASE WHEN i = 0 THEN '' ELSE 'Host: ' || host END || CASE WHEN i >= 2 THEN chr(10) || 'Endpoint: ' || method || ' ' || route || chr(10) || 'URL: ' || url || chr(10) || 'Name: ' || ename ELSE '' END || CASE WHEN i >= 3 THEN chr(10) || 'Headers: x-rapidapi-host is ' || host || ', x-rapidapi-key is given by the caller' ELSE '' END || CASE WHEN i >= 4 THEN chr(10) || 'Dependency: requests' ELSE '' END AS docs FROM c"""
 )
 def context_docs(spark, d):
     """What each context level tells of the documented endpoint."""

@@ -75,13 +75,14 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """The rows over all cores by a unique key, where the scan would leave most of them idle.
 
     A small file of one row group is one task, however costly the work on its
-    rows; a scan with ``SPREAD_BYTES`` for each core is taken as it is.
+    rows.  A scan of as many files as there are cores, or with ``SPREAD_BYTES``
+    for each core, is taken as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     # The files' size: an estimate of the columns chosen takes every text for a short one.
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    return df.repartition(cores, key) if size < cores * SPREAD_BYTES else df
+    return df.repartition(cores, key) if size < cores * SPREAD_BYTES and len(df.inputFiles()) < cores else df
 
 
 @atexit.register

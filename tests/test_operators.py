@@ -162,10 +162,13 @@ SIDE_TYPE = "ord bigint, params string, path_params string, header_params string
 def test_documented_params_of_all_fields(spark, monkeypatch):
     from millrace.plans import apis
 
-    monkeypatch.setattr(apis, "flat", lambda s, d: s.createDataFrame(SIDE_ROWS, SIDE_TYPE))
+    rows = [(*r, "documentation") for r in SIDE_ROWS] + [(4, '{"a": 1}', None, None, None, None, "code"), (5, '["one", "two words", {"name": "p", "schema": {"s": 1}, "other": {"z": 1}}]', None, None, '"bare.name"', None, None)]
+    monkeypatch.setattr(apis, "flat", lambda s, d: s.createDataFrame(rows, SIDE_TYPE + ", params_source string"))
     got = {r.ord: (r.flat_names, r.all_names) for r in apis.documented_params(spark, "").collect()}
     assert got[1] == (["a", "body_id", "deep", "ticket", "trace"], ["a", "body_id", "deep", "ticket", "trace"])
-    assert got[2][0] == ["only", "x"] and got[3] == ([], [])
+    assert got[2] == (["only", "x"], ["only"]) and got[3] == ([], [])
+    # Parameters read from code are no documentation; of a list, names, schemas and plain names count.
+    assert got[4] == (["a"], []) and got[5] == (["bare.name", "one", "p", "s"], [])
 
 
 def test_json_walk_of_all_fields(spark, monkeypatch):
@@ -190,3 +193,12 @@ def test_documentation_coverage(spark, monkeypatch):
     r = records.documentation_coverage(spark, "").first()
     assert (r.n, r.metadata_complete, r.endpoint_matched, r.host_only, r.no_match, r.endpoints) == (5, 2, 4, 1, 0, 3)
     assert (r.with_params, r.param_documented, r.param_used, r.used_share) == (4, 3, 2, 66.67)
+
+
+def test_balanced_selection_with_keys(spark):
+    rows = [(0, "A", "r1", "k0"), (1, "A", "r1", "k1"), (2, "A", "r1", "k0"), (3, "A", "r1", "k2"), (4, "A", "r1", "k2"), (5, None, "r2", "k3")]
+    df = spark.createDataFrame([(i, a, b, k, i) for i, a, b, k in rows], "id bigint, a string, b string, k string, rk bigint")
+    got = {(r["id"], r["pass"]) for r in select.select_balanced(df, "id", "rk", [("a", 2), ("b", 9)], 10, key="k").collect()}
+    assert got == {(0, 1), (1, 1), (5, 1), (3, 2)}
+    assert {r["id"] for r in select.select_balanced(df, "id", "rk", [("a", 2), ("b", 9)], 4, key="k").collect()} == {0, 1, 5, 3}
+    assert select.select_balanced(df.limit(0), "id", "rk", [("a", 2)], 4).count() == 0
