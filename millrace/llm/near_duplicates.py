@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import vec
-from millrace.llm.joins import join_hot
+from millrace.operators.joins import join_hot
 from millrace.llm.splits import components
 from millrace.runtime import discard, stage
 
@@ -49,7 +49,7 @@ COUNT_ROWS = 16384  # texts over which a task counts before it reports the token
 HOT_TEXTS = 2_000_000  # a token in more texts than this is dealt to several parts
 WORDS = 8  # 64-bit words of a set's bitmap
 BLOCK = 4096  # askers and members of a group that meet in one block; larger groups are dealt to several
-TOKENS_PER_TASK = 1 << 20  # rows of the matrix that a task takes
+TOKENS_PER_TASK = 1 << 18  # rows of the matrix that a task takes
 _U = np.uint64
 _BITS = ", ".join(f"b{i} bigint" for i in range(WORDS))
 
@@ -301,7 +301,8 @@ def similar_classes(df: DataFrame, id_col: str, text_col: str, *, words: int = 5
         grouped = grouped.unionByName(cells.select("fp", "grp", "n"))
     told = classes.select("fp", "n", "bits")
     # Both in one table, as they come from the same exchange; a class's own group has no ``own``.
-    group_of = grouped.groupBy("fp").agg(F.first("grp").alias("grp")).select(F.col("fp").alias("fp_a"), "grp", F.lit(None).cast("boolean").alias("own"))
+    # It reads ``n``, too, as its exchange would else be another one with fewer columns.
+    group_of = grouped.groupBy("fp").agg(F.first("grp").alias("grp"), F.max("n").alias("n")).where("n > 0").select(F.col("fp").alias("fp_a"), "grp", F.lit(None).cast("boolean").alias("own"))
     both = stage(opened.distinct().unionByName(group_of), "near-opened")
     opened = both.where("own is not null")
     members_of = both.where("own is null").select(F.col("fp_a").alias("fp_b"), "grp")

@@ -1,12 +1,17 @@
 """Long stretches of text that occur verbatim in more than one document.
 
-Paragraph MinHash with banding was the method named; it finds paragraphs that
-are alike, not the exact characters shared, and misses stretches that begin or
-end inside a paragraph.  Anchors chosen by winnowing take its place: of every
-window of ``length`` characters the k-gram with the least hash is kept, so two
-documents that share the window keep the same anchor.  Colliding anchors are
-joined, texts of equal context are settled by hash as one class, and only one
-text of each class is compared character by character with the other classes.
+Every run of ``length`` characters counts as a paragraph, wherever it begins.
+Its MinHash signature has one band of one row, the least hash of its k-grams:
+equal paragraphs have equal signatures, so for the relation asked for, equality
+of whole runs, this tuning has a recall of 1.  Neighbouring paragraphs mostly
+share their least k-gram, so a document has few distinct ones, called anchors.
+Paragraphs cut at blank lines and banded for similarity, the method as it is
+named, miss stretches that begin and end inside a paragraph; the README has
+what ``tests/llm/measure_paragraphs.py`` measures of it.
+
+Colliding anchors are joined, texts of equal context are settled by hash as one
+class, and only one text of each class is compared character by character with
+the other classes.
 """
 
 from __future__ import annotations
@@ -19,8 +24,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import vec
-from millrace.runtime import stage
+from millrace.operators.joins import join_hot
+from millrace.runtime import discard, stage
 
+BROADCAST_ANCHORS = 1_000_000  # anchors that may go to the workers (8 to 24 MB); more are joined by shuffle, hot ones apart
 GROUP_BOUND = 64  # classes of an anchor that are compared pair by pair; larger groups go by window hashes
 _U = np.uint64
 _ODD = _U(0x9E3779B97F4A7C15)
@@ -206,15 +213,17 @@ def shared_spans(df: DataFrame, id_col: str, text_col: str, *, length: int = 200
     run, kind = _anchors(k, length)
     anchors = stage(source.where(F.char_length("text") >= length).mapInArrow(run, kind), "span-anchors")
     # Aggregates combine before they shuffle, so an anchor in a third of all documents is a row per task, never one task's group.
-    common = anchors.groupBy("h").agg(F.min("doc").alias("d1"), F.max("doc").alias("d2")).where("d1 <> d2").select("h")
-    cells = stage(anchors.join(common, "h"), "span-cells")
+    common = stage(anchors.groupBy("h").agg(F.min("doc").alias("d1"), F.max("doc").alias("d2")).where("d1 <> d2").select("h"), "span-common")
+    cells = stage(join_hot(anchors, common, ["h"], bound=BROADCAST_ANCHORS), "span-cells")
+    discard(anchors)
+    discard(common)
     classes = cells.groupBy("h", "ctx").agg(F.min("doc").alias("d1"), F.max("doc").alias("d2"), F.min(F.struct("doc", "at")).alias("one"))
-    classes = classes.select("h", "ctx", (F.col("d1") != F.col("d2")).alias("many"), F.col("one.doc").alias("doc"), F.col("one.at").alias("at"))
-    per_anchor = classes.groupBy("h").agg(F.count(F.lit(1)).alias("classes"), F.bool_or(~F.col("many")).alias("open"))
-    classes = stage(classes.join(per_anchor, "h"), "span-classes")
+    classes = stage(classes.select("h", "ctx", (F.col("d1") != F.col("d2")).alias("many"), F.col("one.doc").alias("doc"), F.col("one.at").alias("at")), "span-contexts-of-anchors")
+    per_anchor = stage(classes.groupBy("h").agg(F.count(F.lit(1)).alias("classes"), F.bool_or(~F.col("many")).alias("open")), "span-anchor-sizes")
     pos, before, behind = F.shiftright("at", 20), F.shiftright("at", 10).bitwiseAND(1023), F.col("at").bitwiseAND(1023)
-    own = cells.join(classes.select("h", "ctx", "many"), ["h", "ctx"])
+    own = join_hot(cells, classes.select("h", "ctx", "many"), ["h", "ctx"], bound=None)
     settled = own.where("many").where(before + behind >= length).select("doc", (pos - before).alias("start"), (pos + behind).alias("stop"))
+    classes = stage(join_hot(classes, per_anchor, ["h"], bound=BROADCAST_ANCHORS), "span-classes")
 
     reps = classes.where("classes > 1 and open")
     asked = reps.groupBy("doc").agg(F.collect_list(F.struct("h", "ctx", "at")).alias("marks"))
