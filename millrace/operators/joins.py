@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_KEYS = 200_000  # keys up to which their table goes to the workers; more are joined by shuffle
+BROADCAST_KEYS = 50_000  # keys up to which their table goes to the workers; more are joined by shuffle
 HOT_ROWS = 1_000_000  # rows of one key that one task still takes; keys of more go to the workers, at most rows / HOT_ROWS of them
 
 

@@ -134,17 +134,50 @@ def endpoint_query_candidates(spark, d):
     return top_per_group(e, ["api_name"], order, 2).select("api_name", "endpoint_id", "rank")
 
 
-@query(END + f", q AS (SELECT DISTINCT api_name, host, {_route_sql('route')} AS r, url FROM ends) SELECT DISTINCT api_name, l.layer AS layer, l.q AS q FROM q, LATERAL (SELECT unnest([{{'layer': 'endpoint_url_match', 'q': '\"' || url || '\"'}}, {{'layer': 'endpoint_route_host_match', 'q': '\"' || host || '\" \"' || r || '\"'}}, {{'layer': 'host_match', 'q': '\"' || host || '\"'}}, {{'layer': 'library_match', 'q': '\"' || host || '\" requests'}}]) AS l) WHERE l.q IS NOT NULL AND (l.layer <> 'endpoint_route_host_match' OR (length(r) >= 4))")
+_NO_VALUE = "coalesce({0}, '') IN ('', 'null', '{{}}', '[]')"
+_LAYERS = f"""WITH x AS (SELECT api_name, unnest(endpoints_metadata) AS e, generate_subscripts(endpoints_metadata, 1) - 1 AS pos FROM api_document),
+ v AS (SELECT api_name, pos, {_TRIM.format('e.url')} AS u, CASE WHEN {_route_sql('e.route')} <> '' THEN {_route_sql('e.route')} ELSE {_PATH.format('e.url')} END AS r, coalesce(nullif(e.endpoint_description,''), nullif(e.description,'')) IS NULL AS undescribed,
+ {' AND '.join(_NO_VALUE.format('e.' + c) for c in ('params', 'path_params', 'header_params', 'payload'))} AS bare, coalesce(e."index", 999999) AS idx, coalesce(nullif(e.endpoint_id,''), nullif(e.url,''), nullif(e.route,'')) AS k,
+ regexp_extract(coalesce(e.url,''), '(?i)^[a-z][a-z0-9+.-]*://([^/?#]*)', 1) AS host FROM x), h AS (SELECT api_name, min(host) AS host FROM v WHERE host <> '' GROUP BY 1),
+ f AS (SELECT * FROM v WHERE length(r) >= 4 AND k IS NOT NULL QUALIFY row_number() OVER (PARTITION BY api_name, k ORDER BY undescribed, bare, idx, pos, u, r) = 1),
+ c AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY api_name ORDER BY undescribed, bare, idx, pos, k) <= 2), w AS (SELECT *, string_split(string_split(host, '.')[1], '-')[1] AS word FROM h),
+ q AS (SELECT api_name, 'endpoint_url_match' AS layer, '"' || u || '" language:python' AS q FROM c JOIN h USING (api_name) WHERE u <> '' UNION SELECT api_name, 'endpoint_route_host_match', '"' || r || '" "' || h.host || '" language:python' FROM c JOIN h USING (api_name)
+ UNION SELECT api_name, 'host_match', '"' || host || '" language:python' FROM w UNION SELECT api_name, 'header_match', '"x-rapidapi-host" "' || host || '" language:python' FROM w UNION SELECT api_name, 'keyword_match', '"' || word || '" "rapidapi" language:python' FROM w WHERE length(word) > 3
+ UNION SELECT api_name, 'library_match', '"' || host || '" "requests" language:python' FROM w UNION SELECT api_name, 'function_match', '"' || host || '" "def " language:python' FROM w
+ UNION SELECT api_name, 'keyword_requests_match', '"' || word || '" "requests.post" OR "requests.get" language:python' FROM w WHERE length(word) > 3 UNION SELECT api_name, 'error_handling_match', '"' || host || '" language:python "try"' FROM w) SELECT api_name, layer, q FROM q"""
+
+
+@query(_LAYERS)
 def search_queries(spark, d):
-    """Search expressions of every layer, once each."""
-    e = endpoints(spark, d).select("api_name", "host", urls.route(F.col("route")).alias("r"), "url").distinct()
-    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
-    one = lambda k, q: F.struct(F.lit(k).alias("layer"), q.alias("q"))
-    layers = F.array(
-        one("endpoint_url_match", quoted(F.col("url"))), one("endpoint_route_host_match", F.when(urls.meaningful_route(F.col("r")), F.concat(quoted(F.col("host")), F.lit(" "), quoted(F.col("r"))))),
-        one("host_match", quoted(F.col("host"))), one("library_match", F.concat(quoted(F.col("host")), F.lit(" requests"))),
+    """Search expressions of every layer, once each: two endpoints of each API, described ones with parameters first, then its least host and that host's first word."""
+    e = table(spark, d, "api_document").select("api_name", F.posexplode("endpoints_metadata").alias("pos", "e")).select("api_name", "pos", "e.*")
+    route = urls.route(F.col("route"))
+    filled = lambda c: F.when(F.col(c) != "", F.col(c))
+    none = lambda c: F.coalesce(c, F.lit("")).isin("", "null", "{}", "[]")
+    bare = none(F.col("params")) & none(F.col("path_params")) & none(F.col("header_params")) & none(F.col("payload"))
+    v = e.select(
+        "api_name", "pos", tx.text(F.col("url")).alias("u"), F.when(route != "", route).otherwise(urls.url_path(F.col("url"))).alias("r"), F.coalesce(filled("endpoint_description"), filled("description")).isNull().alias("undescribed"),
+        bare.alias("bare"), F.coalesce("index", F.lit(999999)).alias("idx"), F.coalesce(filled("endpoint_id"), filled("url"), filled("route")).alias("k"),
+        F.regexp_extract(F.coalesce("url", F.lit("")), r"(?i)^[a-z][a-z0-9+.-]*://([^/?#]*)", 1).alias("host"),
+    )
+    hosts = v.where("host <> ''").groupBy("api_name").agg(F.min("host").alias("host"))
+    order = [F.col(c) for c in ("undescribed", "bare", "idx", "pos")]
+    c = top_per_group(v.where((F.length("r") >= 4) & F.col("k").isNotNull()), ["api_name", "k"], [*order, F.col("u"), F.col("r")], 1, "n").drop("n", "host")
+    c = top_per_group(c, ["api_name"], [*order, F.col("k")], 2, "n").groupBy("api_name").agg(F.collect_list(F.struct("u", "r")).alias("ends"))
+    quoted = lambda x: F.concat(F.lit('"'), x, F.lit('"'))
+    in_python = F.lit(" language:python")
+    one = lambda k, *q: F.struct(F.lit(k).alias("layer"), F.concat(*q).alias("q"))
+    host, word = quoted(F.col("host")), F.substring_index(F.substring_index("host", ".", 1), "-", 1)
+    keyword = F.when(F.length(word) > 3, quoted(word))
+    ends = F.coalesce("ends", F.array().cast("array<struct<u: string, r: string>>"))
+    layers = F.concat(
+        F.transform(F.filter(ends, lambda x: x["u"] != ""), lambda x: one("endpoint_url_match", quoted(x["u"]), in_python)), F.transform(ends, lambda x: one("endpoint_route_host_match", quoted(x["r"]), F.lit(" "), host, in_python)),
+        F.array(
+            one("host_match", host, in_python), one("header_match", F.lit('"x-rapidapi-host" '), host, in_python), one("keyword_match", keyword, F.lit(' "rapidapi"'), in_python), one("library_match", host, F.lit(' "requests"'), in_python),
+            one("function_match", host, F.lit(' "def "'), in_python), one("keyword_requests_match", keyword, F.lit(' "requests.post" OR "requests.get"'), in_python), one("error_handling_match", host, in_python, F.lit(' "try"')),
+        ),
     )
-    return e.select("api_name", F.inline(layers)).where("q is not null").distinct()
+    return hosts.join(c, "api_name", "left").select("api_name", F.inline(layers)).where("q is not null").distinct()
 
 
 @query(FLAT + END.replace("WITH x", ", x", 1) + f", a AS (SELECT DISTINCT api_name FROM flat WHERE api_name IS NOT NULL), n AS (SELECT api_name, count(*) AS n FROM ends GROUP BY 1) SELECT count(*) AS apis, sum(n.n)::BIGINT AS endpoints FROM a JOIN n USING (api_name)")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.plans import answers, apis, evals, fields, records, relational, texts  # noqa: F401  (they register their queries)
+from millrace.plans import answers, apis, evals, fields, records, relational, tables, texts  # noqa: F401  (they register their queries)
 from millrace.plans.registry import QUERIES, SQL, Query
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as tx
-from millrace.functions.code import annotated, code_facts, extract_functions, line_comment
+from millrace.functions.code import LINE_RULES, NO_COMMENT, annotated, code_facts, extract_functions, line_comment
 from millrace.functions.jsonvals import param_used
 from millrace.functions.urls import url_path
 from millrace.operators import quality as ql
@@ -370,17 +370,10 @@ def validation(spark, d):
     return one.unpivot([], ["records", "score_range", "average", "comments", "duplicates"], "test", "ok")
 
 
-@query(
-    FLAT + r"""SELECT x AS line_kind, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(l, '^(?:$|import\b|from\b|def\b|return\b|else\b|elif\b|except\b|finally\b)') THEN ''
- WHEN regexp_matches(l, '\.json\(\)|json\.loads') THEN 'Parse the JSON response.' WHEN regexp_matches(l, '(?i)(?:api_?key|token|secret|password)\s*=') THEN 'Read the credential.'
- WHEN regexp_matches(l, '^if not\b|^assert\b|^raise\b') THEN 'Check the input.' WHEN regexp_matches(l, '(?i)^(?:\w*url|endpoint|uri|target)\s*=') THEN 'Build the request URL.'
- WHEN regexp_matches(l, '(?i)^\w*(?:headers|hdrs|head)\s*=') THEN 'Set the request headers.' WHEN regexp_matches(l, '(?i)^(?:params|query\w*|q)\s*=') THEN 'Set the query parameters.'
- WHEN regexp_matches(l, '(?i)^(?:payload|data|body)\s*=') THEN 'Set the request payload.' WHEN regexp_matches(l, '\bopen\(') THEN 'Work with a file.'
- WHEN regexp_matches(l, '\b(?:requests|httpx|session)\.(?:get|post|put|delete|patch|request)\(') THEN 'Send the HTTP request.' WHEN regexp_matches(l, 'raise_for_status') THEN 'Raise on an error status.'
- WHEN regexp_matches(l, 'status_code') THEN 'Check the response status.' WHEN regexp_matches(l, '\.(?:text|content)\b') THEN 'Read the raw response.' WHEN regexp_matches(l, '^(?:for|while)\b') THEN 'Go through the items.'
- WHEN regexp_matches(l, '^(?:try|with)\b') THEN 'Handle errors.' WHEN regexp_matches(l, '\.(?:strip|lower|upper|replace)\(') THEN 'Normalise the values.' ELSE '' END AS x
- FROM (SELECT trim(replace(replace(unnest(string_split(src, chr(10))), chr(9), ' '), chr(13), ' ')) AS l FROM flat)) GROUP BY 1"""
-)
+_LINE_KIND = " ".join(f"WHEN regexp_matches(l, '{p}') THEN '{c}'" for c, p in [("", NO_COMMENT), *LINE_RULES])
+
+
+@query(FLAT + f"SELECT x AS line_kind, count(*) AS n FROM (SELECT CASE {_LINE_KIND} ELSE '' END AS x FROM (SELECT trim(replace(replace(unnest(string_split(src, chr(10))), chr(9), ' '), chr(13), ' ')) AS l FROM flat)) GROUP BY 1")
 def line_classify(spark, d):
     return heavy(spark, d, "code").select(F.explode(F.split("code", "\n")).alias("l")).groupBy(line_comment(F.col("l")).alias("line_kind")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -392,9 +385,11 @@ def line_classify(spark, d):
 )
 def line_before(spark, d):
     """Definitions whose last line before them that is not blank is a comment."""
-    df = flat(spark, d).select("ord", F.posexplode(F.split("code", "\n")).alias("i", "l")).withColumn("l", F.trim(F.translate("l", "\r", "")))
-    prev = F.last(F.when(F.col("l") != "", F.col("l")), ignorenulls=True).over(Window.partitionBy("ord").orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
-    return df.withColumn("prev", prev).groupBy("ord").agg(F.count_if(F.col("l").startswith("def ") & F.col("prev").startswith("#")).alias("commented_defs"))
+    # The line before is the one before among those that are not blank; it is found within the row.
+    lines = F.filter(F.transform(F.split("code", "\n"), lambda x: F.trim(F.translate(x, "\r", ""))), lambda x: x != "")
+    rows = flat(spark, d).where("code is not null").select("ord", lines.alias("x"))
+    found = F.filter("x", lambda x, i: x.startswith("def ") & F.coalesce(F.get("x", i - 1).startswith("#"), F.lit(False)))
+    return rows.select("ord", F.size(found).cast("bigint").alias("commented_defs"))
 
 
 @query()

@@ -99,5 +99,10 @@ def test_code_facts():
     assert cd.facts("def broken(:")[0] is False and cd.facts(None)[0] is False
     assert [x[0] for x in cd.extract(src, ["h.example"])] == ["f"] and cd.extract(src, ["other"]) == []
     code, used = cd.annotate(src)
-    assert "# Send the HTTP request." in code or used
+    assert used == ["Build the query parameters sent to the endpoint.", "Define the target RapidAPI endpoint URL."] and code.count("    # ") == 2 and "More." in code
     assert cd.annotate("") == ("", [])
+    assert cd.annotate("async def f(a,\n    b):\n\n    x = 1\n    return x") == ("async def f(a,\n    b):\n\n    x = 1\n    return x", [])
+    assert cd.annotate("def f():\n\n    x = 1\n    return x") == ("def f():\n\n    # Invoke the service API and return the processed result.\n    x = 1\n    return x", [cd.FALLBACK])
+    assert cd.annotate("# note\ndata = 1\ndata = 2")[1] == ["Prepare the request payload for the API call."]
+    module = "import os\nfrom a import (\n    b,\n)\n\ndef f():\n    import late\n    return 'h'\n"
+    assert cd.extract(module, [])[0] == ("f", 6, "def f():\n    import late\n    return 'h'", "import os\nfrom a import (\n    b,\n)", "import os\nfrom a import (\n    b,\n)\n\ndef f():\n    import late\n    return 'h'")
