@@ -18,7 +18,7 @@ QUOTED_NAME = r"[\"']([A-Za-z_][A-Za-z0-9_.\-]*)[\"']"
 FENCED_JSON = r"(?is)```(?:json)?\s*(.*?)```"
 TOP3_KEYS = ("top3_endpoint_ids", "top3", "top_3")
 
-ANSWER = "endpoint_id string, method string, route string, parameters array<string>, top3 array<string>"
+ANSWER = "endpoint_id string, method string, route string, parameters array<string>, top3 array<string>, listed boolean"
 
 
 def _said(v) -> str:
@@ -26,7 +26,7 @@ def _said(v) -> str:
 
 
 def parse_answer(raw: str | None) -> tuple:
-    """(endpoint id, method, route, parameter names, endpoint ids in order) of an answer.
+    """(endpoint id, method, route, parameter names, endpoint ids in order, whether those are a list) of an answer.
 
     The first fenced block stands for the answer.  A JSON object tells its
     fields; of any other text the first id, method and route count, and every
@@ -42,10 +42,11 @@ def parse_answer(raw: str | None) -> tuple:
         found = None
     if not isinstance(found, dict):
         first = lambda p: next((m[0] for m in re.finditer(p, text)), "")
-        return first(ENDPOINT_ID), first(METHOD_WORD).upper(), first(ROUTE_WORD), names_in(re.findall(QUOTED_NAME, text)), []
-    ranked = next((found[k] for k in TOP3_KEYS if found.get(k)), [])
+        return first(ENDPOINT_ID), first(METHOD_WORD).upper(), first(ROUTE_WORD), names_in(re.findall(QUOTED_NAME, text)), [], False
+    ranked = next((found[k] for k in TOP3_KEYS if found.get(k)), None)
+    listed = isinstance(ranked, list)
     ranked = re.findall(ENDPOINT_ID, ranked) if isinstance(ranked, str) else [_said(x) for x in ranked] if isinstance(ranked, list) else []
-    return _said(found.get("endpoint_id")), _said(found.get("method")), _said(found.get("route")), names_in(found.get("parameters")), ranked
+    return _said(found.get("endpoint_id")), _said(found.get("method")), _said(found.get("route")), names_in(found.get("parameters")), ranked, listed
 
 
 def answer(raw: Column) -> Column:

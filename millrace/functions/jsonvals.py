@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from typing import Any
+from urllib.parse import parse_qsl
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -103,6 +104,50 @@ def param_names(*cols: Column) -> Column:
     return F.udf(names, "array<string>", useArrow=True)(*cols)
 
 
+# Keys of a parameter that hold its name, place or value, first match first, and lists of parameters by place.
+PARAM_NAMES = ("name", "key", "id", "param", "title")
+PARAM_PLACES = ("in", "paramType", "parameterType", "location", "type")
+PARAM_VALUES = ("value", "example", "examples", "default", "defaultValue", "testValue", "sample")
+PARAM_LISTS = ("query", "queries", "queryParams", "path", "pathParams", "headers")
+
+
+def _listed(v: Any) -> list:
+    """The parameters of a documented value: a list, lists by place, or an object of objects."""
+    if isinstance(v, dict) and "parameters" in v:
+        v = load(v["parameters"]) if isinstance(v["parameters"], str) else v["parameters"]
+    if isinstance(v, list):
+        return v
+    if not isinstance(v, dict):
+        return []
+    by_place = [x | {"in": x.get("in") or k} for k in PARAM_LISTS if isinstance(v.get(k), list) for x in v[k] if isinstance(x, dict)]
+    return by_place or (list(v.values()) if all(isinstance(x, (dict, list)) and x for x in v.values()) else [])
+
+
+def _example(p: dict) -> Any:
+    v = next((p[k] for k in PARAM_VALUES if p.get(k) not in (None, "")), "")
+    v = load(v) if isinstance(v, str) else v
+    return v.get("value", v.get("example", v)) if isinstance(v, dict) else v
+
+
+def bucketed(route: str | None, params: str | None) -> tuple[dict[str, str], dict[str, str], dict[str, str]]:
+    """Query, path and header parameters with an example value each, of a route's query and of documented parameters; those of the body are none."""
+    said = lambda v: v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
+    query = dict(parse_qsl((route or "").partition("?")[2], keep_blank_values=True))
+    path: dict[str, str] = {}
+    header: dict[str, str] = {}
+    for p in _listed(load(params)):
+        name = next((str(p[k]) for k in PARAM_NAMES if p.get(k)), "") if isinstance(p, dict) else ""
+        place = next((str(p[k]).lower() for k in PARAM_PLACES if p.get(k)), "query") if name else "body"
+        into = header if "header" in place else path if "path" in place else None if "body" in place else query
+        if into is not None:
+            into[name] = said(_example(p))
+    return query, path, header
+
+
+def param_buckets(route: Column, params: Column) -> Column:
+    return F.udf(bucketed, "query map<string,string>, path map<string,string>, header map<string,string>", useArrow=True)(route, params)
+
+
 def _collect(v: Any, out: set[str]) -> None:
     if isinstance(v, dict):
         told = [v[k] for k in NAME_KEYS if isinstance(v.get(k), str)]

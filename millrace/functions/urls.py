@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.functions.fields import safe_value
 from millrace.functions.text import text
 
 _ABSOLUTE = r"(?i)^https?://"
@@ -75,6 +76,12 @@ def fill_placeholders(c: Column, values: Column) -> Column:
     return F.aggregate(marks, c, lambda acc, m: F.replace(acc, m, F.coalesce(F.element_at(values, name(m)), F.lit("test"))))
 
 
+def fill_safe(c: Column) -> Column:
+    """Route whose placeholders are replaced by a value that suits their names."""
+    marks = F.array_distinct(F.regexp_extract_all(c, F.lit(r"(\{[^}/]+\}|<[^>/]+>|:[A-Za-z_]\w*)"), F.lit(1)))
+    return F.aggregate(marks, c, lambda acc, m: F.replace(acc, m, safe_value(F.regexp_replace(m, r"[{}<>:]", ""))))
+
+
 def page_slug(c: Column) -> Column:
     """Last part of an address's path."""
     return F.element_at(F.filter(F.split(F.concat(F.lit("/"), url_path(c)), "/"), lambda x: x != ""), -1)

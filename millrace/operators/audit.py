@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ast
 import math
 import re
 from collections import Counter
@@ -11,6 +12,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.code import parse
 from millrace.functions.jsonvals import load
 
 # Shapes of tokens by kind that SQL can search, too.
@@ -68,6 +70,25 @@ def is_sensitive(key: str, value: str) -> bool:
     return len(v) >= 8 and -sum(n / len(v) * math.log2(n / len(v)) for n in Counter(v).values()) >= 2.5
 
 
+# What stands in place of a key.
+NO_KEY = ("placeholder", "your_", "your-", "dummy", "test", "api_key", "rapidapi_key", "rapidapi-key", "key_here", "insert", "replace")
+
+
+def suspicious(code: str | None) -> list[str]:
+    """Sorted texts of code that look like keys: of the issuer's form anywhere, or long values of the key's header in a dict."""
+    found = set(re.findall(r"\b[A-Za-z0-9]{8,}msh[A-Za-z0-9]{8,}\b", code or ""))
+    tree = parse(code)
+    pairs = [kv for n in ast.walk(tree) if isinstance(n, ast.Dict) for kv in zip(n.keys, n.values)] if tree else []
+    text = lambda n: n.value if isinstance(n, ast.Constant) and isinstance(n.value, str) else ""
+    given = [text(v).strip() for k, v in pairs if text(k).lower() == "x-rapidapi-key"]
+    found.update(v for v in given if re.fullmatch(r"[A-Za-z0-9_\-]{24,}", v) and not any(t in v.lower() for t in NO_KEY))
+    return sorted(found)
+
+
+def suspicious_literals(code: Column) -> Column:
+    return F.udf(suspicious, "array<string>", useArrow=True)(code)
+
+
 def safe_literal(v: Column) -> Column:
     return F.udf(lambda x: None if x is None else is_safe(x), "boolean", useArrow=True)(v)
 

@@ -8,11 +8,12 @@ from millrace.functions import answers as an
 from millrace.functions import text as tx
 from millrace.functions import urls
 from millrace.functions.code import replay
-from millrace.functions.jsonvals import dense_names, observed_names, param_names
+from millrace.functions.fields import content_type, first_filled
+from millrace.functions.jsonvals import dense_names, observed_names, param_buckets, param_names
 from millrace.operators import prompts as pr
 from millrace.operators.dedupe import first_wins, last_wins
 from millrace.operators.metrics import set_prf
-from millrace.plans.apis import _METHOD, _TRIM, _route_sql
+from millrace.plans.apis import END, _METHOD, _TRIM, _route_sql, endpoints
 from millrace.plans.records import FLAT, SIDES, flat
 from millrace.plans.registry import query
 from millrace.runtime import spread, table
@@ -43,7 +44,7 @@ _PARSED = rf""", raw AS (SELECT sample_id, model, called_at, {_TRIM.format('raw_
  o AS (SELECT *, CASE WHEN json_valid(x) THEN CASE WHEN json_type(x) = 'OBJECT' THEN x END END AS j FROM x),
  a AS (SELECT sample_id, model, called_at, CASE WHEN j IS NULL THEN regexp_extract(x, '{an.ENDPOINT_ID}') ELSE {_TRIM.format("json_extract_string(j, '$.endpoint_id')")} END AS eid,
  CASE WHEN j IS NULL THEN upper(regexp_extract(x, '(?i)\b(GET|POST|PUT|DELETE|PATCH)\b', 1)) ELSE {_TRIM.format("json_extract_string(j, '$.method')")} END AS method,
- CASE WHEN j IS NULL THEN regexp_extract(x, '{an.ROUTE_WORD}') ELSE {_TRIM.format("json_extract_string(j, '$.route')")} END AS route, CASE WHEN j IS NULL THEN []::VARCHAR[] {_TOP3} ELSE []::VARCHAR[] END AS top3 FROM o)"""
+ CASE WHEN j IS NULL THEN regexp_extract(x, '{an.ROUTE_WORD}') ELSE {_TRIM.format("json_extract_string(j, '$.route')")} END AS route, CASE WHEN j IS NULL THEN []::VARCHAR[] {_TOP3} ELSE []::VARCHAR[] END AS top3, j FROM o)"""
 _SCORED = f""", n AS (SELECT a.sample_id, a.model, a.called_at, a.eid, a.top3, CASE WHEN a.method = '' THEN 'GET' ELSE upper(a.method) END AS m, {_route_sql('a.route')} AS r, g.* EXCLUDE (sample_id) FROM a JOIN g USING (sample_id)),
  s AS (SELECT *, (eid <> '' AND eid = gid) OR (r <> '' AND r = groute AND m = gmethod) AS top1 FROM n)"""
 
@@ -74,6 +75,17 @@ def endpoint_rank(spark, d):
     return s.groupBy("model").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(k) for k, c in n.items()])
 
 
+_LISTED = " ".join(f"WHEN json_type(j, '$.{k}') = 'ARRAY' AND json_array_length(j, '$.{k}') > 0 THEN true WHEN json_type(j, '$.{k}') = 'VARCHAR' AND json_extract_string(j, '$.{k}') <> '' THEN false" for k in an.TOP3_KEYS)
+
+
+@query("WITH " + _PARSED.lstrip(", ") + f" SELECT sample_id, model, called_at, eid <> '' AND method <> '' AND route <> '' AS format_ok, coalesce(CASE WHEN j IS NULL THEN false {_LISTED} ELSE false END AND len(top3) BETWEEN 1 AND 3 AND len(list_filter(top3, lambda y: coalesce(y, '') = '')) = 0, false) AS top3_ok FROM a")
+def answer_format(spark, d):
+    """Whether an answer names endpoint, method and route, and lists one to three endpoints."""
+    a = spread(table(spark, d, "model_output").select("sample_id", "model", "called_at", "raw_output"), "called_at").withColumn("a", an.answer(F.col("raw_output")))
+    named = (F.col("a.endpoint_id") != "") & (F.col("a.method") != "") & (F.col("a.route") != "")
+    return a.select("sample_id", "model", "called_at", named.alias("format_ok"), (F.col("a.listed") & F.size("a.top3").between(1, 3) & F.forall("a.top3", lambda x: x != "")).alias("top3_ok"))
+
+
 @query()
 def answer_params(spark, d):
     """Precision, recall and F1 of the parameters that an answer names against its record's, documented ones before observed ones."""
@@ -133,3 +145,32 @@ def dense_corpus(spark, d):
     first = first_wins(own.where("api <> '' and host <> ''"), [F.col("host"), F.col("verb"), F.col("path")], F.col("ord"))
     names = F.array_join(dense_names(*[F.col(c) for c in ("params", "path_params", "payload", "code_params")]), " ")
     return first.select("ord", "host", "verb", "path", F.concat_ws(" ", "api", "host", "ename", "path", tx.path_tokens(F.col("path")), "verb", names).alias("search_text"))
+
+
+@query()
+def endpoint_parameters(spark, d):
+    """Query, path and header parameters of each documented endpoint with an example value."""
+    e = endpoints(spark, d)
+    return e.select("api_name", "pos", "endpoint_id", param_buckets(F.col("route"), F.col("params")).alias("p")).select("api_name", "pos", "endpoint_id", *[F.map_entries(f"p.{k}").alias(k) for k in ("query", "path", "header")])
+
+
+@query(FLAT + f"SELECT ord, {_TRIM.format('src')} <> '' AS has_code, {_TRIM.format('params')} <> '' AS has_params, coalesce(cardinality(headers), 0) > 0 AS has_headers, score IS NOT NULL AS has_score FROM flat")
+def filled_fields(spark, d):
+    """Fields of a record that say something; zero does."""
+    return flat(spark, d).select(
+        "ord", tx.has_content(F.col("code"), "string").alias("has_code"), tx.has_content(F.col("params"), "string").alias("has_params"), tx.has_content(F.col("headers"), "map").alias("has_headers"),
+        tx.has_content(F.col("score"), "double").alias("has_score"),
+    )
+
+
+@query(END + f"SELECT api_name, pos::INT AS pos, coalesce(nullif({_TRIM.format('endpoint_id')}, ''), nullif({_TRIM.format('url')}, ''), nullif({_TRIM.format('route')}, ''), '') AS name FROM ends")
+def endpoint_keys(spark, d):
+    """What an endpoint goes by: its id, else its address, else its route."""
+    return endpoints(spark, d).select("api_name", "pos", first_filled(F.col("endpoint_id"), F.col("url"), F.col("route")).alias("name"))
+
+
+@query("SELECT api_name, pos::INT AS pos, CASE WHEN g <> '' THEN g WHEN p = '' OR p = 'null' THEN '' WHEN starts_with(p, '{') OR starts_with(p, '[') THEN 'application/json' ELSE 'application/x-www-form-urlencoded' END AS content_type FROM (SELECT api_name, generate_subscripts(endpoints_metadata, 1) - 1 AS pos, unnest(list_transform(endpoints_metadata, lambda e: " + _TRIM.format("e.payload") + ")) AS p, unnest(list_transform(endpoints_metadata, lambda e: " + _TRIM.format("e.content_type") + ")) AS g FROM api_document)")
+def content_types(spark, d):
+    """The kind of body of each endpoint: the one given, else by its payload."""
+    e = table(spark, d, "api_document").select("api_name", F.posexplode("endpoints_metadata").alias("pos", "e"))
+    return e.select("api_name", "pos", content_type(F.col("e.payload"), F.col("e.content_type")).alias("content_type"))

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from millrace.functions import text as tx
 from millrace.functions import urls
 from millrace.operators import prompts as pr
-from millrace.operators.audit import findings_of, record_findings, release_audit
+from millrace.functions.fields import SAFE_NAMES, SAFE_VALUES
+from millrace.functions.jsonvals import balanced_json
+from millrace.operators.audit import findings_of, record_findings, release_audit, suspicious_literals
+from millrace.operators.dedupe import first_wins
 from millrace.plans.apis import END, _METHOD, _TRIM, _route_sql, endpoints
 from millrace.plans.records import FLAT, SIDES, flat, heavy, records
 from millrace.plans.registry import query
@@ -116,8 +119,47 @@ def task_hint(spark, d):
     return flat(spark, d).select("ord", pr.task_hint(F.col("function_name"), F.col("endpoint_name"), F.lit(None).cast("string")).alias("hint"))
 
 
-@query(END + f"SELECT api_name, pos::INT AS pos, regexp_replace(regexp_replace({_route_sql('route')}, '\\{{[^}}/]+\\}}', 'test', 'g'), '<[^>/]+>', 'test', 'g') AS filled FROM ends")
+_SAFE = "CASE " + " ".join(f"WHEN n = '{a}' THEN '{b}'" for a, b in SAFE_NAMES.items()) + " " + " ".join(f"WHEN contains(n, '{a}') THEN '{b}'" for a, b in SAFE_VALUES) + " ELSE 'test' END"
+
+
+@query(
+    END + rf""", r AS (SELECT api_name, pos, {_route_sql('route')} AS r FROM ends), m AS (SELECT *, list_distinct(regexp_extract_all(r, '(\{{[^}}/]+\}}|<[^>/]+>|:[A-Za-z_]\w*)', 1)) AS marks FROM r)
+ SELECT api_name, pos::INT AS pos, CASE WHEN len(marks) = 0 THEN r ELSE list_reduce(list_prepend(r, marks), lambda acc, k: replace(acc, k, {_SAFE.replace('n =', "lower(regexp_replace(k, '[{}<>:]', '', 'g')) =").replace('contains(n', "contains(lower(regexp_replace(k, '[{}<>:]', '', 'g'))")})) END AS filled FROM m"""
+)
 def filled_routes(spark, d):
-    """Routes with their placeholders filled by a safe value."""
-    e = endpoints(spark, d)
-    return e.select("api_name", "pos", urls.fill_placeholders(urls.route(F.col("route")), F.create_map().cast("map<string,string>")).alias("filled"))
+    """Routes with their placeholders filled by a safe value of their name."""
+    return endpoints(spark, d).select("api_name", "pos", urls.fill_safe(urls.route(F.col("route"))).alias("filled"))
+
+
+_UNSAFE = "delete|remove|create|update|upload|send|pay|purchase|order|book|post|write|message|sms|email"  # fixed values
+
+
+@query(
+    FLAT + rf""", c AS (SELECT ord, lower({_TRIM.format('api_host')}) AS host, coalesce(route, '') AS r, coalesce(route, '') || ' ' || coalesce(endpoint_name, '') AS said FROM flat WHERE upper({_METHOD}) = 'GET'),
+ k AS (SELECT * FROM c WHERE host <> '' AND r <> '' AND NOT regexp_matches(said, '(?i){_UNSAFE}') AND NOT (contains(r, '{{') AND NOT contains(r, '}}')) QUALIFY row_number() OVER (PARTITION BY host ORDER BY ord) = 1)
+ SELECT ord, host FROM k ORDER BY host LIMIT 120"""
+)
+def probe_candidates(spark, d):
+    """The first record of each host whose documented call only reads, the first 120 hosts: what may be tried without harm."""
+    f = flat(spark, d).select("ord", F.lower(tx.text(F.col("api_host"))).alias("host"), urls.method(F.col("method")).alias("m"), F.coalesce("route", F.lit("")).alias("r"), F.coalesce("endpoint_name", F.lit("")).alias("name"))
+    harmless = ~F.concat_ws(" ", "r", "name").rlike(f"(?i){_UNSAFE}") & ~(F.col("r").contains("{") & ~F.col("r").contains("}"))
+    kept = f.where((F.col("m") == "GET") & (F.col("host") != "") & (F.col("r") != "") & harmless).select("ord", "host")
+    return first_wins(kept, [F.col("host")], F.col("ord")).orderBy("host").limit(120)
+
+
+@query()
+def suspicious_keys(spark, d):
+    """How many texts of each record's code look like keys."""
+    return heavy(spark, d, "code").select("ord", F.size(suspicious_literals(F.col("code"))).alias("n"))
+
+
+@query()
+def json_fragments(spark, d):
+    """Balanced JSON objects and lists inside the documents' texts."""
+    return spread(documents(spark, d).select("doc_id", "text"), "doc_id").select("doc_id", F.size(balanced_json(F.col("text"))).alias("fragments"))
+
+
+@query(END + r"SELECT api_name, pos::INT AS pos, regexp_replace(regexp_replace(" + _TRIM.format("api_name") + r", '[^A-Za-z0-9._-]+', '_', 'g'), '^_+|_+$', '', 'g') AS file, list_filter(string_split('/' || regexp_extract(coalesce(url, ''), '(?i)^[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda y: y <> '')[-1] AS slug FROM ends")
+def page_names(spark, d):
+    """A file name for each API and the last part of its endpoints' addresses."""
+    return endpoints(spark, d).select("api_name", "pos", urls.file_safe(F.col("api_name")).alias("file"), urls.page_slug(F.col("url")).alias("slug"))

@@ -12,13 +12,19 @@ def _read(spark: SparkSession, schema: StructType | str | None):
     return r.schema(schema) if schema is not None else r
 
 
-def json_array(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
-    """A file that holds one JSON list of objects; a broken file ends the read."""
+def json_array(spark: SparkSession, path: str, schema: StructType | str | None = None, *, lists_only: bool = False) -> DataFrame:
+    """A file that holds one JSON list of objects; a broken file ends the read.  With ``lists_only`` (and a schema) a file that holds no list has no rows."""
+    if lists_only:
+        whole = spark.read.option("wholetext", True).text(path).where(F.ltrim("value").startswith("["))
+        kind = schema.simpleString() if isinstance(schema, StructType) else f"struct<{schema}>"
+        return whole.select(F.inline(F.from_json("value", f"array<{kind}>", {"mode": "FAILFAST"})))
     return _read(spark, schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
-def jsonl(spark: SparkSession, path: str, schema: StructType | str | None = None, *, tolerant: bool = False) -> DataFrame:
-    """One object a line, blank lines skipped; a broken row ends the read, or is left out when ``tolerant``."""
+def jsonl(spark: SparkSession, path: str, schema: StructType | str | None = None, *, tolerant: bool = False, missing_ok: bool = False) -> DataFrame:
+    """One object a line, blank lines skipped; a broken row ends the read, or is left out when ``tolerant``.  A missing file has no rows with ``missing_ok`` (and a schema)."""
+    if missing_ok and not _exists(spark, path):
+        return spark.createDataFrame([], schema)
     return _read(spark, schema).option("mode", "DROPMALFORMED" if tolerant else "FAILFAST").json(path)
 
 
@@ -65,7 +71,9 @@ def first_available(spark: SparkSession, candidates: dict[str, list[str]], schem
 
 
 def split_rows(spark: SparkSession, path: str, split: str) -> DataFrame:
-    """One split of a table partitioned by ``split``; the others are not read."""
+    """One split of a table partitioned by ``split``; the others are not read, and a split that is missing is an error."""
+    if not _exists(spark, f"{path}/split={split}"):
+        raise FileNotFoundError(f"no split {split} in {path}")
     return spark.read.parquet(path).where(F.col("split") == split)
 
 

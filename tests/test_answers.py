@@ -14,10 +14,10 @@ ID = "apiendpoint_doc_0000000001"
 @pytest.mark.parametrize(
     "raw,want",
     [
-        (f'{{"endpoint_id": "{ID}", "method": "post", "route": "a/b", "parameters": ["city", "two words", {{"name": "unit"}}], "top3_endpoint_ids": ["x", " {ID} "]}}', (ID, "post", "a/b", ["city", "unit"], ["x", ID])),
-        (f'Here:\n```json\n{{"endpoint_id": "{ID}", "top3": "{ID}, apiendpoint_b"}}\n```\nor {{}}', (ID, "", "", [], [ID, "apiendpoint_b"])),
-        (f'I take {ID} with get on /v1/{{id}}/now and "city", \'accept\'', (ID, "GET", "/v1/{id}/now", ["city"], [])),
-        ("[1, 2]", ("", "", "", [], [])), ("", ("", "", "", [], [])), (None, ("", "", "", [], [])), ('{"endpoint_id": null, "top_3": 5}', ("", "", "", [], [])),
+        (f'{{"endpoint_id": "{ID}", "method": "post", "route": "a/b", "parameters": ["city", "two words", {{"name": "unit"}}], "top3_endpoint_ids": ["x", " {ID} "]}}', (ID, "post", "a/b", ["city", "unit"], ["x", ID], True)),
+        (f'Here:\n```json\n{{"endpoint_id": "{ID}", "top3": "{ID}, apiendpoint_b"}}\n```\nor {{}}', (ID, "", "", [], [ID, "apiendpoint_b"], False)),
+        (f'I take {ID} with get on /v1/{{id}}/now and "city", \'accept\'', (ID, "GET", "/v1/{id}/now", ["city"], [], False)),
+        ("[1, 2]", ("", "", "", [], [], False)), ("", ("", "", "", [], [], False)), (None, ("", "", "", [], [], False)), ('{"endpoint_id": null, "top_3": 5}', ("", "", "", [], [], False)),
     ],
 )
 def test_parsed_answers(raw, want):
@@ -82,3 +82,19 @@ def test_documented_endpoints(spark, monkeypatch):
     monkeypatch.setattr(apis, "table", lambda s, d, n: docs)
     got = {r.ord: (r.how, r.endpoint_id) for r in apis.documented_endpoint(spark, "").collect()}
     assert got == {r[0]: r[3:] for r in rows}
+
+
+def test_collected_parameters():
+    listed = '[{"name": "city", "in": "query", "example": "{\\"value\\": \\"Rome\\"}"}, {"key": "id", "location": "PATH", "default": 7}, {"id": "X-Key", "paramType": "header"}, {"name": "b", "in": "body"}, {"in": "query"}, "text"]'
+    assert jsonvals.bucketed("/a?page=2&page=3&q=a%20b", listed) == ({"page": "3", "q": "a b", "city": "Rome"}, {"id": "7"}, {"X-Key": ""})
+    assert jsonvals.bucketed("/a", '{"query": [{"name": "u"}], "headers": [{"name": "h", "in": ""}]}') == ({"u": ""}, {}, {"h": ""})
+    assert jsonvals.bucketed(None, '{"parameters": [{"name": "z", "value": [1, 2]}]}') == ({"z": "[1, 2]"}, {}, {})
+    assert jsonvals.bucketed("/a", "bare") == ({}, {}, {}) == jsonvals.bucketed(None, '{"a": 1}') and jsonvals.bucketed("", '{"a": {"name": "n"}}') == ({"n": ""}, {}, {})
+
+
+def test_suspicious_literals():
+    from millrace.operators.audit import suspicious
+
+    key = "a1B2c3D4e5F6g7H8i9J0k1L2m3"
+    code = f'h = {{"X-RapidAPI-Key": "{key}", "x-rapidapi-key": "your_{key}", "other": "{key}z"}}\nk = "0123456789mshabcdefgh12"\n'
+    assert suspicious(code) == ["0123456789mshabcdefgh12", key] and suspicious(code + "(") == ["0123456789mshabcdefgh12"] and suspicious(None) == []

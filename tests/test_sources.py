@@ -71,3 +71,14 @@ def test_windows_on_a_stream(spark, tmp_path):
     q = windows.tumbling(stream, "ts", "1 hour", ["k"], [F.count(F.lit(1)).alias("n")]).writeStream.format("memory").queryName("win").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r.window_start, r.k, r.n) for r in spark.table("win").collect()} == want
+
+
+def test_odd_sources(spark, tmp_path):
+    (tmp_path / "list.json").write_text(' [{"k": 1}, {"k": 2}]')
+    (tmp_path / "object.json").write_text('{"k": 1}')
+    read = lambda name: [r.k for r in files.json_array(spark, str(tmp_path / name), "k bigint", lists_only=True).collect()]
+    assert read("list.json") == [1, 2] and read("object.json") == []
+    assert files.jsonl(spark, str(tmp_path / "none.jsonl"), "k bigint", missing_ok=True).count() == 0
+    files.write_partitioned(spark.createDataFrame([(1, "a")], "v int, split string"), str(tmp_path / "parts"), "split")
+    with pytest.raises(FileNotFoundError):
+        files.split_rows(spark, str(tmp_path / "parts"), "b")
