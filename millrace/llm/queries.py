@@ -176,6 +176,8 @@ _PAIRS = """w AS (SELECT ord, regexp_extract_all(lower(code.complete_function),
  s AS (SELECT DISTINCT ord, w[i] || ' ' || w[i+1] || ' ' || w[i+2] AS t FROM w, LATERAL (SELECT unnest(range(1, len(w) - 1)) AS i)), n AS (SELECT ord, count(*) AS n FROM s GROUP BY 1),
  c AS (SELECT a.ord AS x, b.ord AS y, count(*) AS k FROM s a JOIN s b ON a.t = b.t AND a.ord < b.ord GROUP BY 1, 2),
  pairs AS (SELECT c.x AS ord_a, c.y AS ord_b FROM c JOIN n p ON p.ord = c.x JOIN n q ON q.ord = c.y WHERE 10 * c.k >= 7 * (p.n + q.n - c.k))"""
+_SHARED = """WITH w AS (SELECT doc_id, k, md5(substr(text, k, 200)) AS g FROM documents, LATERAL (SELECT unnest(range(1, length(text) - 198)) AS k) WHERE length(text) >= 200),
+ s AS (SELECT g FROM w GROUP BY g HAVING min(doc_id) <> max(doc_id)), c AS (SELECT doc_id, k, lag(k) OVER (PARTITION BY doc_id ORDER BY k) AS prev FROM w WHERE g IN (SELECT g FROM s))"""
 SQL = {
     "p1_found": _NAMED + """, e AS (SELECT DISTINCT 'h ' || h AS a, 'r ' || p AS b FROM r WHERE h IS NOT NULL AND p IS NOT NULL), sym AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
  reach(node, root) AS (SELECT DISTINCT 'h ' || h, 'h ' || h FROM r WHERE h IS NOT NULL UNION SELECT sym.b, reach.root FROM reach JOIN sym ON sym.a = reach.node),
@@ -183,14 +185,20 @@ SQL = {
     "p3_found": "WITH " + _PAIRS + " SELECT ord_a, ord_b FROM pairs",
     "p3_groups": "WITH RECURSIVE " + _PAIRS + """, sym AS (SELECT ord_a AS a, ord_b AS b FROM pairs UNION ALL SELECT ord_b, ord_a FROM pairs), reach(node, root) AS (SELECT ord, ord FROM function_record UNION SELECT sym.b, reach.root FROM reach JOIN sym ON sym.a = reach.node AND sym.b > reach.root),
  g AS (SELECT node AS ord, min(root) AS group_id FROM reach GROUP BY 1) SELECT ord, group_id, count(*) OVER (PARTITION BY group_id) AS members FROM g""",
+    "p3_classes": """WITH w AS (SELECT ord, coalesce(regexp_extract_all(lower(code.complete_function), '[a-z0-9_]+'), []) AS w FROM function_record),
+ t AS (SELECT ord, CASE WHEN len(w) = 0 THEN NULL WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')))) END AS s FROM w),
+ c AS (SELECT s, min(ord) AS class_id, count(*) AS copies FROM t WHERE s IS NOT NULL GROUP BY s), x AS (SELECT class_id, len(s) AS n, unnest(s) AS g FROM c),
+ k AS (SELECT a.class_id AS a, b.class_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM x a JOIN x b ON a.g = b.g AND a.class_id <> b.class_id GROUP BY 1, 2), l AS (SELECT a, count(*) AS links FROM k WHERE 10 * k >= 8 * (na + nb - k) GROUP BY 1)
+ SELECT t.ord, c.class_id, coalesce(c.copies, 1) AS copies, coalesce(l.links, 0) AS links FROM t LEFT JOIN c ON t.s = c.s LEFT JOIN l ON l.a = c.class_id""",
+    "p6_kept": _NAMED + """, k AS (SELECT ord, h, p, row_number() OVER (PARTITION BY h ORDER BY s DESC NULLS LAST, ord) AS i, row_number() OVER (PARTITION BY p ORDER BY s DESC NULLS LAST, ord) AS j FROM r)
+ SELECT ord, h AS host, p AS repo FROM k WHERE NOT ((h IS NOT NULL AND i > 20) OR (p IS NOT NULL AND j > 5))""",
     "p6_found": _NAMED + """, k AS (SELECT ord, h, p, row_number() OVER (PARTITION BY h ORDER BY s DESC NULLS LAST, ord) AS i, row_number() OVER (PARTITION BY p ORDER BY s DESC NULLS LAST, ord) AS j FROM r)
  SELECT ord FROM k WHERE (h IS NOT NULL AND i > 20) OR (p IS NOT NULL AND j > 5)""",
     "p9_found": """WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents), i AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_item),
  dw AS (SELECT DISTINCT doc_id, array_to_string(w[k:k+12], ' ') AS g FROM d, LATERAL (SELECT unnest(range(1, len(w) - 11)) AS k)), iw AS (SELECT DISTINCT item_id, array_to_string(w[k:k+12], ' ') AS g FROM i, LATERAL (SELECT unnest(range(1, len(w) - 11)) AS k))
  SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (g)""".replace("\\\\", "\\"),
-    "p10_found": """WITH w AS (SELECT doc_id, k, md5(substr(text, k, 200)) AS g FROM documents, LATERAL (SELECT unnest(range(1, length(text) - 198)) AS k) WHERE length(text) >= 200),
- s AS (SELECT g FROM w GROUP BY g HAVING min(doc_id) <> max(doc_id)), c AS (SELECT doc_id, k, lag(k) OVER (PARTITION BY doc_id ORDER BY k) AS prev FROM w WHERE g IN (SELECT g FROM s))
- SELECT doc_id, sum(CASE WHEN prev IS NULL OR k - prev >= 200 THEN 200 ELSE k - prev END)::BIGINT AS shared_chars FROM c GROUP BY 1""",
+    "p10_found": _SHARED + " SELECT doc_id, sum(CASE WHEN prev IS NULL OR k - prev >= 200 THEN 200 ELSE k - prev END)::BIGINT AS shared_chars FROM c GROUP BY 1",
+    "p10_spans": _SHARED + ", r AS (SELECT doc_id, k, sum(CASE WHEN prev IS NULL OR k - prev > 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM c) SELECT doc_id AS doc, min(k) - 1 AS start, max(k) + 199 AS stop FROM r GROUP BY doc_id, run",
 }
 
 

@@ -27,7 +27,7 @@ from millrace.llm import vec
 from millrace.operators.joins import join_hot
 from millrace.runtime import discard, stage
 
-BROADCAST_ANCHORS = 1_000_000  # anchors that may go to the workers (8 to 24 MB); more are joined by shuffle, hot ones apart
+BROADCAST_ANCHORS = 300_000  # anchors that may go to the workers (some 45 MB); more are joined by shuffle, hot ones apart
 GROUP_BOUND = 64  # classes of an anchor that are compared pair by pair; larger groups go by window hashes
 _U = np.uint64
 _ODD = _U(0x9E3779B97F4A7C15)
