@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text as tx
 from millrace.functions import urls
+from millrace.functions.jsonvals import param_names
 
 LEVELS = ("C0", "C1", "C2", "C3", "C4")
 
@@ -64,15 +65,49 @@ def codegen_prompts(df: DataFrame) -> DataFrame:
     return contexts(df).select("ord", "context", F.concat_ws("\n", *[F.when(level >= least, text) for least, text in told]).alias("prompt"))
 
 
+def candidates(df: DataFrame, ends: DataFrame) -> DataFrame:
+    """``(api_name, ends)``: the endpoints of each API, the documented ones, else those that records of the API name; one each of id, method and route.
+
+    An endpoint without an id goes by one that its API, method and route determine.
+    """
+
+    def shaped(x: DataFrame, *fields: str) -> DataFrame:
+        m, r, api = urls.method(F.col("method")), urls.route(F.col("route")), tx.text(F.col("api_name"))
+        own = F.coalesce(F.when(tx.text(F.col("endpoint_id")) != "", tx.text(F.col("endpoint_id"))), tx.stable_id(api, m, r))
+        return x.select(api.alias("api_name"), own.alias("cid"), m.alias("m"), r.alias("r"), tx.text(F.col("endpoint_name")).alias("name"), param_names(*[F.col(c) for c in fields]).alias("params"))
+
+    doc = shaped(ends.dropDuplicates(["api_name", "endpoint_id", "method", "route"]), "params", "path_params", "payload")
+    rest = df.join(doc.select("api_name").distinct(), "api_name", "left_anti")
+    named = shaped(rest.dropDuplicates(["api_name", "endpoint_id", "method", "route"]), "params", "path_params", "header_params", "payload")
+    one = doc.unionByName(named).where("api_name <> ''").groupBy("api_name", "cid", "m", "r").agg(F.min(F.struct("name", "params")).alias("x"))
+    return one.groupBy("api_name").agg(F.array_sort(F.collect_list(F.struct("cid", "m", "r", F.col("x.name").alias("name"), F.col("x.params").alias("params")))).alias("ends"))
+
+
 def endpoint_prompts(df: DataFrame, ends: DataFrame, *, most: int = 10) -> DataFrame:
-    """``(ord, label, endpoint_id, is_target, line)``: target and distractors of each record whose API documents others, joined by API."""
-    e = ends.select("api_name", F.col("endpoint_id").alias("cid"), urls.method(F.col("method")).alias("cmethod"), urls.route(F.col("route")).alias("croute"), F.left(F.coalesce("description", F.lit("")), F.lit(800)).alias("about"))
-    e = e.dropDuplicates(["api_name", "cid"])
-    j = df.select("ord", "api_name", "endpoint_id", urls.method(F.col("method")).alias("m"), urls.route(F.col("route")).alias("r")).join(e, "api_name")
-    hit = (F.col("cid") == F.col("endpoint_id")) | ((F.col("croute") == F.col("r")) & (F.col("cmethod") == F.col("m")))
-    j = j.withColumn("is_target", F.coalesce(hit, F.lit(False)))
-    mixed = F.xxhash64("ord", "cid")
-    w = Window.partitionBy("ord")
-    kept = j.withColumn("n", F.row_number().over(w.orderBy(F.col("is_target").desc(), mixed, "cid"))).where(F.col("n") <= most)
-    label = F.concat(F.lit("E"), F.row_number().over(w.orderBy(mixed, "cid")).cast("string"))
-    return kept.select("ord", label.alias("label"), F.col("cid").alias("endpoint_id"), "is_target", F.concat_ws(" ", "cmethod", "croute", "about").alias("line"))
+    """``(ord, label, endpoint_id, is_target, line)``: each record's endpoint among up to ``most - 1`` others of its API, in an order that record and endpoint determine.
+
+    Records matched by host alone have none, as have those with fewer than two
+    candidates.  An endpoint that is not among its API's is added.  Everything
+    is chosen within the row from one array of the API's endpoints.
+    """
+    g = df.where(F.coalesce("match", F.lit("")) != "host_only").select(
+        "ord", tx.text(F.col("api_name")).alias("api_name"), tx.text(F.col("endpoint_id")).alias("gid"), urls.method(F.col("method")).alias("gm"), urls.route(F.col("route")).alias("gr"), tx.text(F.col("endpoint_name")).alias("gname")
+    )
+    j = g.join(candidates(df, ends), "api_name")
+    is_target = lambda e: (e["cid"] == F.col("gid")) | ((e["m"] == F.col("gm")) & (e["r"] == F.col("gr")))
+    missing = F.struct(
+        F.coalesce(F.when(F.col("gid") != "", F.col("gid")), tx.stable_id(F.col("api_name"), F.col("gm"), F.col("gr"))).alias("cid"), F.col("gm").alias("m"), F.col("gr").alias("r"), F.col("gname").alias("name"),
+        F.array().cast("array<string>").alias("params"),
+    )
+    j = j.withColumn("target", F.coalesce(F.get(F.filter("ends", is_target), F.lit(0)), missing))
+    mixed = lambda e, hit: F.struct(F.xxhash64(F.col("ord"), e["cid"], e["m"], e["r"]).alias("h"), F.lit(hit).alias("hit"), e.alias("e"))
+    others = F.slice(F.array_sort(F.transform(F.filter("ends", lambda e: ~is_target(e)), lambda e: mixed(e, False))), 1, most - 1)
+    j = j.withColumn("shown", F.array_sort(F.concat(F.array(mixed(F.col("target"), True)), others))).where(F.size("shown") > 1)
+    listed = lambda x: F.when(F.size(x) > 0, F.array_join(x, ", ")).otherwise("none known")
+
+    def shown(x: Column, i: Column) -> Column:
+        e, label = x["e"], F.concat(F.lit("E"), (i + 1).cast("string"))
+        line = F.concat(label, F.lit(". endpoint_id="), e["cid"], F.lit(" | method="), e["m"], F.lit(" | route="), e["r"], F.lit(" | name="), e["name"], F.lit(" | params="), listed(e["params"]))
+        return F.struct(label.alias("label"), e["cid"].alias("endpoint_id"), x["hit"].alias("is_target"), line.alias("line"))
+
+    return j.select("ord", F.inline(F.transform("shown", shown)))

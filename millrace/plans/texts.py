@@ -10,7 +10,7 @@ from millrace.functions import urls
 from millrace.operators import prompts as pr
 from millrace.functions.fields import SAFE_NAMES, SAFE_VALUES
 from millrace.functions.jsonvals import balanced_json
-from millrace.operators.audit import findings_of, record_findings, release_audit, suspicious_literals
+from millrace.operators.audit import STRONG, findings_of, record_findings, release_audit, suspicious_literals
 from millrace.operators.dedupe import first_wins
 from millrace.plans.apis import END, _METHOD, _TRIM, _route_sql, endpoints
 from millrace.plans.records import FLAT, SIDES, flat, heavy, records
@@ -59,9 +59,12 @@ def longest_per_source(spark, d):
     return df.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy(F.col("n").desc(), "doc_id"))).where("rank <= 5")
 
 
-@query("SELECT kind, count(*) AS n FROM (SELECT doc_id, unnest(['github_token', 'aws_access_key', 'google_api_key', 'slack_token', 'openai_style_key', 'private_key', 'jwt', 'huggingface_token', 'gitlab_pat']) AS kind, unnest(['gh[pousr]_[A-Za-z0-9]{30,}', 'AKIA[0-9A-Z]{16}', 'AIza[0-9A-Za-z_-]{35}', 'xox[abprs]-[0-9A-Za-z-]{10,}', 'sk-[A-Za-z0-9]{20,}', '-----BEGIN [A-Z ]*PRIVATE KEY-----', 'eyJ[A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]{8,}', 'hf_[A-Za-z0-9]{30,}', 'glpat-[A-Za-z0-9_-]{20,}']) AS p, t FROM (SELECT ord AS doc_id, code.complete_function AS t FROM function_record)) WHERE regexp_matches(t, p) GROUP BY kind")
+_STRONG = f"unnest([{', '.join(f"'{k}'" for k in STRONG)}]) AS kind, unnest([{', '.join(f"'{p}'" for p in STRONG.values())}]) AS p"
+
+
+@query(f"SELECT kind, count(*) AS n FROM (SELECT {_STRONG}, code.complete_function AS t FROM function_record) WHERE regexp_matches(t, p) GROUP BY kind")
 def secret_findings(spark, d):
-    """Records by the nine shapes of tokens that the SQL fixes, in the code alone; ``release_findings`` is the whole audit."""
+    """Records by the shapes of tokens that SQL can search, in the code alone; ``release_findings`` is the whole audit."""
     return findings_of(heavy(spark, d, "code"), "ord", "code").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 

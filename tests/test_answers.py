@@ -98,3 +98,22 @@ def test_suspicious_literals():
     key = "a1B2c3D4e5F6g7H8i9J0k1L2m3"
     code = f'h = {{"X-RapidAPI-Key": "{key}", "x-rapidapi-key": "your_{key}", "other": "{key}z"}}\nk = "0123456789mshabcdefgh12"\n'
     assert suspicious(code) == ["0123456789mshabcdefgh12", key] and suspicious(code + "(") == ["0123456789mshabcdefgh12"] and suspicious(None) == []
+
+
+def test_endpoint_prompts(spark):
+    kind = "api_name string, endpoint_id string, endpoint_name string, method string, route string, params string, path_params string, header_params string, payload string"
+    none = (None, None, None, None)
+    ends = [("w", f"e{i}", f"n{i}", "get", f"/r{i}", '{"city": 1}', None, None, None) for i in range(15)] + [("one", "only", "n", "GET", "/x", *none)]
+    rows = [
+        (1, "url", "w", "e3", "n3", "GET", "/other", *none), (2, "url", "w", "", "n", "GET", "r5", *none), (3, "url", "w", "new", "mine", "POST", "/z", *none), (4, "host_only", "w", "e1", "", "GET", "/r1", *none),
+        (5, "url", "one", "only", "", "GET", "/x", *none), (6, "url", "free", "a", "", "GET", "/a", *none), (7, "url", "free", "b", "", "GET", "/b", '["p"]', None, None, None), (8, "url", None, "b", "", "GET", "/b", *none),
+    ]
+    df = spark.createDataFrame(rows, "ord bigint, match string, " + kind)
+    got = {}
+    for r in prompts.endpoint_prompts(df, spark.createDataFrame(ends, kind)).collect():
+        got.setdefault(r.ord, []).append(r)
+    assert {k: len(v) for k, v in got.items()} == {1: 10, 2: 10, 3: 10, 6: 2, 7: 2}
+    target = {k: [r.endpoint_id for r in v if r.is_target] for k, v in got.items()}
+    assert target == {1: ["e3"], 2: ["e5"], 3: ["new"], 6: ["a"], 7: ["b"]}
+    assert all(sorted(r.label for r in v) == sorted(f"E{i + 1}" for i in range(len(v))) for v in got.values())
+    assert next(r.line for r in got[1] if r.is_target).endswith(". endpoint_id=e3 | method=GET | route=/r3 | name=n3 | params=city")
