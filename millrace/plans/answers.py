@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from millrace.functions import answers as an
 from millrace.functions import text as tx
 from millrace.functions import urls
-from millrace.functions.code import replay
+from millrace.functions.code import code_facts, replay
 from millrace.functions.fields import content_type, first_filled
 from millrace.functions.jsonvals import dense_names, observed_names, param_buckets, param_names
 from millrace.operators import prompts as pr
+from millrace.operators.audit import suspicious_literals
 from millrace.operators.dedupe import first_wins, last_wins
 from millrace.operators.metrics import set_prf
 from millrace.plans.apis import END, _METHOD, _TRIM, _route_sql, endpoints
@@ -121,6 +122,31 @@ def answer_checks(spark, d):
     )
 
 
+@query()
+def answer_code(spark, d):
+    """The code of each answer against its record: syntax, name, clients, return, keys, parameters, and whether the request is built right and the whole is robust.
+
+    The request that would be sent is read from the syntax tree; nothing is run.
+    Without known parameters a request needs none; else their F1 is 0.5 at least.
+    """
+    g = _gold(spark, d).select("sample_id", F.col("host").alias("ghost"), F.col("url").alias("gurl"), F.col("route").alias("groute"), F.col("method").alias("gmethod"))
+    last = last_wins(flat(spark, d).select("sample_id", "ord", "function_name", *SIDES), ["sample_id"], "ord")
+    gold = _gold_params(last).select("sample_id", tx.text(F.col("function_name")).alias("gname"), "gold", "source")
+    a = spread(table(spark, d, "model_output").select("sample_id", "model", "called_at", "raw_output"), "called_at")
+    a = a.select("sample_id", "model", "called_at", tx.fence(F.col("raw_output")).alias("code")).withColumn("f", code_facts(F.col("code"))).withColumn("keys", F.size(suspicious_literals(F.col("code"))))
+    j = a.join(g, "sample_id").join(gold, "sample_id").withColumn("m", set_prf(F.col("f.params"), F.col("gold")))
+    code, host, url, route, method = (F.col(c) for c in ("code", "ghost", "gurl", "groute", "gmethod"))
+    named = an.names_host(code, host) & an.names_endpoint(code, url, route) & an.uses_method(code, method) & an.sends_header(code, host)
+    request = named & ((F.col("m.gold_count") == 0) | (F.col("m.f1") >= 0.5))
+    sent = F.col("f.url").isNotNull() & an.names_host(F.col("f.url"), host) & an.names_endpoint(F.col("f.url"), url, route) & (F.col("f.method") == method)
+    returned = F.col("f.has_return") & code.rlike(r"\.json\(\)|\.text|\.content|return response")
+    robust = F.col("f.valid") & (F.size("f.clients") > 0) & (F.col("keys") == 0) & returned & an.handles_errors(code) & F.coalesce(sent, F.lit(False))
+    return j.select(
+        "sample_id", "model", "called_at", F.col("f.valid").alias("syntax_ok"), ((F.col("gname") != "") & F.array_contains("f.functions", F.col("gname"))).alias("name_ok"), F.col("f.clients").alias("clients"),
+        returned.alias("return_ok"), (F.col("keys") == 0).alias("secret_safe"), "source", F.col("m.f1").alias("param_f1"), request.alias("request_ok"), F.coalesce(sent, F.lit(False)).alias("sent_ok"), robust.alias("robust_ok"),
+    )
+
+
 @query()
 def codegen_contexts(spark, d):
     """The whole prompt of each record at each context level."""

@@ -415,3 +415,17 @@ def annotate_code(spark, d):
 def near_dup_greedy(spark, d):
     """Order-dependent near-duplicates within an API, in any repository; records without an API's name are compared with each other."""
     return greedy_near(flat(spark, d), "api_name", "ord", "code", threshold=0.85)
+
+
+@query()
+def annotation_report(spark, d):
+    """Records by kind of match and number of comments put in."""
+    df = heavy(spark, d, "code", "match").select("match", F.size(annotated(F.col("code"))["inserted"]).alias("inserted"))
+    return df.groupBy(F.coalesce("match", F.lit("unknown")).alias("match"), "inserted").agg(F.count(F.lit(1)).alias("n")).orderBy("match", "inserted")
+
+
+@query()
+def uncommented(spark, d):
+    """Whether a record's code has neither comments nor a docstring, whatever its flags say."""
+    df = heavy(spark, d, "code").select("ord", code_facts(F.col("code")).alias("f"))
+    return df.select("ord", ((F.col("f.n_comments") == 0) & ~F.col("f.has_docstring")).alias("uncommented"))

@@ -105,4 +105,7 @@ def test_code_facts():
     assert cd.annotate("def f():\n\n    x = 1\n    return x") == ("def f():\n\n    # Invoke the service API and return the processed result.\n    x = 1\n    return x", [cd.FALLBACK])
     assert cd.annotate("# note\ndata = 1\ndata = 2")[1] == ["Prepare the request payload for the API call."]
     module = "import os\nfrom a import (\n    b,\n)\n\ndef f():\n    import late\n    return 'h'\n"
-    assert cd.extract(module, [])[0] == ("f", 6, "def f():\n    import late\n    return 'h'", "import os\nfrom a import (\n    b,\n)", "import os\nfrom a import (\n    b,\n)\n\ndef f():\n    import late\n    return 'h'")
+    assert cd.extract(module, [])[0] == ("f", 6, "def f():\n    import late\n    return 'h'", "import os\nfrom a import (", "import os\n\nfrom a import (\n\ndef f():\n    import late\n    return 'h'")
+    assert cd.facts("q: dict = {'a': 1, 'Accept': 2}\nhttpx.get(u, params=q)")[6:8] == (["httpx"], ["a"])
+    assert cd.facts("x = y = {'b': 1}\nprint({'c': 1})")[7] == ["b", "c"] and cd.facts("payload = y = {'b': 1}\nz = {'c': 1}")[7] == ["b"]
+    assert cd.facts("def broken(: requests.get({'k': 1, 'accept': 2})")[6:8] == (["requests"], ["k"])

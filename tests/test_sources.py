@@ -82,3 +82,17 @@ def test_odd_sources(spark, tmp_path):
     files.write_partitioned(spark.createDataFrame([(1, "a")], "v int, split string"), str(tmp_path / "parts"), "split")
     with pytest.raises(FileNotFoundError):
         files.split_rows(spark, str(tmp_path / "parts"), "b")
+
+
+def test_distinct_stream(spark, tmp_path):
+    from millrace.streaming.incremental import distinct_stream
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"k": "a", "t": "2024-01-01T00:00:00", "v": 1}\n{"k": "b", "t": "2024-01-01T00:00:01", "v": 2}\n{"k": "a", "t": "2024-01-01T00:00:02", "v": 3}\n')
+    stream = spark.readStream.schema("k string, t timestamp, v int").json(str(tmp_path / "in"))
+    for part in ("", '{"k": "b", "t": "2024-01-01T00:00:03", "v": 4}\n{"k": "c", "t": "2024-01-01T00:00:04", "v": 5}\n'):
+        if part:
+            (tmp_path / "in" / "b.json").write_text(part)
+        q = distinct_stream(stream, ["k"], "t", "1 hour").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "c"]
