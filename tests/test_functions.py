@@ -81,7 +81,7 @@ def test_query_map(spark):
 
 def test_json():
     assert jsonvals.names('[{"name": "city"}, {"key": "units", "schema": {"deep": 1}}]', '{"Authorization": "x", "lang": {"inner": 1}}') == ["city", "deep", "inner", "lang", "units"]
-    assert jsonvals.names('"a,b;c"', None, "not json {") == ["a", "b", "c", "json", "not"]
+    assert jsonvals.names('"a,b;c"', None, "not json {", '"a.b"') == ["a.b"]  # whole names alone
     assert jsonvals.walk('{"a": ["token"], "b": {"c": "x"}}') == [("a[0]", "a", "token"), ("b.c", "c", "x")]
     assert jsonvals.walk('{"a": ["token"]}', compat=True) == []
     assert jsonvals.balanced('x = {"a": "}"} y = [1, {"b": 2}] z = {') == ['{"a": "}"}', '[1, {"b": 2}]']
