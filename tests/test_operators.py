@@ -202,3 +202,14 @@ def test_balanced_selection_with_keys(spark):
     assert got == {(0, 1), (1, 1), (5, 1), (3, 2)}
     assert {r["id"] for r in select.select_balanced(df, "id", "rk", [("a", 2), ("b", 9)], 4, key="k").collect()} == {0, 1, 5, 3}
     assert select.select_balanced(df.limit(0), "id", "rk", [("a", 2)], 4).count() == 0
+
+
+def test_join_without_hot_keys(spark):
+    from millrace.operators.joins import join_hot
+
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}", "x") for i in range(60)] + [(99, None, "x")], "id bigint, k string, other string")
+    keys = spark.createDataFrame([("hot", 1), ("k3", 2), ("none", 3)], "k string, v int")
+    for how, n in (("inner", 41), ("left", 61)):
+        ways = [join_hot(rows, keys, ["k"], how, bound=b, hot=h) for b, h in ((10, 5), (0, 5), (None, 5), (None, 10**6))]
+        got = [sorted(map(tuple, w.collect()), key=str) for w in ways]
+        assert len(got[0]) == n and all(g == got[0] for g in got)
