@@ -4,6 +4,7 @@ import difflib
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from millrace.operators import audit, dedupe, metrics, select
@@ -145,6 +146,68 @@ def test_greedy_near_as_walked(spark):
         assert sorted(r.id for r in got) == list(range(64)) and {r.id for r in got if r.kept} == want
 
 
+def _codes(texts):
+    place = {c: i for i, c in enumerate(sorted(set("".join(texts))))}
+    return [np.array([place[c] for c in t], np.int64) for t in texts]
+
+
+def _edited(rng, text, n, letters):
+    t = list(text)
+    for _ in range(n):
+        at = rng.randrange(len(t) + 1)
+        gone, come = rng.choice(((1, 1), (0, 2), (1, 0), (9, 0)))
+        t[at : at + gone] = rng.choices(letters, k=come)
+    return "".join(t)
+
+
+def test_matcher_decides_as_sequence_matcher(monkeypatch):
+    rng = random.Random(3)
+    for points in (dedupe._Matcher.POINTS, 50):
+        monkeypatch.setattr(dedupe._Matcher, "POINTS", points)
+        for _ in range(600):
+            letters = rng.choice(("ab", "abcdefgh", "abcdefghijklmnopqrstuvwxyz_ (){}é😀"))
+            b = "".join(rng.choice(letters) if rng.random() < 0.7 else letters[0] for _ in range(rng.choice((0, 1, 7, 50, 199, 200, 201, 500))))
+            a = _edited(rng, b, rng.choice((0, 1, 5, 20, 80)), letters)
+            ratio, (ca, cb) = difflib.SequenceMatcher(None, a, b).ratio(), _codes([a, b])
+            for threshold in (0.85, 0.5, ratio, ratio - 1e-9):
+                assert dedupe._Matcher(b, cb).exceeds(a, ca, threshold) == (ratio > threshold)
+
+
+def test_near_pairs_of_unrelated_texts_are_spared_the_ratio(monkeypatch):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(4, 9))) for _ in range(300)]
+    lines = ("    {0}_{1} = {2}.get('{3}', {{}})", "    if not {0}:\n        return {1}({2}, '{3}')", "    logger.info('{0} {1}', {2}_{3})", "    for {0} in {1}:\n        {2}.append({3})")
+    texts = []
+    for k in range(90):
+        fresh = "import requests\n\n" + "\n".join(rng.choice(lines).format(*rng.choices(words, k=4)) for _ in range(22))
+        texts.append(_edited(rng, rng.choice(texts), rng.choice((3, 30)), "qzeta_(") if k % 5 == 4 else fresh)
+    rows, codes, own = [("g", i, t) for i, t in enumerate(texts)], _codes(texts), list(range(len(texts)))
+    near = {(x, y) for y in own for x in range(y) if difflib.SequenceMatcher(None, texts[y], texts[x]).ratio() > 0.85}
+    kept: list[int] = []
+    for y in own:
+        if not any((x, y) in near for x in kept):
+            kept.append(y)
+    assert len(near) >= 10
+    for by_gram_from in (1024, 8):
+        monkeypatch.setattr(dedupe, "_ROWS", by_gram_from)
+        found = set(dedupe._candidates(rows, codes, own, own, 0.85))
+        assert near <= found and len(found) <= 40  # of 4,005 pairs
+        # Whole groups are settled; of blocks, all near pairs come out, each once.
+        unit = {"grp": ["g"] * len(texts), "id": own, "text": texts}
+        settled = dedupe._similar(0.85)(pa.table(unit | {k: pa.array([-1] * len(texts), pa.int32()) for k in ("block", "p", "q")}))
+        assert set(own) - set(settled["later"].to_pylist()) == set(kept) and settled["earlier"].null_count == settled.num_rows
+        block = [i % 2 for i in own]
+        got = []
+        for p, q in ((0, 0), (0, 1), (1, 1)):
+            part = pa.table(unit | {"block": block, "p": [p] * len(texts), "q": [q] * len(texts)}).filter(pa.array([k in (p, q) for k in block]))
+            t = dedupe._similar(0.85)(part)
+            got += zip(t["earlier"].to_pylist(), t["later"].to_pylist())
+        assert len(got) == len(set(got)) and set(got) == near
+    # Long texts of the same words: nearly all of these 3,160 pairs once went on to the comparison in sequence.
+    texts = ["\n".join(rng.choice(lines).format(*rng.choices(words, k=4)) for _ in range(110)) for _ in range(80)]
+    assert not list(dedupe._candidates([("g", i, t) for i, t in enumerate(texts)], _codes(texts), range(80), range(80), 0.85))
+
+
 def test_near_duplicates_of_an_api_across_repositories(spark, monkeypatch):
     from millrace.plans import records
 
